@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ecoc_langid import identify
 from .exact_dedup import dedup_report
 from .packing import pack
 from .support import table, tokenizer_file
 from .token_sstable import round_trip
+from .toxicity import score_documents
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -26,8 +28,16 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
 
 
+def op8_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_progressive_exact_dedup, op3_token_sstable, op6_best_fit_packing)
+    f.__name__: f for f in (op2_progressive_exact_dedup, op3_token_sstable, op6_best_fit_packing, op8_boosted_toxicity, op9_ecoc_language_id)
 }
 
 ORACLE_SQL: dict[str, str] = {
