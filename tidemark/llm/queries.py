@@ -5,15 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .ecoc_langid import identify
 from .exact_dedup import dedup_report
+from .html_extract import extract
 from .packing import pack
+from .sentencepiece_backend import verified
 from .support import table, tokenizer_file
 from .token_sstable import round_trip
 from .toxicity import score_documents
+from .vafile_topk import top_k
 
 BYTE_BPE = "byte_bpe_50k.json"
+PIECE_BPE = "piece_bpe_32k.model"
+
+
+def op1_tree_scored_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
 
 
 def op2_progressive_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +37,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
 
 
+def op7_vafile_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,8 +49,14 @@ def op9_ecoc_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op10_sentencepiece_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verified(table(spark, sf_dir, "documents"), tokenizer_file(PIECE_BPE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_progressive_exact_dedup, op3_token_sstable, op6_best_fit_packing, op8_boosted_toxicity, op9_ecoc_language_id)
+    f.__name__: f for f in (
+        op1_tree_scored_html, op2_progressive_exact_dedup, op3_token_sstable, op6_best_fit_packing, op7_vafile_topk, op8_boosted_toxicity, op9_ecoc_language_id, op10_sentencepiece_backend,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -46,4 +65,13 @@ WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
 ), g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n JOIN g USING (text_sha256)""",
+    "op7_vafile_topk": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
 }

@@ -94,24 +94,18 @@ class _Numbers(dict):
         return n
 
 
-class ByteEncoder:
-    """Whole-text ids of a byte-level BPE by the tokenizers library, which sees each distinct word of a bounded cache once.
+class WordEncoder:
+    """Whole-text ids by the tokenizers library, which sees each distinct word of a bounded cache once.
 
-    No pre-token spans a blank that follows a character other than white space. So the ids of a text are those of its words
-    put together, and many words can be encoded in one call: every character of a byte-level token stands for one byte, so
-    token lengths tell where each word ends. Texts with other white space before a blank are encoded whole.
+    For tokenizers none of whose tokens spans the end of a word: a blank, written as ``mark``, begins a new token after every
+    character but white space. Then the ids of a text are those of its words put together, and many words can be encoded in
+    one call, as the byte lengths of the tokens tell where each word ends. Texts with other white space (or a mark of their
+    own) before a blank are encoded whole.
     """
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use every core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.token_bytes = np.ones(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.token_bytes[i] = len(token)
+    def __init__(self, tokenizer, token_bytes: np.ndarray, mark: str, whole=None, marks_first: bool = False):
+        self.tokenizer, self.token_bytes, self.mark, self.marks_first = tokenizer, token_bytes, mark, marks_first
+        self.whole = whole or tokenizer
         self._forget()
 
     def _forget(self) -> None:
@@ -120,14 +114,14 @@ class ByteEncoder:
         self.ends = np.zeros(1 << 14, np.int64)  # of the ids of word k: ends[k] .. ends[k + 1]
 
     def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def _learn(self) -> None:
         new, self.numbers.new = self.numbers.new, []
         at = len(self.numbers) - len(new)
-        for i in range(0, len(new), _WORDS_AT_ONCE):
-            words = [" " + w for w in new[i : i + _WORDS_AT_ONCE]]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        lots = [[self.mark + w for w in new[i : i + _WORDS_AT_ONCE]] for i in range(0, len(new), _WORDS_AT_ONCE)]
+        for words, code in zip(lots, self.tokenizer.encode_batch_fast(["".join(w) for w in lots], add_special_tokens=False), strict=True):
+            ids = np.array(code.ids, np.uint32)
             byte_ends = np.cumsum(np.fromiter((len(w.encode()) for w in words), np.int64, len(words)))
             ends = self.ends[at] + np.searchsorted(np.cumsum(self.token_bytes[ids]), byte_ends) + 1
             while len(self.ids) < ends[-1]:
@@ -143,9 +137,12 @@ class ByteEncoder:
             self._forget()
         firsts, numbers, get = [], [], self.numbers.__getitem__
         for text in texts:
-            first, *words = text.split(" ")
+            if self.marks_first:
+                first, words = "", text.split(" ") if text else []
+            else:
+                first, *words = text.split(" ")
             try:
-                if first and first[-1].isspace():
+                if first and first[-1].isspace() or self.marks_first and self.mark in text:
                     raise _Uncuttable
                 numbers.append(np.fromiter(map(get, words), np.int64, len(words)))
                 firsts.append(first)
@@ -177,13 +174,27 @@ class ByteEncoder:
             yield from self._slice(held)
 
 
-_ENCODERS: dict[str, ByteEncoder] = {}
+def byte_level_encoder(path: str) -> WordEncoder:
+    """A byte-level BPE without normaliser: each character of a token stands for one byte."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use every core
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+    token_bytes = np.ones(max(vocabulary.values()) + 1, np.int64)
+    for token, i in vocabulary.items():
+        token_bytes[i] = len(token)
+    return WordEncoder(tokenizer, token_bytes, " ")
+
+
+_ENCODERS: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> ByteEncoder:
+def encoder(path: str) -> WordEncoder:
     """One encoder per Python worker and file."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = ByteEncoder(path)
+        _ENCODERS[path] = byte_level_encoder(path)
     return _ENCODERS[path]
 
 
