@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .ecoc_langid import identify
 from .exact_dedup import dedup_report
 from .html_extract import extract
+from .order_minhash import near_duplicates
 from .packing import pack
 from .sentencepiece_backend import verified
 from .support import table, tokenizer_file
@@ -33,6 +34,10 @@ def op3_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
 
@@ -55,7 +60,7 @@ def op10_sentencepiece_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_tree_scored_html, op2_progressive_exact_dedup, op3_token_sstable, op6_best_fit_packing, op7_vafile_topk, op8_boosted_toxicity, op9_ecoc_language_id, op10_sentencepiece_backend,
+        op1_tree_scored_html, op2_progressive_exact_dedup, op3_token_sstable, op5_order_minhash, op6_best_fit_packing, op7_vafile_topk, op8_boosted_toxicity, op9_ecoc_language_id, op10_sentencepiece_backend,
     )
 }
 
