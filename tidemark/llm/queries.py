@@ -12,6 +12,7 @@ from .exact_dedup import dedup_report
 from .html_extract import extract
 from .order_minhash import near_duplicates
 from .packing import pack
+from .quote_threads import as_mail, link_quotations
 from .sentencepiece_backend import verified
 from .support import table, tokenizer_file
 from .token_sstable import round_trip
@@ -34,6 +35,11 @@ def op3_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_file(BYTE_BPE))
 
 
+def op4_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations have no quotes of their own, so their turns are first written as mails that quote each other."""
+    return link_quotations(as_mail(table(spark, sf_dir, "conversations")), "conv_id", "turn")
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,7 +66,7 @@ def op10_sentencepiece_backend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_tree_scored_html, op2_progressive_exact_dedup, op3_token_sstable, op5_order_minhash, op6_best_fit_packing, op7_vafile_topk, op8_boosted_toxicity, op9_ecoc_language_id, op10_sentencepiece_backend,
+        op1_tree_scored_html, op2_progressive_exact_dedup, op3_token_sstable, op4_quotation_linking, op5_order_minhash, op6_best_fit_packing, op7_vafile_topk, op8_boosted_toxicity, op9_ecoc_language_id, op10_sentencepiece_backend,
     )
 }
 
@@ -70,6 +76,28 @@ WITH n AS (
   SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents
 ), g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n JOIN g USING (text_sha256)""",
+    "op4_quotation_linking": r"""
+WITH turns AS (SELECT conv_id, turn, min(coalesce(text, '')) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
+lines AS (
+  SELECT conv_id, turn, md5(line) AS h, count(*) AS n
+  FROM (SELECT conv_id, turn, lower(trim(regexp_replace(unnest(string_split(text, chr(10))), '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS line FROM turns)
+  WHERE line <> '' GROUP BY ALL
+), said AS (SELECT conv_id, h, min(turn) AS first FROM lines GROUP BY ALL),
+quoted AS (
+  SELECT conv_id, turn + level AS turn, level, h, n FROM lines CROSS JOIN (VALUES (1), (2)) AS v(level)
+  WHERE EXISTS (SELECT 1 FROM turns t WHERE t.conv_id = lines.conv_id AND t.turn = lines.turn + level)
+), found AS (
+  SELECT q.conv_id, q.turn, level, n, CASE WHEN first < q.turn THEN first END AS first FROM quoted q LEFT JOIN said s ON s.conv_id = q.conv_id AND s.h = q.h
+), counts AS (SELECT conv_id, turn, CAST(sum(n) AS BIGINT) AS n_quoted, CAST(coalesce(sum(n) FILTER (first IS NOT NULL), 0) AS BIGINT) AS n_linked FROM found GROUP BY ALL),
+votes AS (SELECT conv_id, turn, first, sum(n) AS n FROM found WHERE level = 1 AND first IS NOT NULL GROUP BY ALL),
+replies AS (SELECT conv_id, turn, arg_max(first, (n, first)) AS parent FROM votes GROUP BY ALL),
+climb AS (
+  SELECT conv_id, turn, turn AS above FROM turns
+  UNION ALL SELECT c.conv_id, c.turn, r.parent FROM (SELECT * FROM climb) c JOIN replies r ON r.conv_id = c.conv_id AND r.turn = c.above
+), roots AS (SELECT conv_id, turn, min(above) AS root FROM climb GROUP BY ALL)
+SELECT conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body, parent, root, row_number() OVER (PARTITION BY conv_id, root ORDER BY turn) AS position,
+  coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked
+FROM turns JOIN roots USING (conv_id, turn) LEFT JOIN replies USING (conv_id, turn) LEFT JOIN counts USING (conv_id, turn)""".replace("WITH turns", "WITH RECURSIVE turns"),
     "op7_vafile_topk": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
