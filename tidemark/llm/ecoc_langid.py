@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .support import crc32_mod, materialise, shared_dir
 
 #: Training documents of each language, at most about (chosen by a hash of the id).
-SAMPLE_PER_LANGUAGE = 700
-BUCKETS = 3072
+SAMPLE_PER_LANGUAGE = 500
+BUCKETS = 2048
 #: Lengths of the windows that stand for short texts in training.
 WINDOWS = (160, 60, 24)
 #: A lead of the best probability over the second below this is ambiguous.
