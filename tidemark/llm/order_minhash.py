@@ -27,7 +27,8 @@ SKETCHES = 16
 SAMPLED = 3
 #: Members of a bucket that all its members are compared with at first; the rest of a bucket is compared in blocks.
 PIVOTS = 6
-BLOCK = 128
+#: Members of a bucket, and of those outside its largest component, that one task compares at a time.
+BLOCK, OPEN_BLOCK = 512, 512
 
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _S32, _S29 = np.uint64(32), np.uint64(29)
@@ -217,7 +218,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Classes are the connected components of all links between candidates. Candidates share one of the sketches: a pair whose
     similarity is 0.8 is missed with a chance of about 1 in 100,000. In a bucket of documents with one sketch all members are
-    compared with a few pivots; where that leaves several components in it, members outside its first component are
+    compared with a few pivots; where that leaves several components in it, members outside its largest component are
     compared with all others in blocks, so no pair is left out and none is listed unless it is a link.
 
     Null text counts as empty. Texts without a letter or digit are only equal to the same text; texts of fewer than five
@@ -252,14 +253,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = _stored(connected_components(links, _stored))
 
     # what the pivots left open: buckets with members of several components
-    placed = members.filter(F.col("size") > PIVOTS + 1).join(labels, F.col("id") == F.col("node"), "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
-    spread = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").drop("high")
-    open_ = _stored(placed.join(_stored(spread), "key").join(words, "id"))
-    parts = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64("id"), parts.cast("long")).cast("int")
-    others = F.sequence(F.lit(0), parts - 1)
-    every = open_.withColumns({"p": mine, "q": F.explode(others), "side": F.lit(0)})
-    rest = open_.filter("component <> low").withColumns({"q": mine, "p": F.explode(others), "side": F.lit(1)})
+    placed = members.filter(F.col("size") > PIVOTS + 1).join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    bases = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("_b"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("_k")).filter("_k > 1")
+    bases = _stored(bases.select("key", F.col("_b.component").alias("base"), F.ceil(F.col("size") / BLOCK).alias("ps"), F.ceil((F.col("size") - F.col("_b.n")) / OPEN_BLOCK).alias("qs")))
+    open_ = _stored(placed.join(bases, "key").join(words, "id"))
+    part = F.xxhash64("id")
+    every = open_.withColumns({"p": F.pmod(part, F.col("ps")), "q": F.explode(F.sequence(F.lit(0).cast("long"), F.col("qs") - 1)), "side": F.lit(0)})
+    rest = open_.filter("component <> base").withColumns({"q": F.pmod(part, F.col("qs")), "p": F.explode(F.sequence(F.lit(0).cast("long"), F.col("ps") - 1)), "side": F.lit(1)})
     columns = ["key", "p", "q", "side", "id", "component", "words"]
     more = every.select(columns).union(rest.select(columns)).groupBy("key", "p", "q").applyInPandas(_block_links, "a long, b long")
     more = _stored(more.distinct())
