@@ -11,8 +11,7 @@ QUICK = ["scene_percentiles", "normalize_scene", "tile_invalid_fraction", "bound
 
 
 def test_catalogue_has_sql():
-    assert set(catalog.QUERIES) - set(oracle.SQL) == {"projected_centres"}
-    assert set(oracle.SQL) <= set(catalog.QUERIES)
+    assert set(catalog.QUERIES) == set(oracle.SQL)
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 

@@ -101,10 +101,10 @@ def labelled_runs(mask: DataFrame, connectivity: int = 2, block: int = BLOCK) ->
     step = F.array(*[F.lit(i) for i in range(-reach, reach + 1)])
     right = ends.filter((F.col("c1") + 1) % block == 0).withColumn("_s", F.explode(step)).select("scene_id", (F.col("row") + F.col("_s")).alias("r"), (F.col("c1") + 1).alias("c"), F.col("node").alias("a"))
     across = right.join(left, ["scene_id", "r", "c"]).select("a", "b")
-    borders = write_shared(down.union(across).distinct())
-    if not borders.limit(1).count():
+    borders = down.union(across)
+    if not borders.take(1):
         return local
-    names = connected_components(borders, write_shared)
+    names = connected_components(borders.distinct(), write_shared)
     joined = local.withColumn("node", node).join(names, "node", "left")
     return joined.select("scene_id", "row", "c0", "c1", F.coalesce("component.first_row", "first_row").alias("first_row"), F.coalesce("component.first_col", "first_col").alias("first_col"))
 

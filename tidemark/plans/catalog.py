@@ -292,13 +292,13 @@ def mask_area(spark, sf_dir):
 @query
 def projected_centres(spark, sf_dir):
     """Supplier places in a local azimuthal-equidistant plane, and UTM corners back to degrees."""
-    s = read_table(spark, sf_dir, "supplier").select("s_suppkey", (48 + F.col("s_suppkey") % 7).cast("double").alias("lon"), (24 + F.col("s_acctbal") / 2000).alias("lat"))
-    x, y = azimuthal_equidistant(F.col("lon"), F.col("lat"), F.lit(51.0), F.lit(26.0))
-    lon, lat = utm_inverse(F.lit(300_000.0) + F.col("s_suppkey") * 10, F.lit(2_900_000.0) + F.col("s_acctbal"), 39)
-    row, col = inverse_affine(F.col("s_suppkey") * 10.0, F.col("s_acctbal"), {k: F.lit(v) for k, v in zip("abcdef", (10.0, 0.0, 0.0, 0.0, -10.0, 0.0), strict=True)})
-    return s.withColumn("_b", F.lit(0)).join(read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_acctbal"), "s_suppkey").select(
-        "s_suppkey", F.round(x, 3).alias("x_m"), F.round(y, 3).alias("y_m"), F.round(lon, 7).alias("utm_lon"), F.round(lat, 7).alias("utm_lat"), F.round(row, 6).alias("row"), F.round(col, 6).alias("col")
-    )
+    s = read_table(spark, sf_dir, "supplier")
+    key, y0 = F.col("s_suppkey"), F.col("s_acctbal")
+    x, y = azimuthal_equidistant((48 + key % 7).cast("double"), 24 + y0 / 2000, F.lit(51.0), F.lit(26.0))
+    lon, lat = utm_inverse(F.lit(300_000.0) + key * 10, F.lit(2_900_000.0) + y0, 39)
+    row, col = inverse_affine(key * 10.0, y0, {k: F.lit(v) for k, v in zip("abcdef", (10.0, 0.0, 0.0, 0.0, -10.0, 0.0), strict=True)})
+    named = {"x_m": (x, 3), "y_m": (y, 3), "utm_lon": (lon, 7), "utm_lat": (lat, 7), "row": (row, 6), "col": (col, 6)}
+    return s.select("s_suppkey", *[F.round(v, n).alias(k) for k, (v, n) in named.items()])
 
 
 def _found(spark, sf_dir) -> tuple[Raster, detection.Detection]:

@@ -257,3 +257,18 @@ coalesce(arg_max(alert, {_RANK.format(x='alert')}), 'Low') AS alert_level, coale
 SQL["confidence_classes"] = f"""WITH x AS (SELECT l_quantity / 8 AS a, CASE WHEN l_linenumber % 5 > 0 THEN round(l_discount * 400, 6) ELSE 'infinity'::DOUBLE END AS d, round(l_tax * 10, 6) AS p FROM lineitem),
 y AS (SELECT {_ALERT.format(a='a', d='d')} AS alert, {_SURE.format(p='p')} AS confidence FROM x)
 SELECT alert, confidence, count(*) AS n, CAST(max({_RANK.format(x='alert')}) AS BIGINT) AS rank FROM y GROUP BY alert, confidence"""
+
+# --- projections
+_N = "(1 / 298.257223563::DOUBLE / (2 - 1 / 298.257223563::DOUBLE))"
+SQL["projected_centres"] = f"""WITH s AS (SELECT s_suppkey, CAST(48 + s_suppkey % 7 AS DOUBLE) AS lon, 24 + s_acctbal / 2000 AS lat, s_acctbal FROM supplier),
+p AS (SELECT *, radians(lat) AS p, radians(26.0::DOUBLE) AS p0, radians(lon - 51.0::DOUBLE) AS dl, 6378137.0::DOUBLE * sqrt(1 - {_E2}) / (1 - {_E2} * sin(radians(26.0::DOUBLE)) ** 2) AS radius FROM s),
+c AS (SELECT *, acos(least(1.0::DOUBLE, greatest(-1.0::DOUBLE, sin(p0) * sin(p) + cos(p0) * cos(p) * cos(dl)))) AS c FROM p),
+k AS (SELECT *, CASE WHEN abs(c) < 1e-12 THEN 1.0::DOUBLE ELSE c / sin(c) END AS k, {_N} AS n FROM c),
+u AS (SELECT *, (2900000.0::DOUBLE + s_acctbal) / z AS xi, (s_suppkey * 10 - 200000.0::DOUBLE) / z AS eta, n / 2 - 2 * n ** 2 / 3 + 37 * n ** 3 / 96 AS b1, n ** 2 / 48 + n ** 3 / 15 AS b2, 17 * n ** 3 / 480 AS b3
+  FROM (SELECT *, 0.9996::DOUBLE * 6378137.0::DOUBLE / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS z FROM k)),
+v AS (SELECT *, xi - b1 * sin(2 * xi) * cosh(2 * eta) - b2 * sin(4 * xi) * cosh(4 * eta) - b3 * sin(6 * xi) * cosh(6 * eta) AS xi1,
+  eta - b1 * cos(2 * xi) * sinh(2 * eta) - b2 * cos(4 * xi) * sinh(4 * eta) - b3 * cos(6 * xi) * sinh(6 * eta) AS eta1 FROM u),
+w AS (SELECT *, asin(sin(xi1) / cosh(eta1)) AS chi FROM v)
+SELECT s_suppkey, round(radius * k * cos(p) * sin(dl), 3) AS x_m, round(radius * k * (cos(p0) * sin(p) - sin(p0) * cos(p) * cos(dl)), 3) AS y_m, round(51.0::DOUBLE + degrees(atan2(sinh(eta1), cos(xi1))), 7) AS utm_lon,
+round(degrees(chi + (2 * n - 2 * n ** 2 / 3 - 2 * n ** 3) * sin(2 * chi) + (7 * n ** 2 / 3 - 8 * n ** 3 / 5) * sin(4 * chi) + 56 * n ** 3 / 15 * sin(6 * chi)), 7) AS utm_lat,
+round(s_acctbal / -10.0::DOUBLE - 0.5, 6) AS row, round(CAST(s_suppkey AS DOUBLE) - 0.5, 6) AS col FROM w"""
