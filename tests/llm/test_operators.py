@@ -194,6 +194,7 @@ def test_html_cases(spark):
         "<div id='comments'><p>I disagree, strongly, with all, of it</p></div><aside>Related, things</aside><footer>Legal</footer></body></html>"
     )
     assert html_extract.main_text(page) == "Head & more\n\nOne, two three four\n\nFive <six> — café\n\nseven\n\neight"
+    assert html_extract.main_text("<div class='share-root'><p>All, there is, here</div>") == "All, there is, here"
     rows = [(1, "u", page, "clash"), (2, None, None, "c"), (3, "u", "", "c"), (4, "u", "no tags", "c"), (5, "u", "<p>cut &am", "c"), (5, "u", "<p>cut &am", "c"), (6, "u", "<div>" * 3000 + "deep", "c"), (None, "u", "<b></b>", "c")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = html_extract.extract(df).collect()

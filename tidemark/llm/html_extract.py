@@ -55,10 +55,10 @@ class Node:
         self.children: list[Node | str] = []
 
 
-def _is_clutter(tag: str, attributes: str) -> bool:
+def _is_clutter(tag: str, attributes: str, by_name: bool) -> bool:
     if tag in DROPPED:
         return True
-    if not attributes or attributes.isspace() or tag in ("html", "body", "main"):
+    if not by_name or not attributes or attributes.isspace() or tag in ("html", "body", "main"):
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -73,9 +73,9 @@ def _is_clutter(tag: str, attributes: str) -> bool:
     return False
 
 
-def parse(page: str) -> Node:
+def parse(page: str, by_name: bool = True) -> Node:
     """A tree of elements and text. Unclosed elements end with their parents; end tags without a start are passed over;
-    inline elements don't outlive the block they began in."""
+    inline elements don't outlive the block they began in. Classes, ids and roles mark clutter only ``by_name``."""
     root = at = Node("", None, False)
     pos = 0
 
@@ -114,7 +114,7 @@ def parse(page: str) -> Node:
                 node = node.parent
             if last is not None:
                 at = last.parent
-        node = Node(tag, at, _is_clutter(tag, m[3]))
+        node = Node(tag, at, _is_clutter(tag, m[3], by_name))
         at.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
@@ -198,10 +198,7 @@ def best_containers(root: Node) -> list[Node]:
     return kept
 
 
-def main_text(page: str | None) -> str:
-    """Text of the page's article: blocks in page order, white space within a block as one blank, two line feeds between."""
-    if not page:
-        return ""
+def _blocks(root: Node) -> list[str]:
     blocks: list[str] = []
     run: list[str] = []
 
@@ -211,7 +208,7 @@ def main_text(page: str | None) -> str:
                 blocks.append(line)
             run.clear()
 
-    for top in best_containers(parse(page)):
+    for top in best_containers(root):
         stack: list[Node | str | None] = [top]
         while stack:
             n = stack.pop()
@@ -227,7 +224,16 @@ def main_text(page: str | None) -> str:
                     stack.append(None)
                 stack.extend(reversed(n.children))
     flush()
-    return "\n\n".join(blocks)
+    return blocks
+
+
+def main_text(page: str | None) -> str:
+    """Text of the page's article: blocks in page order, white space within a block as one blank, two line feeds between.
+
+    Where the names of classes leave nothing of a page, they are taken for misleading and passed over."""
+    if not page:
+        return ""
+    return "\n\n".join(_blocks(parse(page)) or _blocks(parse(page, by_name=False)))
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
