@@ -105,9 +105,8 @@ def tile_grid(spark, sf_dir):
 
 @query
 def pad_edge(spark, sf_dir):
-    r = embeddings_raster(spark, sf_dir)
-    narrow = Raster(r.pixels.filter("row < 300 and col < 5"), r.scenes.withColumns({"height": F.lit(300).cast("long"), "width": F.lit(5).cast("long")}))
-    return tiling.padded(narrow, SMALL)
+    """Vectors are narrower than these tiles, so their last component is repeated."""
+    return tiling.padded(embeddings_raster(spark, sf_dir), replace(SMALL, tile=96, stride=84))
 
 
 @query

@@ -95,7 +95,7 @@ SQL["infill_median"] = _with("lineitem", _MEDIAN, _FULL, _INFILL) + f"SELECT {_C
 # --- tiles
 SQL["tile_starts"] = _with("orders", _AXES) + "SELECT 'y' AS axis, y AS start FROM ys UNION ALL SELECT 'x', x FROM xs"
 SQL["tile_grid"] = _with("orders", _AXES) + "SELECT s AS scene_id, gi, gj, y, x, h AS height, w AS width FROM tiles"
-SQL["pad_edge"] = _with("embeddings") + """SELECT 'embeddings' AS scene_id, p.r AS row, q.c AS col, v AS value FROM range(0, 300) p(r) CROSS JOIN range(0, 16) q(c) JOIN fx ON fx.r = least(p.r, 299) AND fx.c = least(q.c, 4)"""
+SQL["pad_edge"] = _with("embeddings") + """SELECT 'embeddings' AS scene_id, p.r AS row, q.c AS col, v AS value FROM (SELECT unnest(range(0, h)) AS r FROM dims) p CROSS JOIN range(0, 96) q(c) JOIN fx ON fx.r = p.r AND fx.c = least(q.c, 63)"""
 _INVALID = f"tf AS MATERIALIZED (SELECT t.*, 256 - count(f.v) AS n_invalid, (256 - count(f.v)) / 256.0::DOUBLE AS frac FROM tiles t LEFT JOIN fx f ON {_ON.format(a='f')} GROUP BY ALL)"
 SQL["tile_invalid_fraction"] = _with("lineitem", _AXES, _INVALID) + "SELECT s AS scene_id, y, x, n_invalid, round(frac, 6) AS invalid_fraction FROM tf"
 _TOUCH = "(y = 0 OR x = 0 OR y + 16 >= h OR x + 16 >= w)"
