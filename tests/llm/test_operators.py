@@ -63,6 +63,19 @@ def test_encoder_equals_the_library():
             assert ids.tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+def test_encoder_with_a_full_cache(monkeypatch):
+    from tidemark.llm import support
+
+    monkeypatch.setattr(support, "_CACHE_WORDS", 300)
+    monkeypatch.setattr(support, "_SLICE_CHARS", 500)
+    rng = random.Random(4)
+    e = byte_level_encoder(BPE)
+    texts = [words(rng, 60, 40) + " " + words(rng, 40, 10**6) for _ in range(80)]
+    for t, ids in zip(texts, e.encode(texts), strict=True):
+        assert ids.tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+    assert 0 < len(e.numbers) < 700
+
+
 def test_sstable_round_trip(spark, odd):
     e = byte_level_encoder(BPE)
     rows = sorted(((r["doc_id"], r["text"]) for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0))

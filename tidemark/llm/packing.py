@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import encoder
+from .support import encoder, small_lists
 
 WINDOW = 1024
 #: Ids that a task holds before it packs them (4 bytes each); padding arises only at the end of such a lot.
@@ -152,8 +152,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         first = TaskContext.get().partitionId() * _SEQUENCES_PER_TASK
         end = np.array([end_id], np.uint32)
         keys, ids, held = [], [], 0
-        for batch in batches:
-            for key, code in zip(batch.column(0).to_pylist(), encoder(tokenizer_path).encode(batch.column(1).to_pylist()), strict=True):
+        for some_keys, texts in (lists for batch in batches for lists in small_lists(batch)):
+            for key, code in zip(some_keys, encoder(tokenizer_path).encode(texts), strict=True):
                 keys.append(key)
                 ids.append(np.concatenate([code, end]))
                 held += len(ids[-1])

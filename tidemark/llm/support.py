@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,7 +70,8 @@ def crc32_mod(column: str, modulus: int) -> Column:
 
 # --- token ids -------------------------------------------------------------------------------------------------------
 
-_CACHE_WORDS = 1_000_000
+#: Words that an encoder knows at once (about 60 MB); beyond, it keeps those that it has met more than twice.
+_CACHE_WORDS = 300_000
 _SLICE_CHARS = 2_000_000
 _WORDS_AT_ONCE = 2_000
 
@@ -112,6 +114,20 @@ class WordEncoder:
         self.numbers = _Numbers()
         self.ids = np.empty(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)  # of the ids of word k: ends[k] .. ends[k + 1]
+        self.uses = np.zeros(0, np.int64)
+
+    def _keep_frequent(self) -> None:
+        kept = np.flatnonzero(self.uses[: len(self.numbers)] > 2)
+        if len(kept) > _CACHE_WORDS // 2:
+            return self._forget()
+        words, begin = list(self.numbers), self.ends[kept]
+        counts = self.ends[kept + 1] - begin
+        stops = np.cumsum(counts)
+        ids = self.ids[np.arange(stops[-1]) + np.repeat(begin - stops + counts, counts)] if len(kept) else self.ids[:0]
+        self._forget()
+        self.numbers.update((words[k], i) for i, k in enumerate(kept.tolist()))
+        self.ids = np.concatenate([ids, np.empty(1 << 16, np.uint32)])
+        self.ends = np.concatenate([[0], stops, np.zeros(1 << 14, np.int64)]).astype(np.int64)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -134,7 +150,7 @@ class WordEncoder:
 
     def _slice(self, texts: list[str]) -> Iterator[np.ndarray]:
         if len(self.numbers) > _CACHE_WORDS:
-            self._forget()
+            self._keep_frequent()
         firsts, numbers, get = [], [], self.numbers.__getitem__
         for text in texts:
             if self.marks_first:
@@ -150,6 +166,9 @@ class WordEncoder:
                 numbers.append(None)
                 firsts.append(text)
         self._learn()
+        met = np.bincount(np.concatenate([n for n in numbers if n is not None] or [np.zeros(0, np.int64)]), minlength=max(len(self.numbers), len(self.uses)))
+        met[: len(self.uses)] += self.uses
+        self.uses = met
         for first, of in zip(firsts, numbers, strict=True):
             head = self._whole(first) if first else np.empty(0, np.uint32)
             if of is None or not len(of):
@@ -198,6 +217,12 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def small_lists(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple[list, list]]:
+    """The first two columns of a batch as Python lists, some rows at a time, so that texts aren't held twice at length."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.column(0).slice(at, rows).to_pylist(), batch.column(1).slice(at, rows).to_pylist()
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 

@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import encoder, materialise, scratch_path
+from .support import encoder, materialise, scratch_path, small_lists
 
 MAGIC = b"TMSST1\n"
 _FOOTER = struct.Struct("<QQQQQQIIB7s")
@@ -201,8 +201,8 @@ def write_shards(
             row = (part, number, path, writer.rows[0][0], writer.rows[-1][0], len(writer.rows), writer.tokens, len(data))
             return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, _MANIFEST, strict=True)], schema=_MANIFEST)
 
-        for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder(tokenizer_path).encode(batch.column(1).to_pylist()), strict=True):
+        for some_ids, texts in (lists for batch in batches for lists in small_lists(batch)):
+            for doc_id, ids in zip(some_ids, encoder(tokenizer_path).encode(texts), strict=True):
                 writer.add(key_of(doc_id), np.concatenate([ids, end]))
                 if writer.tokens >= shard_tokens:
                     yield close()
