@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import crc32_mod, materialise, shared_dir
+from .support import crc32_mod, materialise, release_memory, shared_dir
 
 #: Training documents of each language, at most about (chosen by a hash of the id).
 SAMPLE_PER_LANGUAGE = 500
@@ -158,6 +158,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text"
                 x = ngram_features(text) if model else None
                 rows.append((UNDETERMINED, 0.0, False) if x is None else model.decode(x))
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "ambiguous"]).astype({"lang_pred": object, "score": float, "ambiguous": bool})
+        release_memory()
 
     return docs.withColumn("prediction", guess(F.col(f"`{text_col}`")))
 

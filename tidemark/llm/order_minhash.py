@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .support import broadcast_if_small, materialise
+from .support import broadcast_if_small, materialise, release_memory
 
 K = 5
 SIMILARITY = 0.8
@@ -172,6 +172,7 @@ def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 copies.append(hashlib.blake2b(content, digest_size=16, key=b"" if len(words) else b"no words").digest())
                 sketches.append(order_sketches(labelled_kmers(words)))
             yield pa.RecordBatch.from_arrays([ids.slice(at, 256), pa.array(copies, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], schema=_SIGNED)
+    release_memory()
 
 
 def _words_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,6 +180,7 @@ def _words_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 256):
             words = [word_hashes(t).view(np.int32) for t in batch.column(1).slice(at, 256).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 256), pa.array(words, pa.list_(pa.int32()))], ["id", "words"])
+    release_memory()
 
 
 def _is_link(left: pd.Series, right: pd.Series) -> pd.Series:

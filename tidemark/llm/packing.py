@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import encoder, small_lists
+from .support import encoder, release_memory, small_lists
 
 WINDOW = 1024
 #: Ids that a task holds before it packs them (4 bytes each); padding arises only at the end of such a lot.
@@ -163,6 +163,8 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                     first, keys, ids, held = first + n, [], [], 0
         if keys:
             yield _pack_lot(keys, ids, first, window, fill)[0]
+        del keys, ids
+        release_memory()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return rows.withColumnRenamed("id", id_col)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -217,6 +218,16 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system at the end of a task: Spark keeps Python workers for later stages, and both Arrow's
+    pool and the C library hold on to what a large batch once took."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def small_lists(batch: pa.RecordBatch, rows: int = 256) -> Iterator[tuple[list, list]]:
     """The first two columns of a batch as Python lists, some rows at a time, so that texts aren't held twice at length."""
     for at in range(0, batch.num_rows, rows):

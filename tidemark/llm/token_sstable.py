@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import encoder, materialise, scratch_path, small_lists
+from .support import encoder, materialise, release_memory, scratch_path, small_lists
 
 MAGIC = b"TMSST1\n"
 _FOOTER = struct.Struct("<QQQQQQIIB7s")
@@ -209,6 +209,8 @@ def write_shards(
                     number, writer = number + 1, ShardWriter()
         if writer.rows:
             yield close()
+        del writer
+        release_memory()
 
     spark = docs.sparkSession
     fs_dir, name = fs.FileSystem.from_uri(out_dir)
