@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.graph import connected_components
 from .support import materialise
 
 _MARKS = r"^[ \t]*((?:>[ \t]?)+)"
@@ -47,12 +46,24 @@ def global_positions(rows: DataFrame, group: str, order: list[str]) -> DataFrame
     return placed.join(first, placed[group].eqNullSafe(first["_group"])).withColumn("position", F.col("_rank") - F.col("_first") + 1).drop("_part", "_n", "_before", "_rank", "_first", "_group")
 
 
+def reply_roots(replies: DataFrame) -> DataFrame:
+    """``_t, _o, _up``: the first ancestor of each reply (_t, _o, parent). Parents are earlier, so pointers only lead up; each
+    step doubles how far they reach and makes one row a reply, so a chain of n replies takes log2(n) steps."""
+    state = materialise(replies.select("_t", "_o", F.col("parent").alias("_up")), "quote-roots")
+    while True:
+        above = state.select("_t", F.col("_o").alias("_up"), F.col("_up").alias("_next"))
+        moved = materialise(state.join(above, ["_t", "_up"], "left").select("_t", "_o", F.coalesce("_next", "_up").alias("_up"), F.col("_next").isNotNull().alias("_moved")), "quote-roots")
+        state = moved.drop("_moved")
+        if not moved.filter("_moved").limit(1).count():
+            return state
+
+
 def link_quotations(messages: DataFrame, thread: str, order: str, text: str = "text") -> DataFrame:
     """The columns of ``messages`` named here and ``body, parent, root, position, n_quoted, n_linked``.
 
     ``thread`` and ``order`` identify a message. ``body``: the message without quotes. ``parent``: order of the message that
-    most of its passages of level 1 stem from (ties: the later one), null where none is found. ``root``: least order of the
-    messages that replies connect with it; ``position``: its place among these by order, from 1. ``n_quoted``: its quoted
+    most of its passages of level 1 stem from (ties: the later one), null where none is found. ``root``: order of the first
+    message above it; ``position``: its place among these by order, from 1. ``n_quoted``: its quoted
     passages of any level; ``n_linked``: those whose original was found.
 
     An original stands in an earlier message of the thread; of several the first counts, so a common passage has one. Null
@@ -68,8 +79,7 @@ def link_quotations(messages: DataFrame, thread: str, order: str, text: str = "t
     counts = found.groupBy("_t", "_o").agg(F.sum("_n").alias("n_quoted"), F.sum(F.when(F.col("_first").isNotNull(), F.col("_n")).otherwise(0)).alias("n_linked"))
     best = found.filter("level = 1 and _first is not null").groupBy("_t", "_o").agg(F.max(F.struct("_n", "_first")).alias("_best"))
     replies = materialise(best.select("_t", "_o", F.col("_best._first").alias("parent")), "quote-replies")
-    edges = replies.select(F.struct("_t", F.col("_o").alias("_x")).alias("a"), F.struct("_t", F.col("parent").alias("_x")).alias("b"))
-    roots = connected_components(edges, lambda df: materialise(df, "quote-roots")).select(F.col("node._t").alias("_t"), F.col("node._x").alias("_o"), F.col("component._x").alias("_root"))
+    roots = reply_roots(replies).withColumnRenamed("_up", "_root")
     linked = rows.select("_t", "_o", _unquoted("_text").alias("body")).join(replies, ["_t", "_o"], "left").join(counts, ["_t", "_o"], "left").join(roots, ["_t", "_o"], "left")
     root = F.when(F.col("_t").isNotNull(), F.coalesce("_root", "_o"))
     whole = linked.withColumn("root", root).withColumn("_group", F.struct("_t", "root")).drop("_root")
