@@ -207,17 +207,26 @@ def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: st
 
 
 def verified(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, n_pieces, ids_crc32, parity`` of every row: number and checksum (as little-endian unsigned 32-bit integers) of
-    the ids, and whether the sentencepiece library gives the same ids for the whole text."""
+    """``id, n_pieces, ids_crc32, parity, decode_parity, text_crc32`` of every row: number and checksum (as little-endian
+    unsigned 32-bit integers) of the ids, whether the sentencepiece library gives the same ids for the whole text, whether it
+    decodes these ids to the same text, and the checksum of the decoded text's UTF-8."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in _lots(batches):
             b = backend(model_path)
-            ids = list(b.encode(texts))
-            same = [np.array_equal(x, np.array(y, np.uint32)) for x, y in zip(ids, b.own().encode([t or "" for t in texts], num_threads=1), strict=True)]
+            counts, sums, same, same_text, text_sums = [], [], [], [], []
+            for x, y in zip(b.encode(texts), b.own().encode([t or "" for t in texts], num_threads=1), strict=True):
+                counts.append(len(x))
+                sums.append(zlib.crc32(x))
+                same.append(np.array_equal(x, np.array(y, np.uint32)))
+                ids = x.tolist()
+                (text,) = b.decode([ids])
+                same_text.append(text == b.own().decode(ids))
+                text_sums.append(zlib.crc32(text.encode()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())], ["_id", "n_pieces", "ids_crc32", "parity"]
+                [pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(sums, pa.int64()), pa.array(same, pa.bool_()), pa.array(same_text, pa.bool_()), pa.array(text_sums, pa.int64())],
+                ["_id", "n_pieces", "ids_crc32", "parity", "decode_parity", "text_crc32"],
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, "_id long, n_pieces long, ids_crc32 long, parity boolean").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, "_id long, n_pieces long, ids_crc32 long, parity boolean, decode_parity boolean, text_crc32 long").withColumnRenamed("_id", id_col)
