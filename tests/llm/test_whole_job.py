@@ -2,7 +2,7 @@
 
 import zlib
 
-from tidemark.llm import sentencepiece_backend
+from tidemark.llm import exact_dedup, order_minhash, sentencepiece_backend
 from tidemark.llm.support import tokenizer_file
 
 
@@ -15,3 +15,16 @@ def test_every_document_is_decoded(spark):
     assert set(got) == set(texts) and all(r["parity"] and r["decode_parity"] for r in got.values())
     assert all(got[i]["text_crc32"] == zlib.crc32(own.decode(own.encode(t or "")).encode()) for i, t in texts.items())
     assert all(got[i]["text_crc32"] == zlib.crc32((t or "").encode()) for i, t in texts.items() if i != 4)
+
+
+def test_rows_are_dropped_by_row(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    near = a.replace("a30", "z")
+    rows = [(3, a, "s"), (5, a, "s"), (5, b, "s"), (6, c, "s"), (6, c, "t"), (None, a, "s"), (None, d, "s"), (None, d, "s"), (7, "e", "s"), (7, "f", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string")
+    want = [(3, a), (5, b), (6, c), (7, "e"), (7, "f"), (None, d)]
+    for drop in (exact_dedup.drop_exact_duplicates, order_minhash.drop_near_duplicates):
+        kept = drop(df)
+        assert kept.columns == df.columns and sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
+    more = df.union(spark.createDataFrame([(5, near, "s"), (None, near, "s")], df.schema))
+    assert sorted(((r["doc_id"], r["text"]) for r in order_minhash.drop_near_duplicates(more).collect()), key=str) == sorted(want, key=str)

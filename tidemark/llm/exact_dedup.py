@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import broadcast_if_small, materialise
+from .support import broadcast_if_small, materialise, numbered_rows
 
 #: Characters of the normalised text that the second level hashes.
 PREFIX_CHARS = 256
@@ -63,6 +63,10 @@ def dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that a row with a smaller id equals; all columns stay as they are. Rows without id stay."""
+    """``docs`` with one row of each group of equals, that of the smallest id (null ids come last); all columns stay as they
+    are. Rows are told apart even where ids are null or repeat: one row of equal id and text stays."""
+    rows = numbered_rows(docs, id_col, text_col)
+    if rows is not None:
+        return drop_exact_duplicates(rows, "_row", "_text").select("_doc.*")
     gone = materialise(exact_duplicates(docs, id_col, text_col).filter(F.col(id_col) != F.col("keep_id")).select(F.col(id_col).alias("_gone")).distinct(), "dedup-gone")
     return docs.join(broadcast_if_small(gone), docs[id_col] == gone["_gone"], "left_anti")

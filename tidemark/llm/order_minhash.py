@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .support import broadcast_if_small, materialise, release_memory
+from .support import broadcast_if_small, materialise, numbered_rows, release_memory
 
 K = 5
 SIMILARITY = 0.8
@@ -276,6 +276,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class, that of the least id; columns stay as they are. Rows without id stay."""
+    """``docs`` with one row of each class, that of the least id (null ids come last); columns stay as they are. Rows are told
+    apart even where ids are null or repeat: one row of equal id and text stays."""
+    rows = numbered_rows(docs, id_col, text_col)
+    if rows is not None:
+        return drop_near_duplicates(rows, "_row", "_text").select("_doc.*")
     gone = _stored(near_duplicates(docs, id_col, text_col).filter(F.col("class_id") < F.col(id_col)).select(F.col(id_col).alias("_gone")).distinct())
     return docs.join(broadcast_if_small(gone), docs[id_col] == gone["_gone"], "left_anti")

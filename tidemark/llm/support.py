@@ -64,6 +64,20 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def numbered_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
+    """None where every id is set and occurs once. Else ``_doc, _row, _text`` of each row: the row, its number in order of
+    id (null ids last) and text, and its text, so that rows can be told apart by number."""
+    ids = docs.select(F.col(f"`{id_col}`").alias("_id"))
+    if not ids.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).filter("_id is null or _n > 1").limit(1).count():
+        return None
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = [F.col("_id").asc_nulls_last(), F.xxhash64("_text"), F.xxhash64(F.to_json("_doc"))]
+    rows = docs.select(doc.alias("_doc"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    return materialise(placed.select("_doc", "_row", "_text"), "rows")
+
+
 def crc32_mod(column: str, modulus: int) -> Column:
     """crc32 of the value written as text, modulo ``modulus`` (null id: null)."""
     return F.crc32(F.col(column).cast("string")) % modulus
