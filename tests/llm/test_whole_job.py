@@ -2,7 +2,7 @@
 
 import zlib
 
-from tidemark.llm import exact_dedup, order_minhash, sentencepiece_backend
+from tidemark.llm import ecoc_langid, exact_dedup, order_minhash, sentencepiece_backend
 from tidemark.llm.support import tokenizer_file
 
 
@@ -28,3 +28,13 @@ def test_rows_are_dropped_by_row(spark):
         assert kept.columns == df.columns and sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(want, key=str)
     more = df.union(spark.createDataFrame([(5, near, "s"), (None, near, "s")], df.schema))
     assert sorted(((r["doc_id"], r["text"]) for r in order_minhash.drop_near_duplicates(more).collect()), key=str) == sorted(want, key=str)
+
+
+def test_texts_with_letters_stay_without_a_model(spark):
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 == 1]
+    texts = ["plain words", "é", "日本", "12 34 !", "", None]
+    for lang in ("en", None):  # every labelled row held out; no label at all
+        df = spark.createDataFrame([(i, t, lang) for i, t in zip(held, texts, strict=False)], "doc_id long, text string, lang string")
+        assert ecoc_langid.fit(df) is None
+        kept = ecoc_langid.keep_identified(df)
+        assert kept.columns == df.columns and {r["text"] for r in kept.collect()} == set(texts[:3])

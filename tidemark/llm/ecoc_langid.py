@@ -62,6 +62,11 @@ def ngram_features(text: str | None, buckets: int = BUCKETS) -> np.ndarray | Non
     return np.sqrt(out / 3)
 
 
+def has_letter(texts: pd.Series) -> pd.Series:
+    """Whether a text has a letter, as ``ngram_features`` needs one."""
+    return texts.map(lambda t: bool(t) and bool(_letters()[np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32)].any())).astype(bool)
+
+
 def codewords(k: int, seed: int = 5) -> np.ndarray:
     """k rows of -1 and 1. Up to six classes: all columns that split them (first row 1); more: of random codes of
     10 log2(k) columns the one whose closest rows lie farthest apart."""
@@ -172,10 +177,13 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without texts whose language is undetermined (null, no letter); columns stay as they are.
+    """``docs`` without null texts and texts without a letter, whose language is undetermined; columns stay as they are.
 
-    Ambiguous texts stay: shortness is no reason to lose a clean document.
+    Ambiguous texts stay: shortness is no reason to lose a clean document. Nor is a missing model: where nothing could be
+    learned, every text with a letter stays.
     """
     model = fit(docs, id_col, text_col, lang_col)
-    rows = predict(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(text_col).alias("_text")), model, "_text")
-    return rows.filter(F.col("prediction.lang_pred") != UNDETERMINED).select("_doc.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{text_col}`").alias("_text"))
+    if model is None:
+        return rows.filter(F.pandas_udf(has_letter, "boolean")("_text")).select("_doc.*")
+    return predict(rows, model, "_text").filter(F.col("prediction.lang_pred") != UNDETERMINED).select("_doc.*")
