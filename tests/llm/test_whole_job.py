@@ -2,7 +2,7 @@
 
 import zlib
 
-from tidemark.llm import ecoc_langid, exact_dedup, order_minhash, sentencepiece_backend
+from tidemark.llm import ecoc_langid, exact_dedup, order_minhash, quote_threads, sentencepiece_backend
 from tidemark.llm.support import tokenizer_file
 
 
@@ -38,3 +38,13 @@ def test_texts_with_letters_stay_without_a_model(spark):
         assert ecoc_langid.fit(df) is None
         kept = ecoc_langid.keep_identified(df)
         assert kept.columns == df.columns and {r["text"] for r in kept.collect()} == set(texts[:3])
+
+
+def test_every_conversation_row_is_a_mail(spark):
+    rows = [("c", 0, "first"), ("c", 1, "b"), ("c", 1, "a"), ("c", 1, "a"), ("c", 2, "last"), ("c", None, "no turn"), (None, 1, "no thread"), (None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id string, turn int, text string")
+    mails = quote_threads.as_mail(df)
+    assert sorted(r["text"] for r in mails.collect()) == sorted(["first", *(f"\n> first\n{t}" for t in "baa"), "\n> > first\n\n> a\nlast", "no turn", "no thread", ""])
+    got = quote_threads.link_quotations(mails, "conv_id", "turn").collect()
+    assert sorted(str((r["conv_id"], r["turn"], r["body"])) for r in got) == sorted(str((c, n, t or "")) for c, n, t in rows)
+    assert {r["turn"]: r["parent"] for r in got if r["conv_id"]} == {0: None, 1: 0, 2: 1, None: None}

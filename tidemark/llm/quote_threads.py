@@ -90,13 +90,16 @@ def link_quotations(messages: DataFrame, thread: str, order: str, text: str = "t
 
 
 def as_mail(conversations: DataFrame) -> DataFrame:
-    """Turns as mails: each quotes the turn before, and that turn's own quotation of the one before it, above its own text."""
-    turn = conversations.filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    turn = materialise(turn, "quote-turns")
+    """Every row as a mail: it quotes the turn before, and that turn's own quotation of the one before it, above its own text.
+    A turn that several rows share is quoted by its least text. Rows without conversation or turn quote nothing."""
+    rows = conversations.select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"))
+    placed = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    turn = materialise(rows.filter(placed).groupBy("conv_id", "turn").agg(F.min("text").alias("text")), "quote-turns")
 
     def earlier(by: int, mark: str) -> DataFrame:
         quoted = F.concat(F.regexp_replace(F.concat(F.lit("\n"), "text"), "\n", f"\n{mark}"), F.lit("\n"))
         return turn.select("conv_id", (F.col("turn") + by).alias("turn"), quoted.alias(f"_q{by}"))
 
-    both = turn.join(earlier(1, "> "), ["conv_id", "turn"], "left").join(earlier(2, "> > "), ["conv_id", "turn"], "left")
-    return both.select("conv_id", "turn", F.concat(F.coalesce("_q2", F.lit("")), F.coalesce("_q1", F.lit("")), "text").alias("text"))
+    both = rows.filter(placed).join(earlier(1, "> "), ["conv_id", "turn"], "left").join(earlier(2, "> > "), ["conv_id", "turn"], "left")
+    mails = both.select("conv_id", "turn", F.concat(F.coalesce("_q2", F.lit("")), F.coalesce("_q1", F.lit("")), "text").alias("text"))
+    return mails.union(rows.filter(~placed))
