@@ -2,7 +2,7 @@
 
 import zlib
 
-from tidemark.llm import ecoc_langid, exact_dedup, order_minhash, quote_threads, sentencepiece_backend
+from tidemark.llm import ecoc_langid, exact_dedup, html_extract, order_minhash, quote_threads, sentencepiece_backend
 from tidemark.llm.support import tokenizer_file
 
 
@@ -48,3 +48,26 @@ def test_every_conversation_row_is_a_mail(spark):
     got = quote_threads.link_quotations(mails, "conv_id", "turn").collect()
     assert sorted(str((r["conv_id"], r["turn"], r["body"])) for r in got) == sorted(str((c, n, t or "")) for c, n, t in rows)
     assert {r["turn"]: r["parent"] for r in got if r["conv_id"]} == {0: None, 1: 0, 2: 1, None: None}
+
+
+def test_names_cut_only_what_structure_calls_clutter():
+    long = [" ".join(f"{k}{i}," for i in range(60)) for k in "abcdef"]
+    p = [f"<p>{t}</p>" for t in long]
+    footer = "<div><p>Made by us, here, in town</p></div>"
+    cut = "<div class='related'><a href=x>More of this kind that is all in one link</a></div><div class='share'>Tell a friend</div>"
+    sections = f"<h2 id='discussion'>Talk</h2>{p[0]}<section id='related-work'><h2 class='header'>Work</h2>{p[1]}</section>{cut}{p[2]}"
+    want = ["Talk", long[0], "Work", long[1], long[2]]
+    for page in (f"<body><article>{sections}</article>{footer}</body>", f"<body><div id='post'>{sections}</div>{footer}</body>"):
+        assert html_extract.main_text(page).split("\n\n") == want
+    for name in ("content with-sidebar", "has-comments"):
+        assert html_extract.main_text(f"<body><div class='{name}'>{p[0]}{cut}{p[1]}</div>{footer}</body>").split("\n\n") == long[:2]
+    comments = f"<div id='comments'>{''.join(p[2:])}</div>"
+    assert html_extract.main_text(f"<body><article>{p[0]}{p[1]}</article>{comments}</body>").split("\n\n") == long[:2]
+
+
+def test_blocks_between_kept_siblings_stay():
+    one, two = (" ".join(f"{k}{i}," for i in range(60)) for k in "ab")
+    a, b = f"<div><p>{one}</p><p>{one}</p></div>", f"<div>{f'<p>{two}</p>' * 6}</div>"
+    between = "<h3>Head</h3><ul><li>one<li>two</ul><table><tr><td>cell</table><pre>code</pre><blockquote>said</blockquote><p>short</p><ul><li><a href=x>link</a></ul>"
+    page = f"<body><p>before</p>{a}{between}{b}<p>after</p></body>"
+    assert html_extract.main_text(page).split("\n\n") == [one, one, "Head", "one", "two", "cell", "code", "said", "short", *[two] * 6]

@@ -36,11 +36,15 @@ IMPLIED = {
     "tfoot": (frozenset(["thead", "tbody", "tfoot"]), frozenset(["table"])),
     "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
 }
-#: Words of class and id values that mark what is not the article.
+#: Words of class and id values that mark what is not the article, where structure agrees.
 CLUTTER = frozenset(
     "ad ads adv advert advertisement advertising adsense adslot banner promo promotion sponsor sponsored breadcrumb breadcrumbs cookie cookies consent gdpr notice disclaimer newsletter subscribe subscription signup login popup modal overlay lightbox toolbar menu menubar nav navbar navigation navigations topnav sidebar sidenav rail widget widgets footer foot colophon copyright header masthead comment comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations recommend pagination pager skip hidden tags tagcloud teaser outbrain taboola".split()
 )
 
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: An element so named is clutter below so many letters or from that share of them in links on.
+LITTLE_TEXT, MANY_LINKS = 140, 0.4
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PARTS = re.compile(r"[a-z]+")
@@ -48,29 +52,31 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("children", "clutter", "parent", "score", "tag")
+    __slots__ = ("children", "clutter", "named", "parent", "score", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, clutter: bool):
-        self.tag, self.parent, self.clutter, self.score = tag, parent, clutter, 0.0
+    def __init__(self, tag: str, parent: Node | None, clutter: bool, named: bool = False):
+        self.tag, self.parent, self.clutter, self.named, self.score = tag, parent, clutter, named, 0.0
         self.children: list[Node | str] = []
 
 
-def _is_clutter(tag: str, attributes: str, by_name: bool) -> bool:
+def _marks(tag: str, attributes: str, by_name: bool) -> tuple[bool, bool]:
+    """Whether an element is clutter by its tag, role or hiding, and whether a class or id names it so."""
     if tag in DROPPED:
-        return True
+        return True, False
     if not by_name or not attributes or attributes.isspace() or tag in ("html", "body", "main"):
-        return False
+        return False, False
+    named = False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            if tag != "article" and not CLUTTER.isdisjoint(_PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
-                return True
+            if tag != "article" and tag not in HEADINGS and not CLUTTER.isdisjoint(_PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
+                named = True
         elif name == "role":
             if value.lower() in DROPPED_ROLES:
-                return True
+                return True, False
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-            return True
-    return False
+            return True, False
+    return False, named
 
 
 def parse(page: str, by_name: bool = True) -> Node:
@@ -114,7 +120,7 @@ def parse(page: str, by_name: bool = True) -> Node:
                 node = node.parent
             if last is not None:
                 at = last.parent
-        node = Node(tag, at, _is_clutter(tag, m[3], by_name))
+        node = Node(tag, at, *_marks(tag, m[3], by_name))
         at.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
@@ -146,25 +152,90 @@ def _link_density(node: Node) -> tuple[int, float]:
     return totals[0], totals[1] / totals[0] if totals[0] else 0.0
 
 
+def _is_paragraph(n: Node) -> bool:
+    return n.tag in SCORED or n.tag in ("div", "section", "article", "main", "body", "") and any(isinstance(c, str) and len(c.strip()) > 24 for c in n.children)
+
+
+def _points(totals: list[int]) -> float:
+    return (1.0 + totals[2] + min(totals[0] / 100.0, 3.0)) * (1.0 - totals[1] / totals[0]) if totals[0] else 0.0
+
+
+def judge_names(root: Node) -> list[Node]:
+    """Marks named elements with little text or many links as clutter and gives the outermost of the others, which take no
+    part in the search for the article but belong to it where they lie in it.
+
+    A named element with more points and letters than all that its like would leave of the page loses its mark, unless
+    what is left has text in <article> or <main>."""
+    order: list[tuple[Node, bool]] = []
+    stack = [(root, False)]
+    while stack:
+        n, link = stack.pop()
+        order.append((n, link))
+        stack.extend((c, link or c.tag == "a") for c in n.children if isinstance(c, Node) and not c.clutter)
+    if not any(n.named for n, _ in order):
+        return []
+    sums: dict[int, list[int]] = {}  # letters, letters in links, commas
+    points: dict[int, float] = {}
+    whole: dict[int, int] = {}  # letters in <article> or <main>
+    inner: dict[int, list[Node]] = {}  # the outermost named elements below
+    for n, link in reversed(order):
+        t, p, w, below = [0, 0, 0], 0.0, 0, []
+        for c in n.children:
+            if isinstance(c, str):
+                k = len(c.strip())
+                t[0] += k
+                t[1] += k if link else 0
+                t[2] += c.count(",") + c.count("、") + c.count("，")
+            elif not c.clutter:
+                t = [a + b for a, b in zip(t, sums[id(c)], strict=True)]
+                p += points[id(c)]
+                w += whole[id(c)]
+                below += [c] if c.named else inner[id(c)]
+        sums[id(n)], inner[id(n)] = t, below
+        points[id(n)] = p + (_points(t) if _is_paragraph(n) else 0.0)
+        whole[id(n)] = t[0] if n.tag in ("article", "main") else w
+    named = inner[id(root)]
+
+    def left(of: dict, at: Node, value=lambda x: x):
+        return value(of[id(at)]) - sum(value(of[id(n)]) for n in inner[id(at)])
+
+    first = lambda t: t[0]
+    score, letters, article = left(points, root), left(sums, root, first), left(whole, root)
+    while named and not article:
+        top = max(named, key=lambda n: points[id(n)])
+        if points[id(top)] <= score or sums[id(top)][0] <= letters:
+            break
+        top.named = False
+        named = [n for n in named if n is not top] + inner[id(top)]
+        score, letters, article = score + left(points, top), letters + left(sums, top, first), article + left(whole, top)
+    for n, _ in order:
+        if n.named and (sums[id(n)][0] < LITTLE_TEXT or sums[id(n)][1] > MANY_LINKS * sums[id(n)][0]):
+            n.clutter = True
+    return [n for n in named if not n.clutter]
+
+
 def _paragraphs(root: Node) -> Iterator[Node]:
     """Elements that count as paragraphs: those of SCORED, and other containers with text of their own."""
     stack = [root]
     while stack:
         n = stack.pop()
-        if n.tag in SCORED or n.tag in ("div", "section", "article", "main", "body", "") and any(isinstance(c, str) and len(c.strip()) > 24 for c in n.children):
+        if _is_paragraph(n):
             yield n
         stack.extend(c for c in n.children if isinstance(c, Node) and not c.clutter)
 
 
 def best_containers(root: Node) -> list[Node]:
-    """The container with most points and its siblings worth keeping, in page order."""
+    """The container with most points, its siblings worth keeping and the blocks between them, in page order."""
+    named = judge_names(root)
+    for n in named:
+        n.clutter = True
     candidates: dict[int, Node] = {}
     for p in _paragraphs(root):
         totals = [0, 0, 0]
         _own(p, False, totals)
         if not totals[0]:
             continue
-        points = (1.0 + totals[2] + min(totals[0] / 100.0, 3.0)) * (1.0 - totals[1] / totals[0])
+        points = _points(totals)
         own = p.tag not in SCORED  # a container with text of its own gets its points itself
         node, level = (p if own else p.parent), 0
         while node is not None and level < 4:
@@ -172,12 +243,16 @@ def best_containers(root: Node) -> list[Node]:
             candidates[id(node)] = node
             node, level = node.parent, level + 1
     if not candidates:
+        for n in named:
+            n.clutter = False
         return [root]
     best, top = root, -1.0
     for node in candidates.values():
         score = node.score * (1.0 - _link_density(node)[1])
         if score > top:
             best, top = node, score
+    for n in named:
+        n.clutter = False
     # an article is one piece, also where a part of it has most of the points
     node = best
     while node.parent is not None:
@@ -187,15 +262,15 @@ def best_containers(root: Node) -> list[Node]:
             break
     if best.parent is None:
         return [best]
-    kept = []
-    for c in best.parent.children:
-        if c is best:
-            kept.append(c)
-        elif isinstance(c, Node) and not c.clutter:
-            length, links = _link_density(c)
-            if c.score * (1.0 - links) >= max(10.0, 0.2 * top) or c.tag == best.tag == "article" or c.tag == "p" and length > 80 and links < 0.25 or c.tag in ("h1", "h2") and length:
-                kept.append(c)
-    return kept
+    around = [c for c in best.parent.children if isinstance(c, Node) and not c.clutter]
+    kept, blocks = [], []
+    for k, c in enumerate(around):
+        length, links = _link_density(c)
+        if c is best or not c.named and (c.score * (1.0 - links) >= max(10.0, 0.2 * top) or c.tag == best.tag == "article" or c.tag == "p" and length > 80 and links < 0.25 or c.tag in ("h1", "h2") and length):
+            kept.append(k)
+        elif length and (c.tag in HEADINGS or c.tag in BLOCK and links <= MANY_LINKS):
+            blocks.append(k)
+    return [around[k] for k in sorted([*kept, *(k for k in blocks if kept[0] < k < kept[-1])])]
 
 
 def _blocks(root: Node) -> list[str]:
@@ -230,7 +305,8 @@ def _blocks(root: Node) -> list[str]:
 def main_text(page: str | None) -> str:
     """Text of the page's article: blocks in page order, white space within a block as one blank, two line feeds between.
 
-    Where the names of classes leave nothing of a page, they are taken for misleading and passed over."""
+    A class or id names clutter only where structure agrees (see ``judge_names``); where names, roles and hiding leave nothing
+    of a page, they are passed over."""
     if not page:
         return ""
     return "\n\n".join(_blocks(parse(page)) or _blocks(parse(page, by_name=False)))
