@@ -2,7 +2,7 @@
 
 import zlib
 
-from tidemark.llm import ecoc_langid, exact_dedup, html_extract, order_minhash, quote_threads, sentencepiece_backend
+from tidemark.llm import ecoc_langid, exact_dedup, html_extract, order_minhash, quote_threads, sentencepiece_backend, toxicity
 from tidemark.llm.support import tokenizer_file
 
 
@@ -71,3 +71,10 @@ def test_blocks_between_kept_siblings_stay():
     between = "<h3>Head</h3><ul><li>one<li>two</ul><table><tr><td>cell</table><pre>code</pre><blockquote>said</blockquote><p>short</p><ul><li><a href=x>link</a></ul>"
     page = f"<body><p>before</p>{a}{between}{b}<p>after</p></body>"
     assert html_extract.main_text(page).split("\n\n") == [one, one, "Head", "one", "two", "cell", "code", "said", "short", *[two] * 6]
+
+
+def test_capitals_count_alike_at_every_length():
+    for word in ("ΑΒΓΔ ", "ДОМ ", "ÉÀÜab ", "Word "):
+        short, long = (toxicity.dense_features(word * k, {}) for k in (100, 2000))
+        rate = sum(map(str.isupper, word)) / len(word.strip())
+        assert short[9] == long[9] == rate

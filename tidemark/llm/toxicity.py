@@ -44,6 +44,16 @@ _MIXED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])(?=\S*[\d@$!|+€*])[^\W_][\w@$!|+
 _STRETCHED = re.compile(r"([^\W\d_])\1\1")
 
 
+_UPPER: list[np.ndarray] = []
+
+
+def _upper() -> np.ndarray:
+    """For each code point whether it is an upper-case character; made once a worker."""
+    if not _UPPER:
+        _UPPER.append(np.fromiter((chr(c).isupper() for c in range(0x110000)), bool, 0x110000))
+    return _UPPER[0]
+
+
 def dense_features(text: str | None, lexicon: dict[str, float]) -> list[float]:
     """The values of FEATURES. Null and empty texts: zeros. ``lexicon`` holds words, and word beginnings that end in ``-``."""
     if not text:
@@ -79,7 +89,7 @@ def dense_features(text: str | None, lexicon: dict[str, float]) -> list[float]:
         w = m.lower().translate(SUBSTITUTES).replace("*", "")
         unmasked += w in INSULTS or get(w, 0.0) > 0 or any(get(w[:k] + "-", 0.0) > 0 for k in PREFIX_LENGTHS)
     letters = max(1, sum(map(len, cased)))
-    capitals = sum(map(str.isupper, text)) if n < 4096 else len(re.findall(r"[A-Z]", text)) + sum(w[0] > "\x7f" and w[0].isupper() for w in cased)
+    capitals = int(_upper()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].sum())
     return [
         len(at) / total, math.log1p(len(at)), max(weights, default=0.0), sum(weights) / total, math.log1p(len(known)), float(cluster), sum(w in INSULTS for w in words) / total, len(you) / total, 1.0 / (1.0 + near),
         capitals / letters, sum(len(w) > 1 and w.isupper() for w in cased) / total, (text.count("!") + text.count("?")) / n, sum(map(text.count, ".,;:!?*#%&$|-")) / n, len(mixed) / total, math.log1p(unmasked), sum(1 for _ in _STRETCHED.finditer(text)) / total, math.log1p(len(words)),
