@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import json
 import os
 import tempfile
 import uuid
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one or two machine words that may be broadcast (at most about 64 MB as a hash relation).
 BROADCAST_ROWS = 1_000_000
+#: Bytes of rows that go to a Python worker at once (a longer row goes alone).
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +62,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on this session sends rows to Python by bytes, not by 10,000 rows of any length: both the executor and its
+    worker hold a batch several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when a count (of a materialised, narrow table) proves the bound; else Spark shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -122,10 +131,11 @@ class WordEncoder:
 
     def __init__(self, tokenizer, token_bytes: np.ndarray, mark: str, whole=None, marks_first: bool = False):
         self.tokenizer, self.token_bytes, self.mark, self.marks_first = tokenizer, token_bytes, mark, marks_first
+        self.top = len(token_bytes) - 1  # greatest id
         self.whole = whole or tokenizer
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.numbers = _Numbers()
         self.ids = np.empty(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)  # of the ids of word k: ends[k] .. ends[k + 1]
@@ -134,12 +144,12 @@ class WordEncoder:
     def _keep_frequent(self) -> None:
         kept = np.flatnonzero(self.uses[: len(self.numbers)] > 2)
         if len(kept) > _CACHE_WORDS // 2:
-            return self._forget()
+            return self.forget()
         words, begin = list(self.numbers), self.ends[kept]
         counts = self.ends[kept + 1] - begin
         stops = np.cumsum(counts)
         ids = self.ids[np.arange(stops[-1]) + np.repeat(begin - stops + counts, counts)] if len(kept) else self.ids[:0]
-        self._forget()
+        self.forget()
         self.numbers.update((words[k], i) for i, k in enumerate(kept.tolist()))
         self.ids = np.concatenate([ids, np.empty(1 << 16, np.uint32)])
         self.ends = np.concatenate([[0], stops, np.zeros(1 << 14, np.int64)]).astype(np.int64)
@@ -208,13 +218,40 @@ class WordEncoder:
             yield from self._slice(held)
 
 
-def byte_level_encoder(path: str) -> WordEncoder:
-    """A byte-level BPE without normaliser: each character of a token stands for one byte."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use every core
+class WholeTextEncoder:
+    """Ids of whole texts, for tokenizers that nothing is known about."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.top = max(tokenizer.get_vocab(with_added_tokens=True).values(), default=0)
+
+    def forget(self) -> None:
+        pass
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        for text in texts:
+            yield np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, np.uint32)
+
+
+def splits_at_blanks(description: dict) -> bool:
+    """Whether a tokenizer file's description is a byte-level BPE whose own pattern cuts texts before each blank that follows
+    another character than white space: no normaliser, no truncation, no words that are matched across the text."""
+    model, cutter = description.get("model") or {}, description.get("pre_tokenizer") or {}
+    plain = not description.get("normalizer") and not description.get("truncation") and not description.get("padding")
+    own = cutter.get("type") == "ByteLevel" and cutter.get("use_regex", True) and not cutter.get("add_prefix_space", True)
+    bpe = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "unk_token"))
+    return bool(plain and own and bpe and all(t.get("special") for t in description.get("added_tokens") or []))
+
+
+def byte_level_encoder(path: str) -> WordEncoder | WholeTextEncoder:
+    """The encoder for a tokenizer file: by words where ``splits_at_blanks``, else whole texts. Each character of a byte-level
+    token stands for one byte."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    if not splits_at_blanks(json.loads(tokenizer.to_str())):
+        return WholeTextEncoder(tokenizer)
     vocabulary = tokenizer.get_vocab(with_added_tokens=False)
     token_bytes = np.ones(max(vocabulary.values()) + 1, np.int64)
     for token, i in vocabulary.items():
@@ -222,19 +259,22 @@ def byte_level_encoder(path: str) -> WordEncoder:
     return WordEncoder(tokenizer, token_bytes, " ")
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder | WholeTextEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder per Python worker and file."""
+def encoder(path: str) -> WordEncoder | WholeTextEncoder:
+    """One encoder per Python worker and file; it forgets its words when a task ends (``release_memory``)."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use every core
     if path not in _ENCODERS:
         _ENCODERS[path] = byte_level_encoder(path)
     return _ENCODERS[path]
 
 
 def release_memory() -> None:
-    """Give freed memory back to the system at the end of a task: Spark keeps Python workers for later stages, and both Arrow's
-    pool and the C library hold on to what a large batch once took."""
+    """Give memory back to the system at the end of a task: Spark keeps Python workers for later stages, and encoders, Arrow's
+    pool and the C library hold on to what a task once took."""
+    for known in _ENCODERS.values():
+        known.forget()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -1,7 +1,9 @@
 """Toxicity: gradient-boosted trees over dense text features, with isotonic calibration.
 
-The lexicon is learned: words and word beginnings that mark toxic rows of a bounded sample of labelled training rows. Trees
-and calibration are Spark ML models fitted on separate parts of that sample.
+The lexicon is learned: words and word beginnings that mark toxic rows of a bounded sample of labelled training rows. Training
+rows get their features from a lexicon of the other half of the sample, so that its entries don't look better than they are.
+Trees and calibration are Spark ML models: three quarters of the sample grow the trees, the last one, which they haven't seen,
+calibrates them.
 """
 
 from __future__ import annotations
@@ -19,13 +21,12 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .support import crc32_mod, materialise, release_memory, shared_dir
+from .support import bounded_batches, crc32_mod, materialise, release_memory, shared_dir
 
 #: Labelled training rows that lexicon, trees and calibration are fitted on, at most (chosen by a hash of the id).
 SAMPLE_ROWS = 12_000
-#: Entries of the learned lexicon, at most: those that tell most.
-LEXICON_ENTRIES = 3_000
-MIN_DOCUMENTS = 4
+#: Toxic training rows that an entry of the lexicon is in at least, and how many times as frequent it is there.
+MIN_DOCUMENTS, MIN_RATIO = 3, 10.0
 PREFIX_LENGTHS = (4, 5, 6)
 TREES, DEPTH, STEP = 20, 4, 0.25
 
@@ -106,20 +107,34 @@ def feature_column(text: Column, lexicon: dict[str, float]) -> Column:
     return features(text)
 
 
-def learn_lexicon(sample: DataFrame, entries: int = LEXICON_ENTRIES, min_documents: int = MIN_DOCUMENTS) -> dict[str, float]:
-    """Words and beginnings of ``sample`` (text, label) with their log-odds, for those that are at least ten times as frequent
-    in toxic rows; in each row a term counts once."""
-    sizes = sample.agg(F.sum("label"), F.count(F.lit(1))).first()
-    toxic, clean = sizes[0] or 0, sizes[1] - (sizes[0] or 0)
-    if not toxic or not clean:
-        return {}
+def learn_lexicons(sample: DataFrame, min_documents: int = MIN_DOCUMENTS) -> list[dict[str, float]]:
+    """Words and beginnings of ``sample`` (text, label, half) with their log-odds, for those that are at least MIN_RATIO times as
+    frequent in toxic rows: of half 0, of half 1 and of both. In each row a term counts once. One aggregation gives all three;
+    their size is bounded by that of the sample."""
+    sizes = {r["half"]: (r["a"], r["b"]) for r in sample.groupBy("half").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).collect()}
+    toxic, clean = ([sizes.get(h, (0, 0))[k] for h in (0, 1)] for k in (0, 1))
     words = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+"))
-    beginnings = [F.transform(F.filter("words", lambda w, k=k: F.length(w) >= k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("-"))) for k in PREFIX_LENGTHS]
-    terms = sample.select("label", words.alias("words")).select("label", F.explode(F.array_distinct(F.concat("words", *beginnings))).alias("term"))
-    counts = terms.groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).filter((F.col("a") >= min_documents) & (F.col("term") != ""))
-    odds = F.log((F.col("a") + 0.5) / (toxic + 1.0)) - F.log((F.col("b") + 0.5) / (clean + 1.0))
-    best = counts.withColumn("weight", odds).filter(F.col("weight") >= math.log(10)).orderBy(F.desc(F.col("weight") * F.log1p("a")), "term").limit(entries)
-    return {r["term"]: r["weight"] for r in best.select("term", "weight").toLocalIterator()}
+
+    def beginnings(k: int) -> Column:
+        return F.transform(F.filter("words", lambda w: F.length(w) >= k), lambda w: F.concat(F.substring(w, 1, k), F.lit("-")))
+
+    terms = sample.select("label", "half", words.alias("words")).select("label", "half", F.explode(F.array_distinct(F.concat("words", *map(beginnings, PREFIX_LENGTHS)))).alias("term"))
+    counts = terms.groupBy("term").agg(*[F.sum(F.when(F.col("half") == h, F.col("label") if k == "a" else 1 - F.col("label")).otherwise(0)).alias(f"{k}{h}") for h in (0, 1) for k in "ab"])
+    counts = counts.filter((F.col("term") != "") & (F.col("a0") + F.col("a1") >= min_documents))
+
+    def weight(a: Column, b: Column, n_a: int, n_b: int) -> Column:
+        odds = F.log((a + 0.5) / (n_a + 1.0)) - F.log((b + 0.5) / (n_b + 1.0))
+        return F.when((a >= min_documents) & (odds >= math.log(MIN_RATIO)), odds)
+
+    weights = [weight(F.col(f"a{h}"), F.col(f"b{h}"), toxic[h], clean[h]) for h in (0, 1)] + [weight(F.col("a0") + F.col("a1"), F.col("b0") + F.col("b1"), sum(toxic), sum(clean))]
+    names = ["w0", "w1", "w2"]
+    found = counts.select("term", *[w.alias(n) for w, n in zip(weights, names, strict=True)]).filter("w0 is not null or w1 is not null or w2 is not null")
+    lexicons: list[dict[str, float]] = [{}, {}, {}]
+    for row in found.toLocalIterator():
+        for lexicon, n in zip(lexicons, names, strict=True):
+            if row[n] is not None:
+                lexicon[row["term"]] = row[n]
+    return lexicons
 
 
 @dataclass
@@ -131,6 +146,7 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """Adds ``score`` (0 to 1) to ``docs``, in place of a column of that name; without fitted trees every row gets the base rate of the labels."""
+        bounded_batches(docs.sparkSession)
         if self.trees is None or self.calibration is None:
             return docs.withColumn("score", F.lit(float(self.base_rate)))
         names = [c for c in docs.columns if c != "score"]
@@ -145,34 +161,33 @@ class ToxicityModel:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Fit on rows of ``docs`` that ``labels`` (doc_id, toxic) marks and whose crc32(id as text) mod 5 is not 0.
 
-    Null labels and ids don't count; of several labels the greatest holds. Too few rows of either class: a constant model.
+    Null labels and ids don't count; of several labels the greatest holds; rows of ``docs`` that repeat an id count once each.
+    Where the rows that grow the trees or those that calibrate them lack a class: a constant model.
     """
     shared_dir(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     marked = labels.filter(F.col("toxic").isNotNull() & (crc32_mod("doc_id", 5) != 0)).groupBy(F.col("doc_id").alias("_id")).agg((F.max("toxic") > 0).cast("int").alias("label"))
     marked = materialise(marked, "toxicity-labels")
     total = marked.count()
     order = F.pmod(F.xxhash64("_id"), F.lit(1_000_003))
     chosen = materialise(marked.filter(order < max(1, int(1_000_003 * min(1.0, 0.97 * sample_rows / max(1, total))))).limit(sample_rows), "toxicity-chosen")
+    part = F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(4))
     rows = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "text", "label")
     sample = materialise(rows, "toxicity-sample")
     sums = sample.agg(F.sum("label"), F.count(F.lit(1))).first()
-    toxic, seen = sums[0] or 0, sums[1]
-    rate = toxic / seen if seen else 0.0
-    if toxic < 3 or seen - toxic < 3:
-        return ToxicityModel({}, None, None, rate)
-    # the lexicon sees half of the rows and the trees the other half, so that its words don't look better than they are
-    part = F.pmod(F.xxhash64(F.lit(1), "_id"), F.lit(4))
-    lexicon = learn_lexicon(sample.filter(part < 2).select("text", "label"), min_documents=MIN_DOCUMENTS if seen > 2000 else 3)
-    features = materialise(
-        sample.select(part.alias("part"), F.col("label").cast("double").alias("label"), feature_column(F.col("text"), lexicon).alias("features")).coalesce(4), "toxicity-features"
-    ).select("part", "label", array_to_vector("features").alias("_features"))
-    boosted = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=11)
-    later = features.filter("part >= 2") if features.filter("part >= 2").agg(F.countDistinct("label")).first()[0] == 2 else features
-    trees = boosted.fit(later)
-    held = features.filter("part = 3") if features.filter("part = 3").agg(F.sum("label")).first()[0] > 30 else features
+    rate = (sums[0] or 0) / sums[1] if sums[1] else 0.0
+    lexicons = learn_lexicons(sample.select("text", "label", (part % 2).alias("half")))
+    halves = [
+        sample.filter(part % 2 == h).select(part.alias("part"), F.col("label").cast("double").alias("label"), feature_column(F.col("text"), lexicons[1 - h]).alias("features")) for h in (0, 1)
+    ]
+    features = materialise(halves[0].union(halves[1]).coalesce(4), "toxicity-features").select("part", "label", array_to_vector("features").alias("_features"))
+    grown, held = features.filter("part < 3"), features.filter("part = 3")
+    if any(rows.agg(F.countDistinct("label")).first()[0] < 2 for rows in (grown, held)):
+        return ToxicityModel(lexicons[2], None, None, rate)
+    trees = GBTClassifier(featuresCol="_features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=11).fit(grown)
     points = trees.transform(held).select("label", array_to_vector(F.array(vector_to_array("probability")[1])).alias("_vector"))
     calibration = IsotonicRegression(featuresCol="_vector", labelCol="label", predictionCol="_calibrated").fit(points)
-    return ToxicityModel(lexicon, trees, calibration, rate)
+    return ToxicityModel(lexicons[2], trees, calibration, rate)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
