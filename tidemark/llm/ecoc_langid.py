@@ -1,7 +1,9 @@
 """Language identification by error-correcting output codes over hashed character n-grams.
 
-Each bit of a codeword is predicted by a binary logistic regression (Spark ML) on a bounded sample; loss-weighted decoding
-chooses the nearest codeword, and a small lead over the second is flagged as ambiguous.
+Each bit of a codeword is predicted by a binary classifier: the mean log-ratio of a text's n-grams between the languages on
+either side of the bit, scaled by how far such means scatter in texts of that length. The n-gram counts are one aggregation
+over a bounded sample, the scales and the weight of each bit another one over a part of it that the counts leave out.
+Loss-weighted decoding chooses the nearest codeword, and a small lead over the second is flagged as ambiguous.
 """
 
 from __future__ import annotations
@@ -13,20 +15,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import crc32_mod, materialise, release_memory, shared_dir
+from .support import bounded_batches, crc32_mod, materialise, release_memory, shared_dir
 
-#: Training documents of each language, at most about (chosen by a hash of the id).
-SAMPLE_PER_LANGUAGE = 500
-BUCKETS = 2048
-#: Lengths of the windows that stand for short texts in training.
+#: Training documents of each language, at most about (chosen by a hash of the id), and languages, at most (the most frequent).
+SAMPLE_PER_LANGUAGE, LANGUAGES = 2000, 200
+BUCKETS = 8192
+#: N-grams that a training document counts for at most, and what each bucket counts besides.
+DOCUMENT_WEIGHT, SMOOTHING = 1000.0, 0.5
+#: Lengths of the windows that stand for short texts where scales are measured.
 WINDOWS = (160, 60, 24)
 #: A lead of the best probability over the second below this is ambiguous.
 AMBIGUOUS_LEAD = 0.2
+#: A text of at least so many letters and word ends, where a usual text of that length has such a lead in probability, is mixed if
+#: it lies less than this share of the way from the middle between two codewords to the nearer one.
+LONG_TEXT, USUAL_LEAD, MIXED_LEAD = 200, 0.9, 0.2
 UNDETERMINED = "und"
 
 _LETTERS: list[np.ndarray] = []
@@ -39,8 +44,9 @@ def _letters() -> np.ndarray:
     return _LETTERS[0]
 
 
-def ngram_features(text: str | None, buckets: int = BUCKETS) -> np.ndarray | None:
-    """Square roots of the shares of hashed 1-, 2- and 3-grams of lower-case letters and word ends; None without a letter."""
+def ngram_shares(text: str | None, buckets: int = BUCKETS) -> tuple[np.ndarray, int] | None:
+    """Shares of hashed 1-, 2- and 3-grams of lower-case letters and word ends, and how many letters and word ends there are;
+    None without a letter."""
     if not text:
         return None
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -57,13 +63,12 @@ def ngram_features(text: str | None, buckets: int = BUCKETS) -> np.ndarray | Non
     out = np.zeros(buckets)
     for order, h in enumerate((one, two, three)):
         h = h ^ (h >> np.uint32(16)) ^ np.uint32(order * 977)
-        counts = np.bincount(h % np.uint32(buckets), minlength=buckets)
-        out += counts / len(h)
-    return np.sqrt(out / 3)
+        out += np.bincount(h % np.uint32(buckets), minlength=buckets) / len(h)
+    return out / 3, len(c)
 
 
 def has_letter(texts: pd.Series) -> pd.Series:
-    """Whether a text has a letter, as ``ngram_features`` needs one."""
+    """Whether a text has a letter, as ``ngram_shares`` needs one."""
     return texts.map(lambda t: bool(t) and bool(_letters()[np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32)].any())).astype(bool)
 
 
@@ -83,107 +88,186 @@ def codewords(k: int, seed: int = 5) -> np.ndarray:
     return best
 
 
+def bit_weights(shares: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Buckets x bits: log-ratio of the mean n-gram shares (languages x buckets) on either side of each bit."""
+    sides = [(np.log((code > 0).astype(float).T @ shares / (code > 0).sum(0)[:, None])), np.log((code < 0).astype(float).T @ shares / (code < 0).sum(0)[:, None])]
+    return (sides[0] - sides[1]).T
+
+
 @dataclass
 class LanguageModel:
-    """``weights``: buckets x bits; ``code``: languages x bits; ``trust``: weight of each bit for each language."""
+    """``code``: languages x bits; ``weights``: buckets x bits; ``middle``, ``gap``: for each bit the point half-way between the
+    means of its sides, and how far these are apart; ``spread``: for each bit the variance of a long text and what 1 / length
+    adds to it; ``trust``: weight of each bit for each language, each language's sum 1."""
 
     languages: list[str]
-    weights: np.ndarray
-    bias: np.ndarray
     code: np.ndarray
+    weights: np.ndarray
+    middle: np.ndarray
+    gap: np.ndarray
+    spread: np.ndarray
     trust: np.ndarray
 
-    def decode(self, x: np.ndarray) -> tuple[str, float, bool]:
-        """Language, probability and whether it is ambiguous."""
-        if len(self.languages) == 1:
-            return self.languages[0], 1.0, False
-        margins = x @ self.weights + self.bias
-        loss = (self.trust * np.logaddexp(0.0, -self.code * margins)).sum(1) * self.code.shape[1] / 2
+    def margins(self, x: np.ndarray, n: int) -> np.ndarray:
+        """Log-odds of each bit for a text of n letters and word ends."""
+        return (x @ self.weights - self.middle) * self.gap / (self.spread[0] + self.spread[1] / n)
+
+    def losses(self, margins: np.ndarray) -> np.ndarray:
+        """Weighted logistic loss of each language's codeword."""
+        return (self.trust * np.logaddexp(0.0, -self.code * margins)).sum(1) * self.code.shape[1] / 2
+
+    def lead(self, margins: np.ndarray) -> tuple[int, float, float]:
+        """Place of the nearest language, its probability, and how far that is above the next one's."""
+        loss = self.losses(margins)
         p = np.exp(loss.min() - loss)
         p /= p.sum()
         best, second = np.argsort(-p, kind="stable")[:2]
-        return self.languages[best], float(p[best]), bool(p[best] - p[second] < AMBIGUOUS_LEAD)
+        return int(best), float(p[best]), float(p[best] - p[second])
+
+    def decode(self, x: np.ndarray, n: int) -> tuple[str, float, bool, bool]:
+        """Language, probability, whether it is ambiguous, and whether the text is mixed: long, but between two codewords."""
+        if len(self.languages) == 1:
+            return self.languages[0], 1.0, False, False
+        best, p, lead = self.lead(self.margins(x, n))
+        return self.languages[best], p, lead < AMBIGUOUS_LEAD, n >= LONG_TEXT and self.between(x, best) < MIXED_LEAD and self.usual_lead(best, n) >= USUAL_LEAD
+
+    def usual_lead(self, best: int, n: int) -> float:
+        return self.lead(self.code[best] * self.gap * self.gap / 2 / (self.spread[0] + self.spread[1] / n))[2]
+
+    def between(self, x: np.ndarray, best: int) -> float:
+        """Where the text lies between the codeword of ``best`` (1) and the middle to another's (0), for the nearest other."""
+        at = (x @ self.weights - self.middle) / (self.gap / 2)
+        off = self.trust[best] * self.code[best] * (1 - self.code[best] * self.code) / 2  # where the codewords differ
+        return float(np.delete((off @ at) / np.maximum(off @ self.code[best], 1e-9), best).min())
+
+
+def views(text: str) -> list[str]:
+    """The whole text and some short windows of it."""
+    cuts = [text]
+    for i, n in enumerate(WINDOWS):
+        if len(text) > 2 * n:
+            at = (len(text) - n) * (2 * i + 1) // (2 * len(WINDOWS))
+            cuts.append(text[at : at + n])
+    return cuts
+
+
+def _count(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sums: dict[str, np.ndarray] = {}
+    for batch in rows:
+        for lang, text in zip(batch["lang"], batch["text"], strict=True):
+            if (found := ngram_shares(text)) is not None:
+                x, n = found
+                sums[lang] = sums.get(lang, 0.0) + x * min(float(n), DOCUMENT_WEIGHT)
+    for lang, total in sums.items():
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"lang": lang, "bucket": at.astype(np.int32), "total": total[at]})
+    release_memory()
+
+
+def scales(held: DataFrame, languages: list[str], shares: np.ndarray, code: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``middle, gap, spread, trust`` of a model, measured on texts (lang, text) that its counts have not seen. A language
+    without such a text gets the means that its own n-grams give, and trust 1."""
+    place = {c: i for i, c in enumerate(languages)}
+
+    def project(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            out = []
+            for lang, text in zip(batch["lang"], batch["text"], strict=True):
+                if lang in place:
+                    out += [(place[lang], found[1], (found[0] @ weights).tolist()) for v in views(text) if (found := ngram_shares(v)) is not None]
+            yield pd.DataFrame(out, columns=["k", "n", "z"])
+        release_memory()
+
+    k_languages, bits = code.shape
+    points = materialise(held.mapInPandas(project, "k int, n int, z array<double>"), "langid-points").select("k", "n", F.posexplode("z").alias("b", "z"))
+    means = shares @ weights
+    for r in points.groupBy("k", "b").agg(F.avg("z").alias("m")).collect():  # languages x bits at most
+        means[r["k"], r["b"]] = r["m"]
+    high = (means * (code > 0)).sum(0) / (code > 0).sum(0)
+    low = (means * (code < 0)).sum(0) / (code < 0).sum(0)
+    middle, gap = (high + low) / 2, np.maximum(high - low, 1e-9)
+    sides = held.sparkSession.createDataFrame([(k, b, float(means[k, b]), float(middle[b]), bool(code[k, b] > 0)) for k in range(k_languages) for b in range(bits)], "k int, b int, mean double, middle double, positive boolean")
+    short, off = 1.0 / F.col("n"), (F.col("z") - F.col("mean")) * (F.col("z") - F.col("mean"))
+    sums = points.join(F.broadcast(sides), ["k", "b"]).groupBy("k", "b").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(short).alias("u"), F.sum(short * short).alias("uu"), F.sum(off).alias("v"), F.sum(off * short).alias("uv"), F.avg(((F.col("z") > F.col("middle")) == F.col("positive")).cast("double")).alias("hit"),
+    )
+    trust, total = np.ones(code.shape), np.zeros((bits, 5))
+    for r in sums.collect():
+        trust[r["k"], r["b"]] = r["hit"]
+        total[r["b"]] += (r["n"], r["u"], r["uu"], r["v"], r["uv"])
+    n, u, uu, v, uv = total.T
+    slope = np.maximum((n * uv - u * v) / np.maximum(n * uu - u * u, 1e-12), 0.0)
+    floor = np.maximum((v - slope * u) / np.maximum(n, 1), 0.0) + (0.1 * gap) ** 2 + (n == 0) * gap**2
+    return middle, gap, np.stack([floor, slope]), trust / np.maximum(trust.sum(1, keepdims=True), 1e-9)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
-    """Fit on rows whose crc32(id as text) mod 3 is not 1 and whose language is known; None if there is no such row with a letter."""
-    shared_dir(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    """Fit on rows whose crc32(id as text) mod 3 is not 1 and whose language is known; None if there is no such row with a
+    letter. Rows that repeat an id share its fate in the sample and count once each."""
+    spark = docs.sparkSession
+    shared_dir(spark)
+    bounded_batches(spark)
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc32_mod("_id", 3) != 1))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return None
+    share = (1_000_003 * F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))).cast("long") + 1
+    known = materialise(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang", share.alias("_share")), "langid-languages")
     place = F.pmod(F.xxhash64("_id"), F.lit(1_000_003))
-    limit = F.create_map(*itertools.chain.from_iterable((F.lit(k), F.lit(int(1_000_003 * min(1.0, per_language / n)) + 1)) for k, n in counts.items()))
-    chosen = rows.filter(place < limit[F.col("lang")])
-
-    @F.pandas_udf("array<array<float>>")
-    def views(texts: pd.Series) -> pd.Series:
-        """Features of the whole text and of some short windows of it."""
-
-        def each(text: str) -> list:
-            cuts = [text]
-            for i, n in enumerate(WINDOWS):
-                if len(text) > 2 * n:
-                    at = (len(text) - n) * (2 * i + 1) // (2 * len(WINDOWS))
-                    cuts.append(text[at : at + n])
-            return [x.astype(np.float32) for c in cuts if (x := ngram_features(c)) is not None]
-
-        return texts.map(each)
-
-    sample = materialise(chosen.select("lang", F.explode(views("text")).alias("x")), "langid-sample").coalesce(6).select("lang", array_to_vector(F.col("x").cast("array<double>")).alias("features")).cache()
-    languages = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
+    part = F.pmod(F.xxhash64(F.lit(2), "_id"), F.lit(4))
+    sample = materialise(rows.join(F.broadcast(known), "lang").filter(place < F.col("_share")).select("lang", "text", part.alias("part")), "langid-sample")
+    counts = sample.filter("part < 3").select("lang", "text").mapInPandas(_count, "lang string, bucket int, total double").groupBy("lang", "bucket").agg(F.sum("total").alias("total"))
+    found = counts.toPandas()  # languages x buckets at most
+    languages = sorted(found["lang"].unique())
     if not languages:
         return None
-    code = codewords(len(languages))
-    weights, bias = np.zeros((BUCKETS, code.shape[1])), np.zeros(code.shape[1])
-    trust = np.ones(code.shape)
-    for b in range(code.shape[1]):
-        positive = [c for c, bit in zip(languages, code[:, b], strict=True) if bit > 0]
-        bit = sample.withColumn("label", F.col("lang").isin(positive).cast("double"))
-        model = LogisticRegression(maxIter=25, regParam=2e-4, standardization=False, featuresCol="features", labelCol="label").fit(bit)
-        weights[:, b], bias[b] = model.coefficients.toArray(), model.intercept
-        hits = {r["lang"]: r["hit"] for r in model.transform(bit).groupBy("lang").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("hit")).collect()}
-        trust[:, b] = [hits[c] for c in languages]
-    sample.unpersist()
-    return LanguageModel(languages, weights, bias, code.astype(float), trust / np.maximum(trust.sum(1, keepdims=True), 1e-9) if code.shape[1] else trust)
-
-
+    shares = np.full((len(languages), BUCKETS), SMOOTHING)
+    np.add.at(shares, (np.searchsorted(languages, found["lang"]), found["bucket"].to_numpy()), found["total"].to_numpy())
+    shares /= shares.sum(1, keepdims=True)
+    code = codewords(len(languages)).astype(float)
+    if len(languages) == 1:
+        none = np.zeros(0)
+        return LanguageModel(languages, code, np.zeros((BUCKETS, 0)), none, none, np.zeros((2, 0)), code)
+    weights = bit_weights(shares, code)
+    return LanguageModel(languages, code, weights, *scales(sample.filter("part = 3").select("lang", "text"), languages, shares, code, weights))
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
-    """Adds ``prediction`` (lang_pred, score, ambiguous) to ``docs``: `und` with score 0 for null texts and texts without a
-    letter, and for all texts if nothing could be learned."""
+    """Adds ``prediction`` (lang_pred, score, ambiguous, mixed) to ``docs``: `und` with score 0 for null texts and texts without a
+    letter, and for all texts if nothing could be learned. ``mixed``: long, but between two languages."""
+    bounded_batches(docs.sparkSession)
 
-    @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
+    @F.pandas_udf("lang_pred string, score double, ambiguous boolean, mixed boolean")
     def guess(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             rows = []
             for text in texts:
-                x = ngram_features(text) if model else None
-                rows.append((UNDETERMINED, 0.0, False) if x is None else model.decode(x))
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "ambiguous"]).astype({"lang_pred": object, "score": float, "ambiguous": bool})
+                found = ngram_shares(text) if model else None
+                rows.append((UNDETERMINED, 0.0, False, False) if found is None else model.decode(*found))
+            yield pd.DataFrame(rows, columns=["lang_pred", "score", "ambiguous", "mixed"]).astype({"lang_pred": object, "score": float, "ambiguous": bool, "mixed": bool})
         release_memory()
 
     return docs.withColumn("prediction", guess(F.col(f"`{text_col}`")))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``id, held_out, lang_pred, score, ambiguous`` of every row, repeated rows too; a null id is not held out; an empty
-    table gives no rows; other columns are ignored."""
+    """``id, held_out, lang_pred, score, ambiguous, mixed`` of every row, repeated rows too; a null id is not held out; an
+    empty table gives no rows; other columns are ignored."""
     model = fit(docs, id_col, text_col, lang_col)
-    rows = predict(docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("text")), model)
+    rows = predict(docs.select(F.col(f"`{id_col}`").alias("_key"), F.col(f"`{text_col}`").alias("text")), model)
     return rows.select(F.col("_key").alias(id_col), F.coalesce(crc32_mod("_key", 3) == 1, F.lit(False)).alias("held_out"), "prediction.*")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without null texts and texts without a letter, whose language is undetermined; columns stay as they are.
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: list[str] | None = None) -> DataFrame:
+    """``docs`` without rows whose language is undetermined or, if ``languages`` are named, another; columns stay as they are.
 
-    Ambiguous texts stay: shortness is no reason to lose a clean document. Nor is a missing model: where nothing could be
-    learned, every text with a letter stays.
+    Undetermined: null texts, texts without a letter, and mixed texts: of at least LONG_TEXT letters and word ends, but half-way
+    between two languages where a usual text of that length is clearly in one. Shorter ambiguous texts stay: shortness is no
+    reason to lose a clean document. Nor are languages that the model can't tell apart, or a missing model: where nothing could
+    be learned, every text with a letter stays.
     """
     model = fit(docs, id_col, text_col, lang_col)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{text_col}`").alias("_text"))
     if model is None:
         return rows.filter(F.pandas_udf(has_letter, "boolean")("_text")).select("_doc.*")
-    return predict(rows, model, "_text").filter(F.col("prediction.lang_pred") != UNDETERMINED).select("_doc.*")
+    p = F.col("prediction")
+    known = (p["lang_pred"] != UNDETERMINED) & ~p["mixed"]
+    return predict(rows, model, "_text").filter(known & p["lang_pred"].isin(languages) if languages else known).select("_doc.*")
