@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .support import bounded_batches
+
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea title xmp noembed noframes".split())
@@ -321,5 +323,6 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
         for batch in batches:
             yield pd.Series([main_text(p) for p in batch], dtype=object)
 
+    bounded_batches(pages.sparkSession)
     rows = pages.select(*[F.col(f"`{c}`") for c in keep], extracted(F.col(f"`{html_col}`")).alias("text"))
     return rows.withColumn("n_chars", F.length("text").cast("long"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .support import broadcast_if_small, materialise, numbered_rows, release_memory
+from .support import bounded_batches, broadcast_if_small, materialise, numbered_rows, release_memory
 
 K = 5
 SIMILARITY = 0.8
@@ -30,6 +30,9 @@ PIVOTS = 6
 #: Members of a bucket, and of those outside its largest component, that one task compares at a time.
 BLOCK, OPEN_BLOCK = 512, 512
 
+#: Powers for texts of so many characters are kept between texts (16 bytes each).
+_KEPT_POWERS = 1 << 17
+
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _S32, _S29 = np.uint64(32), np.uint64(29)
 
@@ -49,12 +52,16 @@ class _WordHasher:
         self.inverse = np.uint64(pow(int(self.base), -1, 1 << 64))
         self.powers = self.back = np.ones(1, np.uint64)
 
-    def _grow(self, n: int) -> None:
+    def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first n powers of the base and of its inverse; those of very long texts are not kept."""
         if len(self.powers) < n:
-            size = 1 << int(n).bit_length()
+            size = max(n, min(_KEPT_POWERS, 2 * n))
             with np.errstate(over="ignore"):
-                self.powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, self.base, np.uint64)]), dtype=np.uint64)
-                self.back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, self.inverse, np.uint64)]), dtype=np.uint64)
+                both = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(size - 1, x, np.uint64)]), dtype=np.uint64) for x in (self.base, self.inverse)]
+            if size > _KEPT_POWERS:
+                return both[0][:n], both[1][:n]
+            self.powers, self.back = both
+        return self.powers[:n], self.back[:n]
 
     def words(self, text: str | None) -> np.ndarray:
         """32-bit hashes of the words: runs of letters and digits, in lower case."""
@@ -66,10 +73,10 @@ class _WordHasher:
         begin, end = edges[::2], edges[1::2]
         if not len(begin):
             return np.empty(0, np.uint32)
-        self._grow(len(points) + 1)
+        powers, back = self._powers(len(points))
         with np.errstate(over="ignore"):
-            sums = np.concatenate([[np.uint64(0)], np.cumsum(points.astype(np.uint64) * self.powers[: len(points)], dtype=np.uint64)])
-            return (_mixed((sums[end] - sums[begin]) * self.back[begin] + (end - begin).astype(np.uint64) * _M3) >> _S32).astype(np.uint32)
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(points.astype(np.uint64) * powers, dtype=np.uint64)])
+            return (_mixed((sums[end] - sums[begin]) * back[begin] + (end - begin).astype(np.uint64) * _M3) >> _S32).astype(np.uint32)
 
 
 _HASHER: list[_WordHasher] = []
@@ -227,6 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words only to texts with the same words. Rows that repeat an id count once for each text; null ids get null classes.
     Other columns are ignored; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = _stored(read.mapInArrow(_signatures, "id long, copy binary, sketches array<long>"))
     copies = _stored(signed.groupBy("copy").agg(F.min("id").alias("copy_of")).filter("copy_of is not null"))

@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import encoder, release_memory, small_lists
+from .support import bounded_batches, encoder, release_memory, small_lists
 
 WINDOW = 1024
 #: Ids that a task holds before it packs them (4 bytes each); padding arises only at the end of such a lot.
-LOT_IDS = 16_000_000
+LOT_IDS = 2_000_000
 _SEQUENCES_PER_TASK = 1 << 36
 
 
@@ -54,8 +54,6 @@ class OpenWindows:
         return room, window_id
 
 
-
-
 def _split_after(pieces: list[tuple[int, int, int]], length: int) -> tuple[list, list]:
     """Cut a run of pieces after ``length`` ids."""
     head, tail = [], []
@@ -166,5 +164,6 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         del keys, ids
         release_memory()
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return rows.withColumnRenamed("id", id_col)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import WordEncoder
+from .support import WordEncoder, bounded_batches
 
 MARK = "▁"
 # Numbers of the model's protobuf (messages ModelProto, TrainerSpec, NormalizerSpec).
@@ -130,7 +130,6 @@ class Backend:
     """Encodes and decodes by one model file; one a worker."""
 
     def __init__(self, path: str, threads: int = THREADS):
-        os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         model = ModelFile.read(path)
         self.path, self.tokenizer = path, build_tokenizer(model)
@@ -162,6 +161,8 @@ _BACKENDS: dict[str, Backend] = {}
 
 
 def backend(path: str) -> Backend:
+    """One backend per Python worker and file, with the library's threads on, whatever ran in the worker before."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "true"
     if path not in _BACKENDS:
         _BACKENDS[path] = Backend(path)
     return _BACKENDS[path]
@@ -191,6 +192,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         for keys, texts in _lots(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([x.astype(np.int32) for x in backend(model_path).encode(texts)], pa.list_(pa.int32()))], ["_id", "ids"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     return rows.mapInArrow(run, "_id long, ids array<int>").withColumnRenamed("_id", id_col)
 
@@ -202,6 +204,7 @@ def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: st
         for keys, ids in _lots(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(backend(model_path).decode([x or [] for x in ids]), pa.string())], ["_id", "text"])
 
+    bounded_batches(rows.sparkSession)
     data = rows.select(F.col(id_col).cast("long").alias("_id"), F.col(ids_col).alias("_ids"))
     return data.mapInArrow(run, "_id long, text string").withColumnRenamed("_id", id_col)
 
@@ -228,5 +231,6 @@ def verified(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
                 ["_id", "n_pieces", "ids_crc32", "parity", "decode_parity", "text_crc32"],
             )
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     return rows.mapInArrow(run, "_id long, n_pieces long, ids_crc32 long, parity boolean, decode_parity boolean, text_crc32 long").withColumnRenamed("_id", id_col)

@@ -4,7 +4,7 @@ A file holds data blocks, then an index, a Bloom filter and a footer of fixed si
 
 * block: zlib of entries ``shared (varint), unshared (varint), key suffix, value length (varint), value``; ``shared`` counts
   the leading key bytes that the entry has in common with the one before it, 0 at the start of a block;
-* value: token ids, little-endian, 2 bytes each if every id of the file is below 65,536, else 4;
+* value: token ids, little-endian, 2 bytes each if every id of the tokenizer is below 65,536, else 4;
 * index: JSON list of ``[first key, last key, offset, bytes, entries]`` (keys in hex), one item a block, zlib;
 * filter: bits, set for each key at places drawn from one 128-bit hash;
 * footer: ``<QQQQQQIIB7s``: index offset and length, filter offset and length, documents, tokens, filter hashes, crc32 of the
@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .support import encoder, materialise, release_memory, scratch_path, small_lists
+from .support import bounded_batches, encoder, materialise, release_memory, scratch_path, small_lists
 
 MAGIC = b"TMSST1\n"
 _FOOTER = struct.Struct("<QQQQQQIIB7s")
@@ -73,53 +73,47 @@ def _places(key: bytes, bits: int, hashes: int) -> list[int]:
 
 
 class ShardWriter:
-    """Takes documents in key order; ``close`` gives the file's bytes. A shard's size is bounded by its caller."""
+    """Takes documents in key order and packs each block when it is full; ``close`` gives the file's bytes. ``width``: bytes of
+    an id. A shard's size is bounded by its caller."""
 
-    def __init__(self, block_bytes: int = BLOCK_BYTES):
-        self.block_bytes, self.rows = block_bytes, []
-        self.tokens, self.top = 0, 0
+    def __init__(self, width: int, block_bytes: int = BLOCK_BYTES):
+        self.width, self.block_bytes = width, block_bytes
+        self.out, self.block = bytearray(), bytearray()
+        self.index: list[list] = []
+        self.keys: list[bytes] = []
+        self.entries = self.tokens = 0
 
     def add(self, key: bytes, ids: np.ndarray) -> None:
-        self.rows.append((key, ids))
-        self.tokens += len(ids)
-        self.top = max(self.top, int(ids.max(initial=0)))
-
-    def close(self) -> bytes:
-        width = 2 if self.top < 1 << 16 else 4
-        out, index, block = bytearray(), [], bytearray()
-        first = last = b""
-        entries = 0
-
-        def flush() -> None:
-            nonlocal block, entries
-            packed = zlib.compress(bytes(block), 1)
-            index.append([first.hex(), last.hex(), len(out), len(packed), entries])
-            out.extend(packed)
-            block, entries = bytearray(), 0
-
-        for key, ids in self.rows:
-            if not entries:
-                first, shared = key, 0
-            else:
-                shared = next((i for i, (x, y) in enumerate(zip(last, key, strict=False)) if x != y), min(len(last), len(key)))
-            value = ids.astype(f"<u{width}").tobytes()
-            block += _varint(shared) + _varint(len(key) - shared) + key[shared:] + _varint(len(value)) + value
-            last, entries = key, entries + 1
-            if len(block) >= self.block_bytes:
-                flush()
-        if entries:
-            flush()
-        bits = max(64, BITS_PER_KEY * len(self.rows) + 7 & ~7)
+        last, shared = self.keys[-1] if self.entries else b"", 0
+        if self.entries:
+            shared = next((i for i, (x, y) in enumerate(zip(last, key, strict=False)) if x != y), min(len(last), len(key)))
+        value = ids.astype(f"<u{self.width}").tobytes()
+        self.block += _varint(shared) + _varint(len(key) - shared) + key[shared:] + _varint(len(value)) + value
+        self.keys.append(key)
+        self.entries, self.tokens = self.entries + 1, self.tokens + len(ids)
+        if len(self.block) >= self.block_bytes:
+            self._flush()
+
+    def _flush(self) -> None:
+        packed = zlib.compress(self.block, 1)
+        self.index.append([self.keys[-self.entries].hex(), self.keys[-1].hex(), len(self.out), len(packed), self.entries])
+        self.out += packed
+        self.block, self.entries = bytearray(), 0
+
+    def close(self) -> bytearray:
+        if self.entries:
+            self._flush()
+        out, bits = self.out, max(64, BITS_PER_KEY * len(self.keys) + 7 & ~7)
         bloom = np.zeros(bits // 8, np.uint8)
-        for key, _ in self.rows:
+        for key in self.keys:
             for p in _places(key, bits, HASHES):
                 bloom[p >> 3] |= 1 << (p & 7)
-        index_at, packed = len(out), zlib.compress(json.dumps(index).encode())
+        index_at, packed = len(out), zlib.compress(json.dumps(self.index).encode())
         out += packed
         bloom_at = len(out)
         out += bloom.tobytes()
-        out += _FOOTER.pack(index_at, len(packed), bloom_at, len(bloom), len(self.rows), self.tokens, HASHES, zlib.crc32(packed), width, MAGIC)
-        return bytes(out)
+        out += _FOOTER.pack(index_at, len(packed), bloom_at, len(bloom), len(self.keys), self.tokens, HASHES, zlib.crc32(packed), self.width, MAGIC)
+        return out
 
 
 class Shard:
@@ -167,13 +161,20 @@ class Shard:
         return found
 
 
-def _put(path: str, data: bytes) -> None:
-    """Write under another name, then rename: a repeated or lost attempt never leaves half a shard."""
+def _put(path: str, data: bytes | bytearray) -> None:
+    """Write under another name, then rename: a repeated or lost attempt never leaves half a shard. What an earlier attempt of
+    the same task left under the name gives way, also in filesystems that don't rename onto a file."""
     files, name = fs.FileSystem.from_uri(path)
     temporary = f"{name}.{uuid.uuid4().hex}"
     with files.open_output_stream(temporary) as out:
         out.write(data)
-    files.move(temporary, name)
+    try:
+        files.move(temporary, name)
+    except OSError:
+        if files.get_file_info(name).type != fs.FileType.File:
+            raise
+        files.delete_file(name)
+        files.move(temporary, name)
 
 
 _MANIFEST = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa.string()), ("first_key", pa.binary()), ("last_key", pa.binary()), ("documents", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
@@ -192,27 +193,30 @@ def write_shards(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, number, writer = TaskContext.get().partitionId(), 0, ShardWriter()
+        code = encoder(tokenizer_path)
+        width = 2 if max(code.top, end_id) < 1 << 16 else 4
+        part, number, writer = TaskContext.get().partitionId(), 0, ShardWriter(width)
         end = np.array([end_id], np.uint32)
 
         def close() -> pa.RecordBatch:
             path, data = f"{out_dir}/shard-{part:06d}-{number:04d}.sst", writer.close()
             _put(path, data)
-            row = (part, number, path, writer.rows[0][0], writer.rows[-1][0], len(writer.rows), writer.tokens, len(data))
+            row = (part, number, path, writer.keys[0], writer.keys[-1], len(writer.keys), writer.tokens, len(data))
             return pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip(row, _MANIFEST, strict=True)], schema=_MANIFEST)
 
         for some_ids, texts in (lists for batch in batches for lists in small_lists(batch)):
-            for doc_id, ids in zip(some_ids, encoder(tokenizer_path).encode(texts), strict=True):
+            for doc_id, ids in zip(some_ids, code.encode(texts), strict=True):
                 writer.add(key_of(doc_id), np.concatenate([ids, end]))
                 if writer.tokens >= shard_tokens:
                     yield close()
-                    number, writer = number + 1, ShardWriter()
-        if writer.rows:
+                    number, writer = number + 1, ShardWriter(width)
+        if writer.keys:
             yield close()
         del writer
         release_memory()
 
     spark = docs.sparkSession
+    bounded_batches(spark)
     fs_dir, name = fs.FileSystem.from_uri(out_dir)
     fs_dir.create_dir(name, recursive=True)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
