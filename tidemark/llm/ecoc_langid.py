@@ -31,7 +31,7 @@ WINDOWS = (160, 60, 24)
 AMBIGUOUS_LEAD = 0.2
 #: A text of at least so many letters and word ends, where a usual text of that length has such a lead in probability, is mixed if
 #: it lies less than this share of the way from the middle between two codewords to the nearer one.
-LONG_TEXT, USUAL_LEAD, MIXED_LEAD = 200, 0.9, 0.2
+LONG_TEXT, USUAL_LEAD, MIXED_LEAD = 200, 0.9, 0.05
 UNDETERMINED = "und"
 
 _LETTERS: list[np.ndarray] = []
