@@ -54,10 +54,13 @@ def test_decoding_against_every_codeword(spark, languages):
 
 def test_the_prediction_decides(spark, languages):
     docs, rng = languages
-    half = " ".join(w for pair in zip(prose(rng, "aa", 90).split(), prose(rng, "bb", 90).split(), strict=True) for w in pair)
-    more = spark.createDataFrame([(1000 + i, half if i == 0 else half[:30], "aa") for i in range(2)], docs.schema)
+    one, two = prose(rng, "aa", 200).split(), prose(rng, "bb", 200).split()
+    mixed = [" ".join(a if rng.random() < i / 40 else b for a, b in zip(one, two, strict=True)) for i in range(41)]
+    more = spark.createDataFrame([*((1000 + i, t, "aa") for i, t in enumerate(mixed)), *((2000 + i, t[:100], "aa") for i, t in enumerate(mixed))], docs.schema)
     kept = {r["doc_id"] for r in ecoc_langid.keep_identified(docs.union(more)).collect()}
-    assert kept == set(range(300)) | {1001}  # half in one language and half in another, and long enough to tell
+    assert kept >= set(range(300)) | set(range(2000, 2041)) | {*range(1000, 1008), *range(1033, 1041)}
+    dropped = set(range(1000, 1041)) - kept  # about half in one language and half in another, and long enough to tell
+    assert 0 < len(dropped) < 10
     some = {r["doc_id"] for r in ecoc_langid.keep_identified(docs, languages=["aa"]).collect()}
     assert some == {i for i in range(300) if i % 3 == 0}
 
