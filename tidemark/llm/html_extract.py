@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,19 +48,28 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An element so named is clutter below so many letters or from that share of them in links on.
 LITTLE_TEXT, MANY_LINKS = 140, 0.4
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A tag's attributes: a quote opens a value only right after an equals sign; elsewhere it is a character like others.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+|))*+)>|<[!?][^>]*>""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
+_SELF_CLOSED = re.compile(r"""(?:\A|[\s"'])/\Z""")
 _PARTS = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("children", "clutter", "named", "parent", "score", "tag")
+    """An element. ``letters``, ``linked``, ``commas``: of the text below it that isn't clutter; ``linked``: within links below it."""
+
+    __slots__ = ("children", "clutter", "commas", "letters", "linked", "named", "parent", "score", "tag")
 
     def __init__(self, tag: str, parent: Node | None, clutter: bool, named: bool = False):
         self.tag, self.parent, self.clutter, self.named, self.score = tag, parent, clutter, named, 0.0
+        self.letters = self.linked = self.commas = 0
         self.children: list[Node | str] = []
 
+    def density(self) -> float:
+        """Share of the letters that are in links."""
+        return (1.0 if self.tag == "a" else self.linked / self.letters) if self.letters else 0.0
+
 
 def _marks(tag: str, attributes: str, by_name: bool) -> tuple[bool, bool]:
     """Whether an element is clutter by its tag, role or hiding, and whether a class or id names it so."""
@@ -84,12 +94,18 @@ def _marks(tag: str, attributes: str, by_name: bool) -> tuple[bool, bool]:
 def parse(page: str, by_name: bool = True) -> Node:
     """A tree of elements and text. Unclosed elements end with their parents; end tags without a start are passed over;
     inline elements don't outlive the block they began in. Classes, ids and roles mark clutter only ``by_name``."""
-    root = at = Node("", None, False)
+    root = Node("", None, False)
+    path, open_tags = [root], Counter()
     pos = 0
 
     def text(raw: str) -> None:
         if raw:
-            at.children.append(_html.unescape(raw) if "&" in raw else raw)
+            path[-1].children.append(_html.unescape(raw) if "&" in raw else raw)
+
+    def close(depth: int) -> None:
+        for n in path[depth:]:
+            open_tags[n.tag] -= 1
+        del path[depth:]
 
     while (m := _TOKEN.search(page, pos)) is not None:
         text(page[pos : m.start()])
@@ -98,68 +114,70 @@ def parse(page: str, by_name: bool = True) -> Node:
         if not tag:
             continue
         if m[1]:
-            node = at
-            while node is not root and node.tag != tag:
-                if tag not in BLOCK and node.tag in BLOCK:  # an inline end tag reaches no further than its block
-                    node = root
-                    break
-                node = node.parent
-            if node is not root:
-                at = node.parent
+            if open_tags[tag]:
+                depth = len(path) - 1
+                while path[depth].tag != tag and (tag in BLOCK or path[depth].tag not in BLOCK):  # an inline end tag reaches no further than its block
+                    depth -= 1
+                if path[depth].tag == tag:
+                    close(depth)
             continue
-        if tag in CLOSES_P:
-            node = at
-            while node is not root and node.tag not in ("p", "td", "th", "button", "table", "caption") and not (node.tag in BLOCK):
-                node = node.parent
-            if node.tag == "p":
-                at = node.parent
-        if tag in IMPLIED:
+        if tag in CLOSES_P and open_tags["p"]:
+            depth = len(path) - 1
+            while depth and path[depth].tag not in BLOCK:
+                depth -= 1
+            if path[depth].tag == "p":
+                close(depth)
+        if tag in IMPLIED and any(open_tags[t] for t in IMPLIED[tag][0]):
             ends, within = IMPLIED[tag]
-            node, last = at, None
-            while node is not root and node.tag not in within:
-                if node.tag in ends:
-                    last = node
-                node = node.parent
-            if last is not None:
-                at = last.parent
-        node = Node(tag, at, *_marks(tag, m[3], by_name))
-        at.children.append(node)
+            depth, last = len(path) - 1, 0
+            while depth and path[depth].tag not in within:
+                if path[depth].tag in ends:
+                    last = depth
+                depth -= 1
+            if last:
+                close(last)
+        node = Node(tag, path[-1], *_marks(tag, m[3], by_name))
+        path[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, pos)
             pos = end.end() if end else len(page)
-        elif tag not in VOID and not (m[3].endswith("/") and tag not in BLOCK):
-            at = node
+        elif tag not in VOID and (tag in BLOCK or not _SELF_CLOSED.search(m[3])):
+            path.append(node)
+            open_tags[tag] += 1
     text(page[pos:])
     return root
 
 
-def _own(node: Node, in_link: bool, totals: list[int]) -> None:
-    """Adds letters of text and of link text below ``node`` to ``totals``; clutter counts as absent."""
-    stack: list[tuple[Node, bool]] = [(node, in_link)]
+def _in_order(root: Node) -> list[Node]:
+    """Elements below ``root`` that aren't clutter nor in it, parents before children, in page order."""
+    order, stack = [], [root]
     while stack:
-        n, link = stack.pop()
+        n = stack.pop()
+        order.append(n)
+        stack.extend(c for c in reversed(n.children) if isinstance(c, Node) and not c.clutter)
+    return order
+
+
+def weigh(order: list[Node]) -> None:
+    """Fill in letters, link letters and commas, each element from its children, in one pass."""
+    for n in reversed(order):
+        n.letters = n.linked = n.commas = 0
         for c in n.children:
             if isinstance(c, str):
-                k = len(c.strip())
-                totals[0] += k
-                totals[1] += k if link else 0
-                totals[2] += c.count(",") + c.count("、") + c.count("，")
+                n.letters += len(c.strip())
+                n.commas += c.count(",") + c.count("、") + c.count("，")
             elif not c.clutter:
-                stack.append((c, link or c.tag == "a"))
-
-
-def _link_density(node: Node) -> tuple[int, float]:
-    totals = [0, 0, 0]
-    _own(node, node.tag == "a", totals)
-    return totals[0], totals[1] / totals[0] if totals[0] else 0.0
+                n.letters += c.letters
+                n.linked += c.letters if c.tag == "a" else c.linked
+                n.commas += c.commas
 
 
 def _is_paragraph(n: Node) -> bool:
     return n.tag in SCORED or n.tag in ("div", "section", "article", "main", "body", "") and any(isinstance(c, str) and len(c.strip()) > 24 for c in n.children)
 
 
-def _points(totals: list[int]) -> float:
-    return (1.0 + totals[2] + min(totals[0] / 100.0, 3.0)) * (1.0 - totals[1] / totals[0]) if totals[0] else 0.0
+def _points(n: Node) -> float:
+    return (1.0 + n.commas + min(n.letters / 100.0, 3.0)) * (1.0 - n.linked / n.letters) if n.letters else 0.0
 
 
 def judge_names(root: Node) -> list[Node]:
@@ -168,93 +186,90 @@ def judge_names(root: Node) -> list[Node]:
 
     A named element with more points and letters than all that its like would leave of the page loses its mark, unless
     what is left has text in <article> or <main>."""
-    order: list[tuple[Node, bool]] = []
-    stack = [(root, False)]
-    while stack:
-        n, link = stack.pop()
-        order.append((n, link))
-        stack.extend((c, link or c.tag == "a") for c in n.children if isinstance(c, Node) and not c.clutter)
-    if not any(n.named for n, _ in order):
+    order = _in_order(root)
+    if not any(n.named for n in order):
         return []
-    sums: dict[int, list[int]] = {}  # letters, letters in links, commas
-    points: dict[int, float] = {}
-    whole: dict[int, int] = {}  # letters in <article> or <main>
-    inner: dict[int, list[Node]] = {}  # the outermost named elements below
-    for n, link in reversed(order):
-        t, p, w, below = [0, 0, 0], 0.0, 0, []
-        for c in n.children:
-            if isinstance(c, str):
-                k = len(c.strip())
-                t[0] += k
-                t[1] += k if link else 0
-                t[2] += c.count(",") + c.count("、") + c.count("，")
-            elif not c.clutter:
-                t = [a + b for a, b in zip(t, sums[id(c)], strict=True)]
-                p += points[id(c)]
-                w += whole[id(c)]
-                below += [c] if c.named else inner[id(c)]
-        sums[id(n)], inner[id(n)] = t, below
-        points[id(n)] = p + (_points(t) if _is_paragraph(n) else 0.0)
-        whole[id(n)] = t[0] if n.tag in ("article", "main") else w
-    named = inner[id(root)]
-
-    def left(of: dict, at: Node, value=lambda x: x):
-        return value(of[id(at)]) - sum(value(of[id(n)]) for n in inner[id(at)])
-
-    first = lambda t: t[0]
-    score, letters, article = left(points, root), left(sums, root, first), left(whole, root)
+    weigh(order)
+    points: dict[Node, float] = {}
+    left: dict[Node, tuple[float, int, int]] = {}  # points, letters, letters in <article> or <main>, without named elements below
+    for n in reversed(order):
+        below = [c for c in n.children if isinstance(c, Node) and not c.clutter]
+        own = _points(n) if _is_paragraph(n) else 0.0
+        points[n] = own + sum(points[c] for c in below)
+        rest = [left[c] for c in below if not c.named]
+        letters = n.letters - sum(c.letters for c in below) + sum(x[1] for x in rest)
+        left[n] = own + sum(x[0] for x in rest), letters, letters if n.tag in ("article", "main") else sum(x[2] for x in rest)
+
+    def outermost(top: Node) -> list[Node]:
+        found, stack = [], [c for c in top.children if isinstance(c, Node) and not c.clutter]
+        while stack:
+            n = stack.pop()
+            if n.named:
+                found.append(n)
+            else:
+                stack.extend(c for c in n.children if isinstance(c, Node) and not c.clutter)
+        return found
+
+    named, (score, letters, article) = outermost(root), left[root]
     while named and not article:
-        top = max(named, key=lambda n: points[id(n)])
-        if points[id(top)] <= score or sums[id(top)][0] <= letters:
+        top = max(named, key=points.__getitem__)
+        if points[top] <= score or top.letters <= letters:
             break
         top.named = False
-        named = [n for n in named if n is not top] + inner[id(top)]
-        score, letters, article = score + left(points, top), letters + left(sums, top, first), article + left(whole, top)
-    for n, _ in order:
-        if n.named and (sums[id(n)][0] < LITTLE_TEXT or sums[id(n)][1] > MANY_LINKS * sums[id(n)][0]):
+        named = [n for n in named if n is not top] + outermost(top)
+        score, letters, article = score + left[top][0], letters + left[top][1], article + left[top][2]
+    for n in order:
+        if n.named and (n.letters < LITTLE_TEXT or n.density() > MANY_LINKS):
             n.clutter = True
     return [n for n in named if not n.clutter]
 
 
-def _paragraphs(root: Node) -> Iterator[Node]:
-    """Elements that count as paragraphs: those of SCORED, and other containers with text of their own."""
-    stack = [root]
-    while stack:
-        n = stack.pop()
-        if _is_paragraph(n):
-            yield n
-        stack.extend(c for c in n.children if isinstance(c, Node) and not c.clutter)
+def _title(best: Node, kept: list[Node]) -> list[Node]:
+    """The last <h1> before ``best`` among the children of its ancestors, where nothing kept has one."""
+    if any(n.tag == "h1" for top in kept for n in _in_order(top)):
+        return []
+    node = best
+    while node.parent is not None:
+        found = None
+        for c in node.parent.children:
+            if c is node:
+                break
+            if isinstance(c, Node) and not c.clutter and not c.named and c.tag == "h1" and c.letters:
+                found = c
+        if found is not None:
+            return [] if found in kept else [found]
+        node = node.parent
+    return []
 
 
 def best_containers(root: Node) -> list[Node]:
-    """The container with most points, its siblings worth keeping and the blocks between them, in page order."""
+    """The container with most points, its siblings worth keeping, the blocks between them and its title, in page order."""
     named = judge_names(root)
     for n in named:
         n.clutter = True
-    candidates: dict[int, Node] = {}
-    for p in _paragraphs(root):
-        totals = [0, 0, 0]
-        _own(p, False, totals)
-        if not totals[0]:
+    order = _in_order(root)
+    weigh(order)
+    candidates: dict[Node, None] = {}
+    for p in order:
+        if not p.letters or not _is_paragraph(p):
             continue
-        points = _points(totals)
+        points = _points(p)
         own = p.tag not in SCORED  # a container with text of its own gets its points itself
         node, level = (p if own else p.parent), 0
         while node is not None and level < 4:
             node.score += points / (1.0, 2.0, 6.0, 9.0)[level]
-            candidates[id(node)] = node
+            candidates[node] = None
             node, level = node.parent, level + 1
-    if not candidates:
-        for n in named:
-            n.clutter = False
-        return [root]
     best, top = root, -1.0
-    for node in candidates.values():
-        score = node.score * (1.0 - _link_density(node)[1])
+    for node in candidates:
+        score = node.score * (1.0 - node.density())
         if score > top:
             best, top = node, score
     for n in named:
         n.clutter = False
+    if not candidates:
+        return [root]
+    weigh(_in_order(root))
     # an article is one piece, also where a part of it has most of the points
     node = best
     while node.parent is not None:
@@ -267,12 +282,13 @@ def best_containers(root: Node) -> list[Node]:
     around = [c for c in best.parent.children if isinstance(c, Node) and not c.clutter]
     kept, blocks = [], []
     for k, c in enumerate(around):
-        length, links = _link_density(c)
+        length, links = c.letters, c.density()
         if c is best or not c.named and (c.score * (1.0 - links) >= max(10.0, 0.2 * top) or c.tag == best.tag == "article" or c.tag == "p" and length > 80 and links < 0.25 or c.tag in ("h1", "h2") and length):
             kept.append(k)
         elif length and (c.tag in HEADINGS or c.tag in BLOCK and links <= MANY_LINKS):
             blocks.append(k)
-    return [around[k] for k in sorted([*kept, *(k for k in blocks if kept[0] < k < kept[-1])])]
+    found = [around[k] for k in sorted([*kept, *(k for k in blocks if kept[0] < k < kept[-1])])]
+    return [*_title(best, found), *found]
 
 
 def _blocks(root: Node) -> list[str]:
