@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+#: Ranks of alerts and of confidence, lowest first.
 SEVERITY_ORDER = ("Low", "Moderate", "High", "Critical")
 CONFIDENCE_ORDER = ("Low", "Medium", "High")
 #: Broad and validated areas as (name, west, east, south, north), in order of precedence.
 REGIONS = (("Arabian Gulf", 47.0, 57.0, 22.0, 31.0), ("Red Sea", 32.0, 44.0, 12.0, 30.0))
 VALIDATED_REGIONS = (("Arabian Gulf", 48.0, 55.0, 24.0, 30.0), ("Red Sea", 37.0, 42.0, 18.0, 28.0))
-OUTSIDE = "Outside Saudi focus regions"
+OUTSIDE = "Outside all named areas"
 
+# The codes that rejected tiles carry.
 INVALID = "invalid_pixel_fraction_above_threshold"
 SCREENED = "oil_probability_below_threshold"
 BOUNDARY = "boundary_or_nodata_adjacent"
@@ -18,6 +20,8 @@ BOUNDARY = "boundary_or_nodata_adjacent"
 
 @dataclass(frozen=True)
 class Config:
+    """The defaults are those of full-size scenes."""
+
     tile: int = 256
     stride: int = 224
     screener_threshold: float = 0.45

@@ -2,48 +2,20 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import connected_components
+from .ranks import global_positions
+from .shared import write_shared
+from .stats import dense_cells
 
 #: Edge of the square blocks that one task labels at a time.
 BLOCK = 1024
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which executors share; a temporary folder only where it is unset."""
-    known = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if known is None:
-        known = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.sparkContext.setCheckpointDir(known)
-    return known.rstrip("/")
-
-
-def write_shared(df: DataFrame) -> DataFrame:
-    """Write and read back in the shared folder; removed when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-
-    def drop() -> None:
-        try:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
-        except Exception:  # noqa: BLE001 - the session may be gone
-            pass
-
-    atexit.register(drop)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def runs(mask: DataFrame, block: int = BLOCK) -> DataFrame:
     """Runs of neighbouring true cells in a row, cut at block borders: ``scene_id, row, c0, c1``."""
     part = F.floor(F.col("col") / block)
@@ -120,10 +92,9 @@ def at_least(components: DataFrame, min_pixels: int) -> DataFrame:
 
 
 def numbered(components: DataFrame) -> DataFrame:
-    """Adds ``region_id`` from 1, in row-major order of first cells. Only the components' names pass the ranking window."""
+    """Adds ``region_id`` from 1, in row-major order of first cells: places in a range sort of the components' names."""
     names = components.select("scene_id", "first_row", "first_col").distinct()
-    order = Window.partitionBy("scene_id").orderBy("first_row", "first_col")
-    ids = names.withColumn("region_id", F.row_number().over(order).cast("long"))
+    ids = global_positions(names, ["scene_id"], ["first_row", "first_col"]).withColumnRenamed("position", "region_id")
     return components.join(ids, ["scene_id", "first_row", "first_col"])
 
 
@@ -139,9 +110,7 @@ def label(mask: DataFrame, connectivity: int = 2, min_pixels: int = 1) -> DataFr
 
 def holes_filled(mask: DataFrame, scenes: DataFrame) -> DataFrame:
     """The mask and the 4-connected parts of its background that don't reach the scene's edge."""
-    rows = scenes.select("scene_id", "height", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("row"))
-    every = rows.select("scene_id", "row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("width") - 1)).alias("col"))
-    ground = labelled_runs(every.join(mask, ["scene_id", "row", "col"], "left_anti"), connectivity=1)
+    ground = labelled_runs(dense_cells(scenes).join(mask, ["scene_id", "row", "col"], "left_anti"), connectivity=1)
     name = ["scene_id", "first_row", "first_col"]
     open_ = ground.join(scenes.select("scene_id", "height", "width"), "scene_id").filter("row = 0 or row = height - 1 or c0 = 0 or c1 = width - 1").select(name).distinct()
     return mask.select("scene_id", "row", "col").union(cells(ground.join(open_, name, "left_anti")).select("scene_id", "row", "col"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIDENCE_ORDER, DEFAULT, SEVERITY_ORDER, Config
 from ..functions.geodesy import affine, geographic_row_area, point_segment_distance
 from ..functions.labels import alert_level, detection_confidence, rank
+from .shared import write_shared
 
 AFFINE = ("a", "b", "c", "d", "e", "f")
 
@@ -70,39 +73,53 @@ def region_table(labelled: DataFrame, scenes: DataFrame, probabilities: DataFram
     )
 
 
-#: Edge in metres of the cells in which regions look for coast at first.
-COAST_CELL_M = 20_000.0
+def _coast_grid(coast: DataFrame) -> tuple[DataFrame, float, int, tuple[float, float]] | None:
+    """Segments on the cells that their boxes touch (gx, gy from 0), the cells' edge, how often it doubles until two cells
+    cover the coast, and the grid's corner. The edge follows from the segments' density and their own extent."""
+    boxes = coast.select("x1", "y1", "x2", "y2", F.least("x1", "x2").alias("xa"), F.greatest("x1", "x2").alias("xb"), F.least("y1", "y2").alias("ya"), F.greatest("y1", "y2").alias("yb"))
+    e = boxes.agg(F.min("xa"), F.max("xb"), F.min("ya"), F.max("yb"), F.count(F.lit(1)), F.avg(F.greatest(F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya")))).first()
+    if not e[4]:
+        return None
+    wide, tall = e[1] - e[0], e[3] - e[2]
+    edge = max(math.sqrt(wide * tall / e[4]), e[5] / 8, max(wide, tall) / 4096) or 1.0  # a coast of one point
+    levels = math.ceil(math.log2(max(wide / edge, tall / edge, 1.0))) + 1
+
+    def span(a: str, b: str, low: float):
+        return F.explode(F.sequence(F.floor((F.col(a) - low) / edge), F.floor((F.col(b) - low) / edge)))
 
+    grid = boxes.withColumn("gx", span("xa", "xb", e[0])).withColumn("gy", span("ya", "yb", e[2])).select("gx", "gy", "x1", "y1", "x2", "y2")
+    return write_shared(grid, "coast"), edge, levels, (e[0], e[2])
 
-def coast_distances(regions: DataFrame, coast: DataFrame, cell: float = COAST_CELL_M) -> DataFrame:
-    """``scene_id, region_id, distance_to_coast_km`` from the centroid to the nearest segment, exact.
 
-    Segments are dealt to the cells of a coarse grid that their boxes touch; for a region the distance to the nearest
-    segment of its own and the eight cells around is exact if it is below a cell's edge. The regions for which it isn't go
-    on with doubled cells until each has its answer; the largest cell holds everything.
+def coast_distances(regions: DataFrame, coast: DataFrame) -> DataFrame:
+    """``scene_id, region_id, distance_to_coast_km`` from the centroid to the nearest segment, exact; null without a coast.
+
+    Cells that segments touch form a pyramid of doubling edges. Each region goes down from the one to four cells that cover
+    all, and at each level leaves cells that are farther off than another's far corner, so it ends at a few cells whose
+    segments are measured. Regions are dealt out once; the levels are joins with tables of cells alone.
     """
-    boxes = coast.select("x1", "y1", "x2", "y2", F.least("x1", "x2").alias("xa"), F.greatest("x1", "x2").alias("xb"), F.least("y1", "y2").alias("ya"), F.greatest("y1", "y2").alias("yb"))
     todo = regions.select("scene_id", "region_id", "centroid_x", "centroid_y")
-    reach = boxes.agg(F.max(F.greatest(F.abs("xa"), F.abs("xb"), F.abs("ya"), F.abs("yb")))).first()[0]
-    if reach is None:
+    if (built := _coast_grid(coast)) is None:
         return todo.select("scene_id", "region_id", F.lit(None).cast("double").alias("distance_to_coast_km"))
-    away = todo.agg(F.max(F.greatest(F.abs("centroid_x"), F.abs("centroid_y")))).first()[0] or 0.0
-    done, limit = None, 4 * max(reach, away, cell)
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    d = point_segment_distance(*[F.col(n) for n in ("centroid_x", "centroid_y", "x1", "y1", "x2", "y2")])
-    while True:
-        size = F.lit(float(cell))
-        grid = boxes.withColumn("gx", F.explode(F.sequence(F.floor(F.col("xa") / size), F.floor(F.col("xb") / size)))).withColumn("gy", F.explode(F.sequence(F.floor(F.col("ya") / size), F.floor(F.col("yb") / size))))
-        near = todo.withColumn("_i", F.explode(around)).withColumn("_j", F.explode(around))
-        near = near.withColumns({"gx": F.floor(F.col("centroid_x") / size) + F.col("_i"), "gy": F.floor(F.col("centroid_y") / size) + F.col("_j")})
-        best = near.join(grid, ["gx", "gy"]).groupBy("scene_id", "region_id").agg(F.min(d).alias("_d"))
-        last = cell >= limit
-        sure = best if last else best.filter(F.col("_d") <= size)
-        done = sure if done is None else done.union(sure)
-        if last:
-            return done.select("scene_id", "region_id", F.round(F.col("_d") / 1000.0, 6).alias("distance_to_coast_km"))
-        todo = todo.join(sure, ["scene_id", "region_id"], "left_anti")
-        cell = min(cell * 16, limit)
+    grid, edge, levels, (x0, y0) = built
+    px, py = F.col("centroid_x"), F.col("centroid_y")
+    n = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    top = F.array(*[F.struct(F.lit(i).cast("long").alias("gx"), F.lit(j).cast("long").alias("gy")) for i in (0, 1) for j in (0, 1)])
+    pairs = todo.repartition(n, "scene_id", "region_id").withColumn("_g", F.explode(top)).select(*todo.columns, "_g.gx", "_g.gy")
+    every = Window.partitionBy("scene_id", "region_id")
+    finest = write_shared(grid.select("gx", "gy").distinct(), "coast-cells")
+    for level in range(levels - 1, -1, -1):
+        size = edge * 2**level
+        cells = finest.select(F.shiftright("gx", level).alias("_cx"), F.shiftright("gy", level).alias("_cy")).distinct()
+        cells = write_shared(cells.select(F.shiftright("_cx", 1).alias("gx"), F.shiftright("_cy", 1).alias("gy"), "_cx", "_cy"), "coast-level")
+        left, low = x0 + F.col("_cx") * size, y0 + F.col("_cy") * size
+        off = [F.greatest(a - p, F.lit(0.0), p - a - size) for a, p in ((left, px), (low, py))]
+        far = [F.greatest(F.abs(p - a), F.abs(p - a - size)) for a, p in ((left, px), (low, py))]
+        down = pairs.join(cells, ["gx", "gy"]).withColumns({"_off": F.hypot(*off), "_far": F.hypot(*far)})
+        near = down.withColumn("_least", F.min("_far").over(every)).filter(F.col("_off") <= F.col("_least") * (1 + 1e-9) + 1e-6)
+        pairs = near.select(*todo.columns, F.col("_cx").alias("gx"), F.col("_cy").alias("gy"))
+    d = point_segment_distance(*[F.col(c) for c in ("centroid_x", "centroid_y", "x1", "y1", "x2", "y2")])
+    return pairs.join(grid, ["gx", "gy"]).groupBy("scene_id", "region_id").agg(F.round(F.min(d) / 1000.0, 6).alias("distance_to_coast_km"))
 
 
 def clipped_segments(coast: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:

@@ -10,20 +10,22 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions.pixels import is_valid, scaled
 from ..sources.rasters import Raster
+from .ranks import global_positions
+from .shared import write_shared
 
 
-def valid_pixels(raster: Raster) -> DataFrame:
-    """``scene_id, row, col, value`` of valid pixels."""
-    return raster.pixels.join(raster.scenes.select("scene_id", "nodata"), "scene_id", "left").filter(is_valid(F.col("value"), F.col("nodata"))).drop("nodata")
+def valid_pixels(raster: Raster, *more: str) -> DataFrame:
+    """``scene_id, row, col, value`` of valid pixels, and ``more`` columns of their scenes."""
+    return raster.pixels.join(raster.scenes.select("scene_id", "nodata", *more), "scene_id").filter(is_valid(F.col("value"), F.col("nodata"))).drop("nodata")
 
 
 def scene_percentiles(raster: Raster, cfg: Config = DEFAULT, step: int | None = None) -> DataFrame:
     """``scene_id, lo, hi``: linear-interpolated percentiles of the valid pixels among every step-th cell in row-major order.
 
-    The sample comes first and validity second; the step follows from the scene's size unless given. Bounds are rounded to
-    six places, as engines differ in the last bit. Scenes without a valid pixel have no row.
+    The sample comes first and validity second; the step follows from the scene's size unless given, so that a scene's sample
+    is bounded. Bounds are rounded to six places, as engines differ in the last bit. Scenes without a valid pixel have no row.
     """
-    rows = valid_pixels(raster).join(raster.scenes.select("scene_id", "height", "width"), "scene_id")
+    rows = valid_pixels(raster, "height", "width")
     stride = F.lit(step) if step else F.greatest(F.lit(1), F.ceil(F.col("height") * F.col("width") / F.lit(cfg.max_samples)))
     sample = rows.filter((F.col("row") * F.col("width") + F.col("col")) % stride == 0)
     both = F.percentile("value", F.array(F.lit(cfg.lo_pct / 100), F.lit(cfg.hi_pct / 100)))
@@ -31,8 +33,20 @@ def scene_percentiles(raster: Raster, cfg: Config = DEFAULT, step: int | None =
 
 
 def scene_median(raster: Raster) -> DataFrame:
-    """``scene_id, median`` over all valid pixels, single precision as the pixels are."""
-    return valid_pixels(raster).groupBy("scene_id").agg(F.round(F.percentile(F.col("value").cast("float").cast("double"), F.lit(0.5)), 6).alias("median"))
+    """``scene_id, median`` over all valid pixels, single precision as the pixels are.
+
+    Quantile sketches bracket the median; only pixels within the bracket are sorted, by ranges, and those of the middle ranks
+    are picked, so that no scene's pixels meet in one task.
+    """
+    have = valid_pixels(raster).select("scene_id", F.col("value").cast("float").cast("double").alias("v"))
+    ends = have.groupBy("scene_id").agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("v", [0.49, 0.51], 1000).alias("_b")).select("scene_id", "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
+    ends = write_shared(ends, "median-ends")
+    both = have.join(ends, "scene_id")
+    below = both.filter("v < _lo").groupBy("scene_id").agg(F.count(F.lit(1)).alias("_less"))
+    near = global_positions(both.filter("v between _lo and _hi").select("scene_id", "v", "_n"), ["scene_id"], ["v"])
+    rank = F.col("position") + F.coalesce("_less", F.lit(0))
+    middle = near.join(below, "scene_id", "left").filter((rank == F.floor((F.col("_n") + 1) / 2)) | (rank == F.ceil((F.col("_n") + 1) / 2)))
+    return middle.groupBy("scene_id").agg(F.round(F.avg("v"), 6).alias("median"))
 
 
 def dense_cells(scenes: DataFrame) -> DataFrame:
@@ -61,5 +75,5 @@ def normalised(raster: Raster, cfg: Config = DEFAULT, stats: DataFrame | None =
         if not (math.isfinite(cfg.fixed_lo) and math.isfinite(cfg.fixed_hi)):
             raise ValueError("fixed bounds must be finite")
         return have.withColumn("norm", scaled(F.col("value"), F.lit(cfg.fixed_lo), F.lit(cfg.fixed_hi)))
-    bounds = stats if stats is not None else scene_percentiles(raster, cfg)
+    bounds = stats if stats is not None else write_shared(scene_percentiles(raster, cfg), "bounds")
     return have.join(bounds, "scene_id").withColumn("norm", scaled(F.col("value"), F.col("lo"), F.col("hi"))).drop("lo", "hi")

@@ -47,7 +47,8 @@ def padded(raster: Raster, cfg: Config = DEFAULT) -> DataFrame:
     """Cells of scenes that are smaller than a tile, with edges repeated up to its size: ``scene_id, row, col, value``."""
     tall = raster.scenes.select("scene_id", "height", "width", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("height"), F.lit(cfg.tile)) - 1)).alias("row"))
     wide = tall.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("width"), F.lit(cfg.tile)) - 1)).alias("col"))
-    source = wide.select("scene_id", "row", "col", F.least("row", F.col("height") - 1).alias("_r"), F.least("col", F.col("width") - 1).alias("_c"))
+    # the dense cells look as small as the table of scenes that they come from; they must not be broadcast
+    source = wide.hint("merge").select("scene_id", "row", "col", F.least("row", F.col("height") - 1).alias("_r"), F.least("col", F.col("width") - 1).alias("_c"))
     values = valid_pixels(raster).select("scene_id", F.col("row").alias("_r"), F.col("col").alias("_c"), "value")
     return source.join(values, ["scene_id", "_r", "_c"]).select("scene_id", "row", "col", "value")
 
@@ -88,10 +89,14 @@ def nodata_neighbourhood(raster: Raster) -> DataFrame:
 
 def tile_normalised(raster: Raster, cfg: Config = DEFAULT) -> DataFrame:
     """Valid pixels on their tiles, scaled by each tile's own percentiles: ``scene_id, y, x, row, col, norm``."""
-    cells = on_tiles(valid_pixels(raster), raster.scenes, cfg)
+    return scaled_by_tile(on_tiles(valid_pixels(raster), raster.scenes, cfg), cfg).select(*TILE, "row", "col", "norm")
+
+
+def scaled_by_tile(cells: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Cells on their tiles (scene_id, y, x, value, ...) with ``norm`` by each tile's own percentiles, in place of ``value``."""
     p = F.percentile("value", F.array(F.lit(cfg.lo_pct / 100), F.lit(cfg.hi_pct / 100)))
     bounds = cells.groupBy(TILE).agg(p.alias("p")).select(*TILE, F.round(F.col("p")[0], 6).alias("lo"), F.round(F.col("p")[1], 6).alias("hi"))
-    return cells.join(bounds, TILE).select(*TILE, "row", "col", scaled(F.col("value"), F.col("lo"), F.col("hi")).alias("norm"))
+    return cells.join(bounds, TILE).withColumn("norm", scaled(F.col("value"), F.col("lo"), F.col("hi"))).drop("value", "lo", "hi")
 
 
 def stitched(predictions: DataFrame) -> DataFrame:

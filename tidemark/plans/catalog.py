@@ -74,6 +74,14 @@ def normalize_tile_scope(spark, sf_dir):
     return rows.select(*tiling.TILE, "row", "col", F.round(F.col("norm").cast("double"), 6).alias("norm"))
 
 
+@query
+def tile_scope_inputs(spark, sf_dir):
+    """What a scorer sees in tile scope: infilled cells of all tiles, scaled by each tile's own range."""
+    r, cfg = lineitem_raster(spark, sf_dir), replace(SMALL, norm_scope="tile")
+    rows = detection.model_inputs(r, tiling.tile_grid(r.scenes, cfg), cfg)
+    return rows.select(*tiling.TILE, "row", "col", F.round(F.col("norm").cast("double"), 6).alias("norm"))
+
+
 @query
 def normalize_fixed_db(spark, sf_dir):
     return _wide_norm(stats.normalised(lineitem_raster(spark, sf_dir), replace(SMALL, norm_scope="fixed_db", fixed_lo=20_000.0, fixed_hi=60_000.0)))
@@ -360,13 +368,12 @@ def undetected_attribution(spark, sf_dir):
 
 @query
 def attribution_invariants(spark, sf_dir):
-    """Counts of cells that break the accounting of dark cells; all are 0."""
+    """Counts of cells that break the accounting of dark cells, against all dark and detected cells; all are 0."""
     r, found = _found(spark, sf_dir)
-    dark = components.write_shared(detection.undetected_dark(r, found, replace(GATED, min_blob=4, opening_radius=1)))
-    sides = dark.select(*CELL, F.lit(1).alias("u")).join(found.mask.withColumn("d", F.lit(1)), CELL, "full_outer")
-    return sides.agg(
-        F.count_if(F.col("u").isNotNull() & F.col("d").isNotNull()).alias("overlap"), (F.count("u") + F.count("d") - F.count(F.lit(1))).alias("unbalanced"),
-    ).crossJoin(dark.agg((F.count(F.lit(1)) - F.count_if("rejected_by_screener") - F.count_if(~F.col("rejected_by_screener"))).alias("unattributed")))  # one row each
+    cfg = replace(GATED, min_blob=4, opening_radius=1)
+    dark = components.write_shared(detection.undetected_dark(r, found, cfg))
+    undetected = detection.cleaned(_dark(r).join(found.mask, CELL, "left_anti"), r.scenes, cfg)
+    return detection.broken_accounts(undetected.union(found.mask.select(CELL)), found.mask, dark)
 
 
 def _truth(spark, sf_dir) -> DataFrame:
@@ -376,7 +383,7 @@ def _truth(spark, sf_dir) -> DataFrame:
 
 @query
 def mask_set_ops(spark, sf_dir):
-    found, truth = _dark(orders_raster(spark, sf_dir)), _truth(spark, sf_dir)
+    found, truth = components.write_shared(_dark(orders_raster(spark, sf_dir))), _truth(spark, sf_dir)
     kinds = {"union": found.union(truth).distinct(), "intersect": found.intersect(truth), "missing": truth.exceptAll(found), "extra": found.exceptAll(truth)}
     rows = [df.withColumn("kind", F.lit(k)) for k, df in kinds.items()]
     return rows[0].union(rows[1]).union(rows[2]).union(rows[3]).groupBy("kind", "row").agg(F.count(F.lit(1)).alias("n"), F.min("col").alias("first_col"))

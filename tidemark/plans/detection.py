@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from ..functions.pixels import at_least, below, scaled
 from ..operators import components, morphology
 from ..operators.regions import mask_area_km2, region_table
 from ..operators.stats import infilled, normalised, scene_percentiles, valid_pixels
-from ..operators.tiling import TILE, covered, on_tiles, partitioned, stitched
+from ..operators.tiling import TILE, covered, on_tiles, partitioned, scaled_by_tile, stitched
 from ..sources.rasters import Raster
 
 CELL = ["scene_id", "row", "col"]
@@ -46,18 +48,69 @@ def inverted(cells: DataFrame, cfg: Config) -> DataFrame:
     return cells.withColumn("prob", (F.lit(1.0) - F.col("norm").cast("double")).cast("float"))
 
 
+def grown(scenes: DataFrame, cfg: Config) -> DataFrame:
+    """Scenes with height and width of a tile at least."""
+    return scenes.withColumns({"height": F.greatest(F.col("height"), F.lit(cfg.tile).cast("long")), "width": F.greatest(F.col("width"), F.lit(cfg.tile).cast("long"))})
+
+
+def edges_repeated(cells: DataFrame, scenes: DataFrame, cfg: Config) -> DataFrame:
+    """Cells with those of the last row and column repeated up to a tile's size, in scenes that are smaller."""
+
+    def along(axis: str, size: str):
+        at, last = F.col(axis), F.col(size) - 1
+        return F.explode(F.when(at == last, F.sequence(at, F.greatest(at, F.lit(cfg.tile - 1).cast("long")))).otherwise(F.array(at)))
+
+    sized = cells.join(scenes.select("scene_id", "height", "width"), "scene_id")
+    return sized.withColumn("row", along("row", "height")).withColumn("col", along("col", "width")).drop("height", "width")
+
+
 def model_inputs(raster: Raster, tiles: DataFrame, cfg: Config) -> DataFrame:
-    """Cells of the tiles, infilled and scaled by the scene's range: ``scene_id, y, x, row, col, norm, valid``."""
-    if cfg.infill:
-        cells = infilled(raster)
-    else:
-        cells = valid_pixels(raster).withColumn("valid", F.lit(True))
+    """Cells of the tiles, infilled, with edges repeated where a scene is smaller than a tile, and scaled by the scope's range:
+    ``scene_id, y, x, row, col, norm, valid``."""
+    cells = infilled(raster) if cfg.infill else valid_pixels(raster).withColumn("valid", F.lit(True))
     if cfg.norm_scope == "fixed_db":
-        norm = cells.withColumn("norm", scaled(F.col("value"), F.lit(cfg.fixed_lo), F.lit(cfg.fixed_hi)))
-    else:
-        norm = cells.join(scene_percentiles(raster, cfg), "scene_id").withColumn("norm", scaled(F.col("value"), F.col("lo"), F.col("hi")))
-    placed = on_tiles(norm.select(*CELL, "norm", "valid"), raster.scenes, cfg)
-    return placed.join(tiles.select(TILE), TILE, "left_semi")
+        cells = cells.withColumn("norm", scaled(F.col("value"), F.lit(cfg.fixed_lo), F.lit(cfg.fixed_hi)))
+    elif cfg.norm_scope == "scene":
+        bounds = components.write_shared(scene_percentiles(raster, cfg), "bounds")
+        cells = cells.join(bounds, "scene_id").withColumn("norm", scaled(F.col("value"), F.col("lo"), F.col("hi")))
+    value = "value" if cfg.norm_scope == "tile" else "norm"
+    placed = on_tiles(edges_repeated(cells.select(*CELL, value, "valid"), raster.scenes, cfg), grown(raster.scenes, cfg), cfg)
+    placed = placed.join(tiles.select(TILE), TILE, "left_semi")
+    return scaled_by_tile(placed, cfg) if cfg.norm_scope == "tile" else placed
+
+
+def scores_checked(scores: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """``keys`` and ``column`` of what a scorer gave; a missing column, a value that isn't a number from 0 to 1 and a key that
+    repeats end the job."""
+    if missing := {*keys, column} - set(scores.columns):
+        raise ValueError(f"a scorer's result lacks {sorted(missing)}")
+    p = F.col(column)
+    good = F.when(p.between(0.0, 1.0) & ~F.isnan(p), p).otherwise(F.raise_error(F.concat(F.lit(f"{column} must be from 0 to 1, not "), F.coalesce(p.cast("string"), F.lit("null")))).cast("double"))
+    once = F.when(F.count(F.lit(1)) == 1, F.max(good)).otherwise(F.raise_error(F.lit(f"a scorer gave {column} twice for one key")).cast("double"))
+    return scores.groupBy(*keys).agg(once.alias(column))
+
+
+def tile_scorer(score: Callable[[np.ndarray, np.ndarray], float], what: str = "screener") -> Scorer:
+    """A screener from a function of a tile's values and validity (both tile x tile arrays), or, with ``what="segmenter"``, a
+    segmenter from one that gives an array of the same shape. One tile is in memory at a time."""
+
+    def adapted(cells: DataFrame, cfg: Config) -> DataFrame:
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            shape, y, x = (cfg.tile, cfg.tile), int(rows["y"].iloc[0]), int(rows["x"].iloc[0])
+            at = rows["row"].to_numpy() - y, rows["col"].to_numpy() - x
+            values, valid = np.zeros(shape, np.float32), np.zeros(shape, bool)
+            values[at], valid[at] = rows["norm"], rows["valid"]
+            out = score(values, valid)
+            if what == "screener":
+                return pd.DataFrame({"scene_id": [rows["scene_id"].iloc[0]], "y": [y], "x": [x], "p_oil": [float(out)]})
+            if np.shape(out) != shape:
+                raise ValueError(f"a segmenter gave the shape {np.shape(out)} for a tile of {shape}")
+            return rows[["scene_id", "y", "x", "row", "col"]].assign(prob=np.asarray(out, np.float32)[at])
+
+        schema = "scene_id string, y long, x long, " + ("p_oil double" if what == "screener" else "row long, col long, prob float")
+        return cells.groupBy(TILE).applyInPandas(run, schema)
+
+    return adapted
 
 
 @dataclass(frozen=True)
@@ -89,7 +142,7 @@ def screened(raster: Raster, cfg: Config, screener: Scorer) -> DataFrame:
     """The tile grid with ``p_oil``, ``passed`` (by the threshold) and ``final`` (after expansion)."""
     tiles = components.write_shared(partitioned(raster, cfg))
     scores = screener(model_inputs(raster, tiles.filter("eligible"), cfg), cfg)
-    gated = components.write_shared(tiles.join(scores.select(*TILE, "p_oil"), TILE, "left").withColumn("passed", F.coalesce(F.col("p_oil") >= cfg.screener_threshold, F.lit(False)) & F.col("eligible")))
+    gated = components.write_shared(tiles.join(scores_checked(scores, "p_oil", TILE), TILE, "left").withColumn("passed", F.coalesce(F.col("p_oil") >= cfg.screener_threshold, F.lit(False)) & F.col("eligible")))
     final = expanded_pass_grid(gated, cfg).withColumn("_final", F.lit(True))
     return gated.join(final, ["scene_id", "gi", "gj"], "left").withColumn("final", F.coalesce("_final", F.lit(False))).drop("_final")
 
@@ -98,7 +151,7 @@ def learned(raster: Raster, cfg: Config = DEFAULT, screener: Scorer = dark_fract
     """Two passes: all eligible tiles are screened, the final set is segmented; the classical rule joins within its footprint."""
     tiles = components.write_shared(screened(raster, cfg, screener))
     cells = model_inputs(raster, tiles.filter("final"), cfg)
-    predicted = segmenter(cells, cfg)
+    predicted = scores_checked(segmenter(cells, cfg), "prob", [*TILE, "row", "col"])
     valid = valid_pixels(raster).select(CELL)
     dark = components.write_shared(normalised(raster, cfg).filter(below(F.col("norm"), cfg.dark)).select(CELL))
     prob = stitched(predicted).join(valid, CELL, "left_semi")
@@ -115,11 +168,28 @@ def learned(raster: Raster, cfg: Config = DEFAULT, screener: Scorer = dark_fract
 def deterministic(raster: Raster, cfg: Config = DEFAULT, segmenter: Scorer = dark_rule) -> Detection:
     """One pass over all eligible tiles, without grid morphology, union or a validity mask on the result."""
     tiles = components.write_shared(partitioned(raster, cfg).withColumns({"p_oil": F.lit(1.0), "passed": F.col("eligible"), "final": F.col("eligible")}))
-    mosaic = components.write_shared(stitched(segmenter(model_inputs(raster, tiles.filter("final"), cfg), cfg)).withColumn("classical", F.lit(False)))
+    mosaic = components.write_shared(within(stitched(scores_checked(segmenter(model_inputs(raster, tiles.filter("final"), cfg), cfg), "prob", [*TILE, "row", "col"])), raster.scenes).withColumn("classical", F.lit(False)))
     mask = components.write_shared(cleaned(mosaic.filter(at_least(F.col("prob"), cfg.mask)).select(CELL), raster.scenes, cfg))
     return Detection(tiles, mosaic, mask, rejected_tiles(tiles, cfg))
 
 
+def within(cells: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Cells of the scenes themselves, without repeated edges."""
+    return cells.join(scenes.select("scene_id", "height", "width"), "scene_id").filter("row < height and col < width").drop("height", "width")
+
+
+def broken_accounts(universe: DataFrame, detected: DataFrame, dark: DataFrame) -> DataFrame:
+    """One row of counts that are 0 if every cell of ``universe`` (all dark, valid cells after cleaning, and the detected ones) is
+    either detected or dark and undetected: ``overlap`` (both), ``missing`` (neither), ``extra`` (of neither universe), and
+    ``repeated`` (more than one row). Cells: scene_id, row, col."""
+    marked = [df.select(*CELL, *[F.lit(int(k == n)).alias(k) for k in "udw"]) for df, n in ((universe, "u"), (detected, "d"), (dark, "w"))]
+    each = marked[0].union(marked[1]).union(marked[2]).groupBy(CELL).agg(*[F.sum(k).alias(k) for k in "udw"])
+    return each.agg(
+        F.count_if((F.col("d") > 0) & (F.col("w") > 0)).alias("overlap"), F.count_if((F.col("u") > 0) & (F.col("d") + F.col("w") == 0)).alias("missing"),
+        F.count_if((F.col("u") == 0) & (F.col("d") + F.col("w") > 0)).alias("extra"), F.count_if((F.col("d") > 1) | (F.col("w") > 1)).alias("repeated"),
+    )
+
+
 def cleaned(mask: DataFrame, scenes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Opening, then components of the least size; the order matters for thin shapes."""
     opened = morphology.opened(mask, scenes, morphology.disk(cfg.opening_radius)) if cfg.opening_radius else mask

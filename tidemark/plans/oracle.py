@@ -181,8 +181,10 @@ _UNDETECTED = [
 SQL["undetected_dark"] = _with("lineitem", *_UNDETECTED) + f"SELECT {_CELL}, rejected AS rejected_by_screener FROM ud"
 SQL["undetected_attribution"] = _with("lineitem", *_UNDETECTED) + """SELECT d.s AS scene_id, round(count(ud.r) * 100.0::DOUBLE / 1e6, 6) AS total_area_km2, count(ud.r) AS total_pixels, round(count(*) FILTER (ud.rejected) * 100.0::DOUBLE / 1e6, 6) AS rejected_area_km2,
 count(*) FILTER (ud.rejected) AS rejected_pixels, CASE WHEN count(ud.r) > 0 THEN round(100.0::DOUBLE * count(*) FILTER (ud.rejected) / count(ud.r), 6) ELSE 0.0::DOUBLE END AS percentage FROM dims d LEFT JOIN ud ON ud.s = d.s GROUP BY d.s"""
-SQL["attribution_invariants"] = _with("lineitem", *_UNDETECTED) + """SELECT (SELECT count(*) FROM ud JOIN dk USING (r, c)) AS overlap,
-(SELECT count(*) FROM ud) + (SELECT count(*) FROM dk) - (SELECT count(*) FROM (SELECT r, c FROM ud UNION ALL SELECT r, c FROM dk)) AS unbalanced, (SELECT count(*) FROM ud) - (SELECT count(*) FILTER (rejected) + count(*) FILTER (NOT rejected) FROM ud) AS unattributed"""
+_IN = "EXISTS (SELECT 1 FROM {t} WHERE {t}.r = {a}.r AND {t}.c = {a}.c)"
+SQL["attribution_invariants"] = _with("lineitem", *_UNDETECTED, "all_dark AS (SELECT r, c FROM uk UNION SELECT r, c FROM dk)", "told AS (SELECT r, c FROM ud UNION SELECT r, c FROM dk)") + f"""SELECT
+(SELECT count(*) FROM ud JOIN dk USING (r, c)) AS overlap, (SELECT count(*) FROM all_dark a WHERE NOT {_IN.format(t='told', a='a')}) AS missing, (SELECT count(*) FROM told b WHERE NOT {_IN.format(t='all_dark', a='b')}) AS extra,
+(SELECT count(*) FROM (SELECT r, c FROM ud GROUP BY r, c HAVING count(*) > 1 UNION ALL SELECT r, c FROM dk GROUP BY r, c HAVING count(*) > 1)) AS repeated"""
 
 # --- components and regions
 _CC = [_STATS, _NORM, _DARK, _components("a", "m")]
@@ -224,7 +226,7 @@ SELECT *, greatest(0, least((15 - x1) / dx, (905 - x1) / dx), CASE WHEN dy <> 0
 least(1, greatest((15 - x1) / dx, (905 - x1) / dx), CASE WHEN dy <> 0 THEN greatest((-500 - y1) / dy, (6000 - y1) / dy) ELSE 1 END) AS b FROM t WHERE dy <> 0 OR y1 BETWEEN -500 AND 6000)
 SELECT k, round(x1 + a * dx, 6) AS x1, round(y1 + a * dy, 6) AS y1, round(x1 + b * dx, 6) AS x2, round(y1 + b * dy, 6) AS y2 FROM u WHERE a < b"""
 SQL["place_labels"] = """WITH c AS (SELECT c_custkey, CAST(30 + c_custkey % 30 AS DOUBLE) AS lon, round(10 + (c_acctbal + 1000) / 500, 6) AS lat FROM customer),
-l AS (SELECT *, CASE WHEN lon BETWEEN 47 AND 57 AND lat BETWEEN 22 AND 31 THEN 'Arabian Gulf' WHEN lon BETWEEN 32 AND 44 AND lat BETWEEN 12 AND 30 THEN 'Red Sea' ELSE 'Outside Saudi focus regions' END AS label FROM c)
+l AS (SELECT *, CASE WHEN lon BETWEEN 47 AND 57 AND lat BETWEEN 22 AND 31 THEN 'Arabian Gulf' WHEN lon BETWEEN 32 AND 44 AND lat BETWEEN 12 AND 30 THEN 'Red Sea' ELSE 'Outside all named areas' END AS label FROM c)
 SELECT c_custkey, label, (label = 'Arabian Gulf' AND lon BETWEEN 48 AND 55 AND lat BETWEEN 24 AND 30) OR (label = 'Red Sea' AND lon BETWEEN 37 AND 42 AND lat BETWEEN 18 AND 28) AS validated FROM l"""
 _E2 = "(1 / 298.257223563::DOUBLE * (2 - 1 / 298.257223563::DOUBLE))"
 SQL["row_geodesic_area"] = _with(
@@ -253,7 +255,7 @@ SELECT * FROM s WHERE running_bytes <= 250000 OR position = 1"""
 SQL["region_export"] = _with("orders", *_MEASURED) + "SELECT id AS region_id, area AS area_km2, p AS mean_probability, alert AS severity, sure AS confidence, round(100 * area / max(area) OVER (), 4) AS bar_width FROM ms"
 SQL["analysis_response"] = _with("orders", *_MEASURED) + f"""SELECT d.s AS scene_id, round(coalesce(sum(area), 0), 6) AS total_area_km2, count(ms.id) AS region_count, coalesce(max(area), 0.0::DOUBLE) AS largest_region_km2, min(ms.d) AS nearest_coast_km,
 coalesce(arg_max(alert, {_RANK.format(x='alert')}), 'Low') AS alert_level, coalesce(arg_max(sure, {_RANK.format(x='sure')}), 'Low') AS confidence, 10.0::DOUBLE AS pixel_x, 10.0::DOUBLE AS pixel_y, any_value(w) AS width_px, any_value(h) AS height_px,
-'Outside Saudi focus regions' AS region_label, FALSE AS inside_validated_bounds, 'screener 0.45, mask 0.10, opening 2, minimum 1000 px' AS status FROM dims d LEFT JOIN ms ON ms.s = d.s GROUP BY d.s"""
+'Outside all named areas' AS region_label, FALSE AS inside_validated_bounds, 'screener 0.45, mask 0.10, opening 2, minimum 1000 px' AS status FROM dims d LEFT JOIN ms ON ms.s = d.s GROUP BY d.s"""
 SQL["confidence_classes"] = f"""WITH x AS (SELECT l_quantity / 8 AS a, CASE WHEN l_linenumber % 5 > 0 THEN round(l_discount * 400, 6) ELSE 'infinity'::DOUBLE END AS d, round(l_tax * 10, 6) AS p FROM lineitem),
 y AS (SELECT {_ALERT.format(a='a', d='d')} AS alert, {_SURE.format(p='p')} AS confidence FROM x)
 SELECT alert, confidence, count(*) AS n, CAST(max({_RANK.format(x='alert')}) AS BIGINT) AS rank FROM y GROUP BY alert, confidence"""
@@ -272,3 +274,7 @@ w AS (SELECT *, asin(sin(xi1) / cosh(eta1)) AS chi FROM v)
 SELECT s_suppkey, round(radius * k * cos(p) * sin(dl), 3) AS x_m, round(radius * k * (cos(p0) * sin(p) - sin(p0) * cos(p) * cos(dl)), 3) AS y_m, round(51.0::DOUBLE + degrees(atan2(sinh(eta1), cos(xi1))), 7) AS utm_lon,
 round(degrees(chi + (2 * n - 2 * n ** 2 / 3 - 2 * n ** 3) * sin(2 * chi) + (7 * n ** 2 / 3 - 8 * n ** 3 / 5) * sin(4 * chi) + 56 * n ** 3 / 15 * sin(6 * chi)), 7) AS utm_lat,
 round(s_acctbal / -10.0::DOUBLE - 0.5, 6) AS row, round(CAST(s_suppkey AS DOUBLE) - 0.5, 6) AS col FROM w"""
+SQL["tile_scope_inputs"] = _with(
+    "lineitem", _AXES, _MEDIAN, _FULL, _INFILL, f"tv AS MATERIALIZED (SELECT t.s, t.y, t.x, f.r, f.c, f.v FROM tiles t JOIN inf f ON {_ON.format(a='f')})",
+    "tb AS (SELECT s, y, x, round(quantile_cont(v, 0.02), 6) AS lo, round(quantile_cont(v, 0.98), 6) AS hi FROM tv GROUP BY s, y, x)",
+) + f"SELECT s AS scene_id, y, x, r AS row, c AS col, round(CAST({_scaled('v')} AS DOUBLE), 6) AS norm FROM tv JOIN tb USING (s, y, x)"

@@ -178,12 +178,12 @@ class _Tiff:
             body += b"\0"
         directory = 8 + len(body)
         tags = (
-            (256, 4, (self.width,)), (257, 4, (self.height,)), (258, 3, (8,)), (259, 3, (8,)), (262, 3, (1,)), (270, 1, tuple(b"binary detection mask\0")),
+            (256, 4, (self.width,)), (257, 4, (self.height,)), (258, 3, (8,)), (259, 3, (8,)), (262, 3, (1,)), (270, 2, b"binary detection mask\0"),
             (273, 4, tuple(starts[:-1])), (277, 3, (1,)), (278, 4, (BAND_ROWS,)), (279, 4, tuple(map(len, self.strips))), (284, 3, (1,)), (33550, 12, self.scale), (33922, 12, self.tie), (34735, 3, self.keys),
         )
         entries, extra, beyond = b"", b"", directory + 2 + 12 * len(tags) + 4
         for tag, kind, values in tags:
-            packed = struct.pack(f"<{len(values)}{_TYPES[kind]}", *values)
+            packed = values if kind == 2 else struct.pack(f"<{len(values)}{_TYPES[kind]}", *values)
             if len(packed) > 4:
                 packed, extra = struct.pack("<I", beyond + len(extra)), extra + packed + b"\0" * (len(packed) % 2)
             entries += struct.pack("<HHI", tag, kind, len(values)) + packed.ljust(4, b"\0")

@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import write_shared
+
 SCENE_COLUMNS = ("scene_id", "height", "width", "nodata", "crs", "a", "b", "c", "d", "e", "f")
 
 
@@ -29,7 +31,8 @@ def from_cells(cells: DataFrame, height: Column | None = None, width: Column | N
     """A raster whose scenes reach to their largest row and column, or to the given constants."""
     reach = cells.groupBy("scene_id").agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w"))
     dims = reach.select("scene_id", (height if height is not None else F.col("_h")).cast("long").alias("height"), (width if width is not None else F.col("_w")).cast("long").alias("width"))
-    return Raster(cells.select("scene_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("value").cast("double").alias("value")), scene_table(dims))
+    scenes = write_shared(scene_table(dims), "scenes")  # a row a scene; later joins see its real size
+    return Raster(cells.select("scene_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("value").cast("double").alias("value")), scenes)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
