@@ -6,9 +6,10 @@ joined to the first message of their thread that says them itself, and replies f
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranks import global_positions
 from .support import materialise
 
 _MARKS = r"^[ \t]*((?:>[ \t]?)+)"
@@ -32,30 +33,24 @@ def passages(messages: DataFrame, key: list[str], text: str) -> DataFrame:
     return rows.filter("_plain <> ''").select(*key, "level", F.md5("_plain").alias("hash"))
 
 
-def global_positions(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Adds ``position`` (from 1) of each row in its group by ``order``, without bringing a group together in one task: a
-    range sort numbers rows within partitions, and the partitions' sizes and the groups' first numbers do the rest."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    numbered = materialise(
-        rows.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order).withColumn("_n", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_n", 33)), "positions"
-    )
-    sizes = numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
-    before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    placed = numbered.join(before, "_part").withColumn("_rank", F.col("_before") + F.col("_n").bitwiseAND((1 << 33) - 1))
-    first = materialise(placed.groupBy(group).agg(F.min("_rank").alias("_first")), "position-groups").withColumnRenamed(group, "_group")
-    return placed.join(first, placed[group].eqNullSafe(first["_group"])).withColumn("position", F.col("_rank") - F.col("_first") + 1).drop("_part", "_n", "_before", "_rank", "_first", "_group")
-
-
 def reply_roots(replies: DataFrame) -> DataFrame:
-    """``_t, _o, _up``: the first ancestor of each reply (_t, _o, parent). Parents are earlier, so pointers only lead up; each
-    step doubles how far they reach and makes one row a reply, so a chain of n replies takes log2(n) steps."""
-    state = materialise(replies.select("_t", "_o", F.col("parent").alias("_up")), "quote-roots")
+    """``_t, _o, _root``: the first ancestor of each reply (_t, _o, parent). Parents are earlier, so pointers only lead up; each
+    step doubles how far those reach that are not at their root yet, and leaves the others as they are, so a chain of n replies
+    takes log2(n) steps."""
+    active, done = materialise(replies.select("_t", "_o", F.col("parent").alias("_up")), "quote-roots"), []
     while True:
-        above = state.select("_t", F.col("_o").alias("_up"), F.col("_up").alias("_next"))
-        moved = materialise(state.join(above, ["_t", "_up"], "left").select("_t", "_o", F.coalesce("_next", "_up").alias("_up"), F.col("_next").isNotNull().alias("_moved")), "quote-roots")
-        state = moved.drop("_moved")
-        if not moved.filter("_moved").limit(1).count():
-            return state
+        above = active
+        for one in done:
+            above = above.union(one)
+        above = above.select("_t", F.col("_o").alias("_up"), F.col("_up").alias("_next"))
+        moved = materialise(active.join(above, ["_t", "_up"], "left").select("_t", "_o", F.coalesce("_next", "_up").alias("_up"), F.col("_next").isNotNull().alias("_moved")), "quote-roots")
+        done.append(moved.filter("not _moved").drop("_moved"))
+        active = moved.filter("_moved").drop("_moved")
+        if not active.limit(1).count():
+            roots = done[0]
+            for one in done[1:]:
+                roots = roots.union(one)
+            return roots.withColumnRenamed("_up", "_root")
 
 
 def link_quotations(messages: DataFrame, thread: str, order: str, text: str = "text") -> DataFrame:
@@ -72,18 +67,18 @@ def link_quotations(messages: DataFrame, thread: str, order: str, text: str = "t
     """
     rows = messages.select(F.col(thread).alias("_t"), F.col(order).alias("_o"), F.col(text).alias("_text"))
     lines = materialise(passages(rows.filter("_t is not null and _o is not null"), ["_t", "_o"], "_text"), "quote-passages")
-    said = materialise(lines.filter("level = 0").groupBy("_t", "hash").agg(F.min("_o").alias("_first")), "quote-originals")
+    said = lines.filter("level = 0").groupBy("_t", "hash").agg(F.min("_o").alias("_first"))
     quoted = lines.filter("level > 0").groupBy("_t", "_o", "level", "hash").agg(F.count(F.lit(1)).alias("_n"))
     found = quoted.join(said, ["_t", "hash"], "left").withColumn("_first", F.when(F.col("_first") < F.col("_o"), F.col("_first")))
-    found = materialise(found.groupBy("_t", "_o", "level", "_first").agg(F.sum("_n").alias("_n")), "quote-found")
-    counts = found.groupBy("_t", "_o").agg(F.sum("_n").alias("n_quoted"), F.sum(F.when(F.col("_first").isNotNull(), F.col("_n")).otherwise(0)).alias("n_linked"))
-    best = found.filter("level = 1 and _first is not null").groupBy("_t", "_o").agg(F.max(F.struct("_n", "_first")).alias("_best"))
-    replies = materialise(best.select("_t", "_o", F.col("_best._first").alias("parent")), "quote-replies")
-    roots = reply_roots(replies).withColumnRenamed("_up", "_root")
-    linked = rows.select("_t", "_o", _unquoted("_text").alias("body")).join(replies, ["_t", "_o"], "left").join(counts, ["_t", "_o"], "left").join(roots, ["_t", "_o"], "left")
+    found = found.groupBy("_t", "_o", "level", "_first").agg(F.sum("_n").alias("_n"))
+    linked = F.when(F.col("_first").isNotNull(), F.col("_n")).otherwise(0)
+    best = F.max(F.when((F.col("level") == 1) & F.col("_first").isNotNull(), F.struct("_n", "_first")))
+    known = found.groupBy("_t", "_o").agg(F.sum("_n").alias("n_quoted"), F.sum(linked).alias("n_linked"), best.alias("_best"))
+    known = materialise(known.select("_t", "_o", "n_quoted", "n_linked", F.col("_best._first").alias("parent")), "quote-replies")
+    known = known.join(reply_roots(known.filter("parent is not null")), ["_t", "_o"], "left")
+    whole = rows.select("_t", "_o", _unquoted("_text").alias("body")).join(known, ["_t", "_o"], "left")
     root = F.when(F.col("_t").isNotNull(), F.coalesce("_root", "_o"))
-    whole = linked.withColumn("root", root).withColumn("_group", F.struct("_t", "root")).drop("_root")
-    placed = global_positions(whole, "_group", ["_o", "body"])
+    placed = global_positions(materialise(whole.withColumn("root", root).drop("_root"), "quote-messages"), ["_t", "root"], ["_o", "body"])
     return placed.select(
         F.col("_t").alias(thread), F.col("_o").alias(order), "body", "parent", "root", "position", F.coalesce("n_quoted", F.lit(0)).alias("n_quoted"), F.coalesce("n_linked", F.lit(0)).alias("n_linked")
     )

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import json
 import os
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,6 +12,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.shared import discard, scratch_path, shared_dir, write_shared
+
+__all__ = ["discard", "scratch_path", "shared_dir"]
+
 #: Rows of one or two machine words that may be broadcast (at most about 64 MB as a hash relation).
 BROADCAST_ROWS = 1_000_000
 #: Bytes of rows that go to a Python worker at once (a longer row goes alone).
@@ -25,41 +26,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    context = spark.sparkContext
-    known = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if known is None:
-        known = context.getCheckpointDir()
-    if known is None:
-        known = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        context.setCheckpointDir(known)
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(known)
-    return known.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-
-    def drop() -> None:
-        try:
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(conf).delete(target, True)
-        except Exception:  # noqa: BLE001 - the session may be gone already
-            pass
-
-    atexit.register(drop)
-    return path
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: short lineage, real sizes for the optimizer."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return write_shared(df, name)
 
 
 def bounded_batches(spark: SparkSession) -> None:
