@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from tidemark.plans import catalog, oracle
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["scene_percentiles", "normalize_scene", "tile_invalid_fraction", "boundary_rejects", "overlap_average", "open_disk2", "connected_components", "region_measurements", "scene_alert", "coast_distance", "mask_set_ops", "lru_eviction", "expand_pass_grid"]
+QUICK = ["scene_percentiles", "normalize_scene", "tile_invalid_fraction", "boundary_rejects", "overlap_average", "open_disk2", "connected_components", "region_measurements", "scene_alert", "coast_distance", "mask_set_ops", "lru_eviction", "expand_pass_grid", "geographic_area", "coast_search", "scene_bounds"]
 
 
 def test_catalogue_has_sql():

@@ -8,13 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import CONFIDENCE_ORDER, DEFAULT, SMALL, Config
-from tidemark.functions.geodesy import geographic_row_area, utm_inverse
+from tidemark.functions.geodesy import geographic_row_area, to_degrees, utm_forward, utm_inverse, with_local_plane
 from tidemark.functions.labels import alert_level, detection_confidence
 from tidemark.operators import components, morphology, stats, tiling
 from tidemark.operators.graph import connected_components
-from tidemark.operators.regions import clipped_segments, coast_distances, region_table, scene_labels
+from tidemark.operators.regions import clipped_segments, coast_distances, mask_area_km2, region_table, scene_bounds, scene_coast, scene_labels
 from tidemark.plans import detection
-from tidemark.sources.rasters import from_cells
+from tidemark.sources.rasters import Raster, from_cells, located
 
 CELLS = "scene_id string, row long, col long"
 
@@ -222,6 +222,61 @@ def test_geodesy(spark):
     assert math.isclose(lon, 3.0, abs_tol=1e-9) and math.isclose(lat, 42.0, abs_tol=1e-4)
 
 
+def test_local_plane_is_that_of_the_ellipsoid(spark):
+    # lengths of geodesics on WGS84: a degree of the equator, of the meridian, of both, and none
+    rows = [(1.0, 0.0, 111319.490793), (0.0, 1.0, 110574.388558), (1.0, 1.0, 156899.568291), (0.0, 0.0, 0.0), (-1.0, 0.0, 111319.490793)]
+    df = spark.createDataFrame([(0.0, 0.0, *r) for r in rows] + [(179.5, 0.0, -179.5, 0.0, 111319.490793)], "lon0 double, lat0 double, lon double, lat double, want double")
+    for r in with_local_plane(df, "lon", "lat", "lon0", "lat0", "x", "y").collect():
+        assert math.isclose(math.hypot(r["x"], r["y"]), r["want"], rel_tol=5e-8, abs_tol=1e-6)
+        assert (r["x"] > 0) == (r["lon"] > 0 or r["lon0"] > 1) and (r["y"] > 1e-6) == (r["lat"] > 0)
+
+
+def test_utm_there_and_back(spark):
+    df = spark.createDataFrame([(50.2, 26.3, "EPSG:32639"), (-70.9, -33.4, "EPSG:32719"), (3.0, 42.0, "EPSG:32631"), (3.0, 42.0, "EPSG:3857"), (3.0, 42.0, None)], "lon double, lat double, crs string")
+    zone = F.try_element_at(F.array(F.lit(39), F.lit(19), F.lit(31)), F.when(F.col("lon") > 50, 1).when(F.col("lon") < 0, 2).otherwise(3))
+    x, y = utm_forward(F.col("lon"), F.col("lat"), zone, F.col("lat") < 0)
+    at = df.withColumns({"x": x, "y": y})
+    lon, lat = to_degrees(F.col("crs"), F.col("x"), F.col("y"))
+    rows = at.withColumns({"lon2": lon, "lat2": lat}).collect()
+    for r in rows[:3]:
+        assert math.isclose(r["lon"], r["lon2"], abs_tol=1e-9) and math.isclose(r["lat"], r["lat2"], abs_tol=1e-9)
+    assert math.isclose(rows[2]["x"], 500_000.0, abs_tol=1e-6) and [(r["lon2"], r["lat2"]) for r in rows[3:]] == [(None, None)] * 2
+
+
+def test_coast_is_searched_twice_and_no_farther(spark):
+    grid = "scene_id string, height long, width long, crs string, a double, b double, c double, d double, e double, f double"
+    place = lambda name, west, crs="EPSG:4326": (name, 100, 100, crs, 0.01, 0.0, west, 0.0, -0.01, 26.0)
+    scenes = spark.createDataFrame([place("near", 50.0), place("far", 46.0), place("none", 40.0), place("unknown", 50.0, "LOCAL")], grid)
+    coast = spark.createDataFrame([(52.5, 20.0, 52.5, 30.0), (50.2, 40.0, 50.4, 41.0)], "x1 double, y1 double, x2 double, y2 double")
+    found = {r["scene_id"]: r for r in scene_coast(scenes, coast).collect()}
+    assert {k: r["search_deg"] for k, r in found.items()} == {"near": 2.0}  # the far scene's window ends at 52 degrees
+    wider = {r["scene_id"]: r["search_deg"] for r in scene_coast(scenes, coast, replace(DEFAULT, coast_fallback_deg=6.0)).collect()}
+    assert wider == {"near": 2.0, "far": 6.0}
+    # the stretch within 2 degrees: from 23 to 28 north, 2 degrees east of the scene's middle
+    length = math.hypot(found["near"]["x2"] - found["near"]["x1"], found["near"]["y2"] - found["near"]["y1"])
+    assert math.isclose(length, 5 * 110_800, rel_tol=2e-3) and math.isclose(found["near"]["x1"], 2 * 102_000, rel_tol=2e-2)
+
+
+def test_regions_in_degrees(spark):
+    bar = mask(spark, "....\n.##.\n....").withColumn("region_id", F.lit(1).cast("long"))
+    r = raster(spark, [[1.0] * 4] * 3)
+    coast = spark.createDataFrame([(51.0, 25.0, 51.0, 28.0)], "x1 double, y1 double, x2 double, y2 double")
+    degrees = located(r, "EPSG:4326", 0.001, 50.0, 26.5)
+    a = region_table(bar, degrees.scenes, coast_degrees=coast).first()
+    assert math.isclose(a["centroid_lon"], 50.002, abs_tol=1e-9) and math.isclose(a["centroid_lat"], 26.4985, abs_tol=1e-9)
+    assert math.isclose(a["distance_to_coast_km"], 99.48, abs_tol=0.1)
+    x, y = spark.range(1).select(*utm_forward(F.lit(50.0), F.lit(26.5), 39)).first()
+    metres = located(r, "EPSG:32639", 100.0, x, y)
+    b = region_table(bar, metres.scenes, coast_degrees=coast).first()
+    assert math.isclose(b["centroid_lon"], 50.002, abs_tol=1e-4) and math.isclose(b["distance_to_coast_km"], a["distance_to_coast_km"], rel_tol=2e-3)
+    box = scene_bounds(metres.scenes).first()
+    assert box["west"] <= 50.0 + 1e-9 < b["centroid_lon"] < box["east"] and box["south"] < b["centroid_lat"] < box["north"]
+    assert scene_bounds(r.scenes).first()["west"] is None  # a grid of its own has no degrees
+    assert region_table(bar, r.scenes, coast_degrees=coast).first()["distance_to_coast_km"] is None
+    with pytest.raises(Exception, match="no reference system"):
+        mask_area_km2(bar, Raster(r.pixels, r.scenes.withColumn("crs", F.lit(None).cast("string"))).scenes).collect()
+
+
 def test_full_plans_on_a_dark_square(spark):
     size = 48
     values = [[0.0 if 10 <= r < 24 and 12 <= c < 30 else 100.0 + (r * 7 + c * 3) % 11 for c in range(size)] for r in range(size)]

@@ -4,22 +4,95 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CONFIDENCE_ORDER, DEFAULT, SEVERITY_ORDER, Config
-from ..functions.geodesy import affine, geographic_row_area, point_segment_distance
+from ..functions.geodesy import affine, geographic_row_area, point_segment_distance, to_degrees, utm_forward, utm_south, utm_zone, with_local_plane
 from ..functions.labels import alert_level, detection_confidence, rank
 from .shared import write_shared
 
 AFFINE = ("a", "b", "c", "d", "e", "f")
+SEGMENT = ("x1", "y1", "x2", "y2")
+#: Points an edge of a scene, as projected edges bend in degrees.
+EDGE_POINTS = 22
 
 
 def row_areas(scenes: DataFrame) -> DataFrame:
-    """``scene_id, row, area_m2`` of a pixel of each row: constant on metric grids, by the ellipsoid on geographic ones."""
+    """``scene_id, row, area_m2`` of a pixel of each row: constant on metric grids, by the ellipsoid on geographic ones.
+    A scene without a reference system has no area: the job fails."""
     rows = scenes.select("scene_id", "crs", *AFFINE, F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("row"))
     geographic = geographic_row_area(F.col("row"), F.col("e"), F.col("f"), F.col("a"))
-    return rows.select("scene_id", "row", F.when(F.col("crs") == "EPSG:4326", geographic).otherwise(F.abs(F.col("a") * F.col("e"))).alias("area_m2"))
+    unknown = F.raise_error(F.concat(F.lit("no reference system, so no areas: scene "), "scene_id")).cast("double")
+    area = F.when(F.coalesce("crs", F.lit("")) == "", unknown).when(F.col("crs") == "EPSG:4326", geographic).otherwise(F.abs(F.col("a") * F.col("e") - F.col("b") * F.col("d")))
+    return rows.select("scene_id", "row", area.alias("area_m2"))
+
+
+def scene_bounds(scenes: DataFrame) -> DataFrame:
+    """``scene_id, west, south, east, north`` in degrees, from points along the scene's edges; nulls where the reference system is
+    neither geographic nor UTM."""
+    part = F.explode(F.sequence(F.lit(0), F.lit(EDGE_POINTS))).alias("_i")
+    edges = scenes.select("scene_id", "crs", "height", "width", *AFFINE, part).withColumn("_p", F.col("_i") / float(EDGE_POINTS))
+    w, h, p = F.col("width").cast("double"), F.col("height").cast("double"), F.col("_p")
+    corners = F.array(*[F.struct(u.alias("u"), v.alias("v")) for u, v in ((p * w, F.lit(0.0)), (p * w, h), (F.lit(0.0), p * h), (w, p * h))])
+    at = edges.withColumn("_q", F.explode(corners))
+    x, y = affine(F.col("_q.v") - 0.5, F.col("_q.u") - 0.5, {k: F.col(k) for k in AFFINE})
+    lon, lat = to_degrees(F.col("crs"), x, y)
+    points = at.select("scene_id", lon.alias("_lon"), lat.alias("_lat"))
+    return points.groupBy("scene_id").agg(F.min("_lon").alias("west"), F.min("_lat").alias("south"), F.max("_lon").alias("east"), F.max("_lat").alias("north"))
+
+
+def _in_plane(points: DataFrame, pairs: dict[tuple[str, str], tuple[str, str]]) -> DataFrame:
+    """Longitudes and latitudes turned to metres of each row's own plane: its UTM zone, else the local plane about ``_lon0, _lat0``."""
+    zone, south = utm_zone(F.col("crs")), utm_south(F.col("crs"))
+    for (lon, lat), (x, y) in pairs.items():
+        points = with_local_plane(points, lon, lat, "_lon0", "_lat0", "_x", "_y")
+        ux, uy = utm_forward(F.col(lon), F.col(lat), zone, south)
+        points = points.withColumns({x: F.when(zone.isNotNull(), ux).otherwise(F.col("_x")), y: F.when(zone.isNotNull(), uy).otherwise(F.col("_y"))}).drop("_x", "_y")
+    return points
+
+
+def scene_coast(scenes: DataFrame, coast: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """``scene_id, x1, y1, x2, y2, search_deg``: the coast about each scene, in metres of the scene's own plane.
+
+    ``coast``: segments x1, y1, x2, y2 in degrees. They are cut at the scene's bounds widened by ``coast_buffer_deg``; scenes that
+    hold none there take those within ``coast_fallback_deg``, and beyond there is no coast. Segments and scenes meet on cells of one
+    degree, each pair in the first cell that both touch.
+    """
+    margin = max(cfg.coast_buffer_deg, cfg.coast_fallback_deg)
+    bounds = scene_bounds(scenes).filter("west is not null")
+    boxes = write_shared(bounds.join(scenes.select("scene_id", "crs"), "scene_id"), "bounds")
+
+    def reach(low: Column, high: Column) -> Column:
+        return F.sequence(F.floor(low), F.floor(high))
+
+    widened = boxes.withColumns({"_bx": F.floor(F.col("west") - margin), "_by": F.floor(F.col("south") - margin)})
+    places = widened.withColumn("gx", F.explode(reach(F.col("west") - margin, F.col("east") + margin))).withColumn("gy", F.explode(reach(F.col("south") - margin, F.col("north") + margin)))
+    low = coast.select(*SEGMENT).withColumns({"_sx": F.floor(F.least("x1", "x2")), "_sy": F.floor(F.least("y1", "y2"))})
+    stretches = low.withColumn("gx", F.explode(reach(F.least("x1", "x2"), F.greatest("x1", "x2")))).withColumn("gy", F.explode(reach(F.least("y1", "y2"), F.greatest("y1", "y2"))))
+    met = stretches.join(places, ["gx", "gy"]).filter((F.col("gx") == F.greatest("_sx", "_bx")) & (F.col("gy") == F.greatest("_sy", "_by")))
+    near = write_shared(met.select("scene_id", "crs", "west", "south", "east", "north", *SEGMENT), "coast-near")
+
+    def within(deg: float) -> DataFrame:
+        box = (F.greatest(F.lit(-180.0), F.col("west") - deg), F.greatest(F.lit(-90.0), F.col("south") - deg), F.least(F.lit(180.0), F.col("east") + deg), F.least(F.lit(90.0), F.col("north") + deg))
+        return clipped_segments(near, *box).withColumn("search_deg", F.lit(float(deg)))
+
+    found = within(cfg.coast_buffer_deg)
+    if cfg.coast_fallback_deg > cfg.coast_buffer_deg:
+        both = write_shared(found.union(within(cfg.coast_fallback_deg)), "coast-cut")
+        found = both.join(both.groupBy("scene_id").agg(F.min("search_deg").alias("search_deg")), ["scene_id", "search_deg"])
+    centred = found.withColumns({"_lon0": (F.col("west") + F.col("east")) / 2, "_lat0": (F.col("south") + F.col("north")) / 2})
+    placed = _in_plane(centred, {("x1", "y1"): ("_x1", "_y1"), ("x2", "y2"): ("_x2", "_y2")})
+    return placed.select("scene_id", *[F.col(f"_{k}").alias(k) for k in SEGMENT], "search_deg")
+
+
+def ground_distances(regions: DataFrame, scenes: DataFrame, coast: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """``scene_id, region_id, distance_to_coast_km`` of regions with ``centroid_lon, centroid_lat``; ``coast`` in degrees. Regions whose
+    scene has no coast within the search window, or no known place, are left out."""
+    centres = scene_bounds(scenes).select("scene_id", ((F.col("west") + F.col("east")) / 2).alias("_lon0"), ((F.col("south") + F.col("north")) / 2).alias("_lat0"))
+    at = regions.select("scene_id", "region_id", "centroid_lon", "centroid_lat").join(scenes.select("scene_id", "crs"), "scene_id").join(centres, "scene_id")
+    placed = _in_plane(at.filter("centroid_lon is not null"), {("centroid_lon", "centroid_lat"): ("centroid_x", "centroid_y")})
+    return coast_distances(placed, write_shared(scene_coast(scenes, coast, cfg), "scene-coast"))
 
 
 def mask_area_km2(mask: DataFrame, scenes: DataFrame) -> DataFrame:
@@ -47,11 +120,13 @@ def region_moments(labelled: DataFrame) -> DataFrame:
     )
 
 
-def region_table(labelled: DataFrame, scenes: DataFrame, probabilities: DataFrame | None = None, coast: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
+def region_table(labelled: DataFrame, scenes: DataFrame, probabilities: DataFrame | None = None, coast: DataFrame | None = None, cfg: Config = DEFAULT, coast_degrees: DataFrame | None = None) -> DataFrame:
     """One row a region. ``labelled``: scene_id, row, col, region_id; ``probabilities``: scene_id, row, col, prob (missing
-    cells: 0); ``coast``: segments x1, y1, x2, y2 in the scene's metres (none: unknown distance).
+    cells: 0); ``coast``: segments x1, y1, x2, y2 in the scenes' metres, or ``coast_degrees``: in longitude and latitude, searched
+    about each scene (none: unknown distance).
 
-    Metric scenes only have ground coordinates here; ``centroid_x`` and ``centroid_y`` are in the scene's reference system.
+    ``centroid_x`` and ``centroid_y`` are in the scene's reference system, ``centroid_lon`` and ``centroid_lat`` in degrees (null
+    where that system is neither geographic nor UTM).
     """
     cells = labelled.join(row_areas(scenes), ["scene_id", "row"])
     cells = cells.join(probabilities.select("scene_id", "row", "col", "prob"), ["scene_id", "row", "col"], "left") if probabilities is not None else cells.withColumn("prob", F.lit(None).cast("float"))
@@ -62,8 +137,12 @@ def region_table(labelled: DataFrame, scenes: DataFrame, probabilities: DataFram
     )
     t = {k: F.col(k) for k in AFFINE}
     x, y = affine(F.col("centroid_row"), F.col("centroid_col"), t)
-    placed = base.join(scenes.select("scene_id", *AFFINE), "scene_id").withColumns({"centroid_x": x, "centroid_y": y}).drop(*AFFINE)
-    if coast is None:
+    placed = base.join(scenes.select("scene_id", "crs", *AFFINE), "scene_id").withColumns({"centroid_x": x, "centroid_y": y})
+    lon, lat = to_degrees(F.col("crs"), F.col("centroid_x"), F.col("centroid_y"))
+    placed = placed.withColumns({"centroid_lon": lon, "centroid_lat": lat}).drop("crs", *AFFINE)
+    if coast_degrees is not None:
+        placed = placed.join(ground_distances(placed, scenes, coast_degrees, cfg), ["scene_id", "region_id"], "left")
+    elif coast is None:
         placed = placed.withColumn("distance_to_coast_km", F.lit(None).cast("double"))
     else:
         placed = placed.join(coast_distances(placed, coast), ["scene_id", "region_id"], "left")
@@ -76,7 +155,8 @@ def region_table(labelled: DataFrame, scenes: DataFrame, probabilities: DataFram
 def _coast_grid(coast: DataFrame) -> tuple[DataFrame, float, int, tuple[float, float]] | None:
     """Segments on the cells that their boxes touch (gx, gy from 0), the cells' edge, how often it doubles until two cells
     cover the coast, and the grid's corner. The edge follows from the segments' density and their own extent."""
-    boxes = coast.select("x1", "y1", "x2", "y2", F.least("x1", "x2").alias("xa"), F.greatest("x1", "x2").alias("xb"), F.least("y1", "y2").alias("ya"), F.greatest("y1", "y2").alias("yb"))
+    by = ["scene_id"] if "scene_id" in coast.columns else []
+    boxes = coast.select(*by, "x1", "y1", "x2", "y2", F.least("x1", "x2").alias("xa"), F.greatest("x1", "x2").alias("xb"), F.least("y1", "y2").alias("ya"), F.greatest("y1", "y2").alias("yb"))
     e = boxes.agg(F.min("xa"), F.max("xb"), F.min("ya"), F.max("yb"), F.count(F.lit(1)), F.avg(F.greatest(F.col("xb") - F.col("xa"), F.col("yb") - F.col("ya")))).first()
     if not e[4]:
         return None
@@ -87,12 +167,13 @@ def _coast_grid(coast: DataFrame) -> tuple[DataFrame, float, int, tuple[float, f
     def span(a: str, b: str, low: float):
         return F.explode(F.sequence(F.floor((F.col(a) - low) / edge), F.floor((F.col(b) - low) / edge)))
 
-    grid = boxes.withColumn("gx", span("xa", "xb", e[0])).withColumn("gy", span("ya", "yb", e[2])).select("gx", "gy", "x1", "y1", "x2", "y2")
+    grid = boxes.withColumn("gx", span("xa", "xb", e[0])).withColumn("gy", span("ya", "yb", e[2])).select(*by, "gx", "gy", "x1", "y1", "x2", "y2")
     return write_shared(grid, "coast"), edge, levels, (e[0], e[2])
 
 
 def coast_distances(regions: DataFrame, coast: DataFrame) -> DataFrame:
     """``scene_id, region_id, distance_to_coast_km`` from the centroid to the nearest segment, exact; null without a coast.
+    Segments with a ``scene_id`` belong to that scene alone; regions of scenes without any are then left out.
 
     Cells that segments touch form a pyramid of doubling edges. Each region goes down from the one to four cells that cover
     all, and at each level leaves cells that are farther off than another's far corner, so it ends at a few cells whose
@@ -102,28 +183,29 @@ def coast_distances(regions: DataFrame, coast: DataFrame) -> DataFrame:
     if (built := _coast_grid(coast)) is None:
         return todo.select("scene_id", "region_id", F.lit(None).cast("double").alias("distance_to_coast_km"))
     grid, edge, levels, (x0, y0) = built
+    at = [*(["scene_id"] if "scene_id" in grid.columns else []), "gx", "gy"]
     px, py = F.col("centroid_x"), F.col("centroid_y")
     n = int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     top = F.array(*[F.struct(F.lit(i).cast("long").alias("gx"), F.lit(j).cast("long").alias("gy")) for i in (0, 1) for j in (0, 1)])
     pairs = todo.repartition(n, "scene_id", "region_id").withColumn("_g", F.explode(top)).select(*todo.columns, "_g.gx", "_g.gy")
     every = Window.partitionBy("scene_id", "region_id")
-    finest = write_shared(grid.select("gx", "gy").distinct(), "coast-cells")
+    finest = write_shared(grid.select(*at).distinct(), "coast-cells")
     for level in range(levels - 1, -1, -1):
         size = edge * 2**level
-        cells = finest.select(F.shiftright("gx", level).alias("_cx"), F.shiftright("gy", level).alias("_cy")).distinct()
-        cells = write_shared(cells.select(F.shiftright("_cx", 1).alias("gx"), F.shiftright("_cy", 1).alias("gy"), "_cx", "_cy"), "coast-level")
+        cells = finest.select(*at[:-2], F.shiftright("gx", level).alias("_cx"), F.shiftright("gy", level).alias("_cy")).distinct()
+        cells = write_shared(cells.select(*at[:-2], F.shiftright("_cx", 1).alias("gx"), F.shiftright("_cy", 1).alias("gy"), "_cx", "_cy"), "coast-level")
         left, low = x0 + F.col("_cx") * size, y0 + F.col("_cy") * size
         off = [F.greatest(a - p, F.lit(0.0), p - a - size) for a, p in ((left, px), (low, py))]
         far = [F.greatest(F.abs(p - a), F.abs(p - a - size)) for a, p in ((left, px), (low, py))]
-        down = pairs.join(cells, ["gx", "gy"]).withColumns({"_off": F.hypot(*off), "_far": F.hypot(*far)})
+        down = pairs.join(cells, at).withColumns({"_off": F.hypot(*off), "_far": F.hypot(*far)})
         near = down.withColumn("_least", F.min("_far").over(every)).filter(F.col("_off") <= F.col("_least") * (1 + 1e-9) + 1e-6)
         pairs = near.select(*todo.columns, F.col("_cx").alias("gx"), F.col("_cy").alias("gy"))
     d = point_segment_distance(*[F.col(c) for c in ("centroid_x", "centroid_y", "x1", "y1", "x2", "y2")])
-    return pairs.join(grid, ["gx", "gy"]).groupBy("scene_id", "region_id").agg(F.round(F.min(d) / 1000.0, 6).alias("distance_to_coast_km"))
+    return pairs.join(grid, at).groupBy("scene_id", "region_id").agg(F.round(F.min(d) / 1000.0, 6).alias("distance_to_coast_km"))
 
 
-def clipped_segments(coast: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
-    """The parts of segments within a box (Liang-Barsky); segments outside, and those that touch it in a point alone, go."""
+def clipped_segments(coast: DataFrame, west: float | Column, south: float | Column, east: float | Column, north: float | Column) -> DataFrame:
+    """The parts of segments within a box, one for all or one a row (Liang-Barsky); segments outside, and those that touch it in a point alone, go."""
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     t0, t1 = F.lit(0.0), F.lit(1.0)
     out = F.lit(False)

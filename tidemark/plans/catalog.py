@@ -13,8 +13,9 @@ from ..functions.geodesy import azimuthal_equidistant, geographic_row_area, inve
 from ..functions.labels import alert_level, detection_confidence, inside_validated, operating_status, rank, region_label
 from ..functions.pixels import at_least, below, blended, hex_channels, to_byte
 from ..operators import components, morphology, stats, tiling
-from ..operators.regions import clipped_segments, coast_distances, mask_area_km2, region_moments, region_table, scene_labels
-from ..sources.rasters import Raster, embeddings_raster, events_raster, lineitem_raster, orders_raster, read_table, supplier_coast
+from ..operators.regions import clipped_segments, coast_distances, mask_area_km2, region_moments, region_table, scene_coast, scene_labels
+from ..operators.regions import scene_bounds as bounds_in_degrees
+from ..sources.rasters import Raster, embeddings_raster, events_raster, lineitem_raster, located, orders_raster, read_table, supplier_coast, supplier_coast_degrees, supplier_scenes
 from . import detection, service
 
 CELL = ["scene_id", "row", "col"]
@@ -296,6 +297,40 @@ def mask_area(spark, sf_dir):
     return mask_area_km2(_dark(r), r.scenes)
 
 
+def _geographic(spark, sf_dir) -> Raster:
+    return located(orders_raster(spark, sf_dir), "EPSG:4326", 0.0005, 50.0, 27.0)
+
+
+@query
+def geographic_area(spark, sf_dir):
+    """Area on the ellipsoid, row by row."""
+    r = _geographic(spark, sf_dir)
+    return mask_area_km2(_dark(r), r.scenes)
+
+
+@query
+def geographic_regions(spark, sf_dir):
+    """Regions of a geographic scene: ellipsoidal areas, centroids in degrees, coast in the scene's local plane."""
+    r = _geographic(spark, sf_dir)
+    labelled = components.write_shared(components.label(_dark(r), min_pixels=SMALL.min_blob))
+    t = region_table(labelled, r.scenes, coast_degrees=supplier_coast_degrees(spark, sf_dir))
+    return t.select("region_id", "area_km2", F.round("centroid_lon", 8).alias("centroid_lon"), F.round("centroid_lat", 8).alias("centroid_lat"), "distance_to_coast_km", "severity")
+
+
+@query
+def scene_bounds(spark, sf_dir):
+    """A UTM scene's box in degrees, by points along its edges."""
+    return bounds_in_degrees(located(orders_raster(spark, sf_dir), "EPSG:32639", 10.0, 300_000.0, 2_900_000.0).scenes).select("scene_id", *[F.round(k, 8).alias(k) for k in ("west", "south", "east", "north")])
+
+
+@query
+def coast_search(spark, sf_dir):
+    """How far each scene had to search for a coast, and what it found; scenes without any are left out."""
+    found = scene_coast(supplier_scenes(spark, sf_dir), supplier_coast_degrees(spark, sf_dir))
+    length = F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))) / 1000
+    return found.groupBy("scene_id").agg(F.max("search_deg").alias("search_deg"), F.count(F.lit(1)).alias("n_segments"), F.round(length, 4).alias("length_km"))
+
+
 @query
 def projected_centres(spark, sf_dir):
     """Supplier places in a local azimuthal-equidistant plane, and UTM corners back to degrees."""

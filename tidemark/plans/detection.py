@@ -218,10 +218,10 @@ def undetected_dark(raster: Raster, found: Detection, cfg: Config = DEFAULT) ->
     return rest.join(attributed, CELL, "left").select(*CELL, F.coalesce("_by", F.lit(False)).alias("rejected_by_screener"))
 
 
-def measure(raster: Raster, mask: DataFrame, mosaic: DataFrame | None = None, coast: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
+def measure(raster: Raster, mask: DataFrame, mosaic: DataFrame | None = None, coast: DataFrame | None = None, cfg: Config = DEFAULT, coast_degrees: DataFrame | None = None) -> DataFrame:
     """The region table of a final mask."""
     labelled = components.write_shared(components.label(mask, cfg.connectivity))
-    return region_table(labelled, raster.scenes, mosaic, coast, cfg)
+    return region_table(labelled, raster.scenes, mosaic, coast, cfg, coast_degrees)
 
 
 def diagnostic_summary(dark: DataFrame, scenes: DataFrame) -> DataFrame:

@@ -278,3 +278,81 @@ SQL["tile_scope_inputs"] = _with(
     "lineitem", _AXES, _MEDIAN, _FULL, _INFILL, f"tv AS MATERIALIZED (SELECT t.s, t.y, t.x, f.r, f.c, f.v FROM tiles t JOIN inf f ON {_ON.format(a='f')})",
     "tb AS (SELECT s, y, x, round(quantile_cont(v, 0.02), 6) AS lo, round(quantile_cont(v, 0.98), 6) AS hi FROM tv GROUP BY s, y, x)",
 ) + f"SELECT s AS scene_id, y, x, r AS row, c AS col, round(CAST({_scaled('v')} AS DOUBLE), 6) AS norm FROM tv JOIN tb USING (s, y, x)"
+
+
+# --- scenes in degrees
+_FL = "(1 / 298.257223563::DOUBLE)"
+_CO_DEG = """cp AS (SELECT s_suppkey AS k, 48 + (s_suppkey % 50) / 10.0::DOUBLE AS x, round(24 + s_acctbal / 2000, 6) AS y FROM supplier),
+co AS MATERIALIZED (SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, b.x - a.x AS dx, b.y - a.y AS dy FROM cp a JOIN cp b ON b.k = a.k + 1)"""
+
+
+def _plane(source: str, *points: tuple[str, str, str, str, str]) -> str:
+    """``source`` with ``{p}x, {p}y`` for each point (p, lon, lat, lon0, lat0): metres from (lon0, lat0), by three rounds of Vincenty's
+    inverse. Each step is a subquery, as aliases within one SELECT are written out again."""
+    steps = [["atan((1 - {f}) * tan(radians({lat0}))) AS {p}u", "atan((1 - {f}) * tan(radians({lat}))) AS {p}v", "radians({lon} - {lon0}) AS {p}l", "radians({lon} - {lon0}) AS {p}m0"]]
+    for i in range(3):
+        rounds = [
+            ["cos({p}v) * sin({p}m#) AS {p}e#", "cos({p}u) * sin({p}v) - sin({p}u) * cos({p}v) * cos({p}m#) AS {p}n#", "sin({p}u) * sin({p}v) + cos({p}u) * cos({p}v) * cos({p}m#) AS {p}cs#"],
+            ["sqrt({p}e# * {p}e# + {p}n# * {p}n#) AS {p}ss#"],
+            ["atan2({p}ss#, {p}cs#) AS {p}sg#", "CASE WHEN {p}ss# > 0 THEN cos({p}u) * {p}e# / {p}ss# ELSE 0 END AS {p}sa#"],
+            ["1 - {p}sa# * {p}sa# AS {p}ca#"],
+            ["CASE WHEN {p}ca# > 1e-15 THEN {p}cs# - 2 * sin({p}u) * sin({p}v) / {p}ca# ELSE 0 END AS {p}mm#", "{f} / 16 * {p}ca# * (4 + {f} * (4 - 3 * {p}ca#)) AS {p}k#"],
+            ["{p}l + (1 - {p}k#) * {f} * {p}sa# * ({p}sg# + {p}k# * {p}ss# * ({p}mm# + {p}k# * {p}cs# * (2 * {p}mm# ** 2 - 1))) AS {p}m+"],
+        ]
+        steps += [[x.replace("#", str(i)).replace("m+", f"m{i + 1}") for x in items] for items in rounds]
+    steps += [
+        ["{p}ca2 * (1 / (1 - {f}) ** 2 - 1) AS {p}q"],
+        ["1 + {p}q / 16384 * (4096 + {p}q * (-768 + {p}q * (320 - 175 * {p}q))) AS {p}a", "{p}q / 1024 * (256 + {p}q * (-128 + {p}q * (74 - 47 * {p}q))) AS {p}b"],
+        ["{p}b * {p}ss2 * ({p}mm2 + {p}b / 4 * ({p}cs2 * (2 * {p}mm2 ** 2 - 1) - {p}b / 6 * {p}mm2 * (4 * {p}ss2 ** 2 - 3) * (4 * {p}mm2 ** 2 - 3))) AS {p}less"],
+        ["CASE WHEN {p}ss2 > 0 THEN 6378137.0::DOUBLE * (1 - {f}) * {p}a * ({p}sg2 - {p}less) / {p}ss2 ELSE 0 END AS {p}ratio"],
+        ["{p}ratio * {p}e2 AS {p}x", "{p}ratio * {p}n2 AS {p}y"],
+    ]
+    sql = source
+    for items in steps:
+        cols = [x.format(p=p, lon=lon, lat=lat, lon0=lon0, lat0=lat0, f=_FL) for p, lon, lat, lon0, lat0 in points for x in items]
+        sql = f"(SELECT *, {', '.join(cols)} FROM {sql})"
+    return sql
+
+
+def _searched(boxes: str) -> str:
+    """``sc(s, deg, x1, y1, x2, y2, lon0, lat0, px, py, qx, qy)``: the coast within 2, else 5 degrees of the boxes (s, w0, s0, e0, n0)."""
+    enter = "greatest(0, least(({w} - x1) / dx, ({e} - x1) / dx), CASE WHEN dy <> 0 THEN least(({s} - y1) / dy, ({n} - y1) / dy) ELSE 0 END)"
+    leave = "least(1, greatest(({w} - x1) / dx, ({e} - x1) / dx), CASE WHEN dy <> 0 THEN greatest(({s} - y1) / dy, ({n} - y1) / dy) ELSE 1 END)"
+    edge = {"w": "(w0 - deg)", "e": "(e0 + deg)", "s": "(s0 - deg)", "n": "(n0 + deg)"}
+    return f"""{_CO_DEG},
+sb AS MATERIALIZED ({boxes}),
+cl AS (SELECT *, {enter.format(**edge)} AS t0, {leave.format(**edge)} AS t1 FROM sb CROSS JOIN co CROSS JOIN (VALUES (2.0::DOUBLE), (5.0::DOUBLE)) v(deg) WHERE dy <> 0 OR y1 BETWEEN s0 - deg AND n0 + deg),
+ct AS MATERIALIZED (SELECT s, deg, (w0 + e0) / 2 AS lon0, (s0 + n0) / 2 AS lat0, x1 + t0 * dx AS ax, y1 + t0 * dy AS ay, x1 + t1 * dx AS bx, y1 + t1 * dy AS byy FROM cl WHERE t0 < t1),
+cn AS (SELECT * FROM ct QUALIFY deg = min(deg) OVER (PARTITION BY s)),
+sc AS MATERIALIZED {_plane("cn", ("p_", "ax", "ay", "lon0", "lat0"), ("q_", "bx", "byy", "lon0", "lat0"))}"""
+
+
+def _row_area(top: str, px: str) -> str:
+    m = lambda lat: f"6378137.0::DOUBLE * (1 - {_E2}) / (1 - {_E2} * sin(radians({lat})) ** 2) ** 1.5"
+    mid, n = f"({top} - {px} / 2)", f"6378137.0::DOUBLE / sqrt(1 - {_E2} * sin(radians({top} - {px} / 2)) ** 2)"
+    return f"(2 * ({n}) * asin(cos(radians({mid})) * sin(radians({px}) / 2)) * radians({px}) * ({m(top)} + 4 * {m(mid)} + {m(f'({top} - {px})')}) / 6)"
+
+
+_ROW = _row_area("(27.0::DOUBLE - r * 0.0005::DOUBLE)", "0.0005::DOUBLE")
+SQL["geographic_area"] = _with("orders", _STATS, _NORM, _DARK) + f"SELECT s AS scene_id, round(sum({_ROW}) / 1e6, 6) AS area_km2, count(*) AS n_pixels FROM m GROUP BY s"
+SQL["geographic_regions"] = _with(
+    "orders", *_TABLE, _searched("SELECT s, 50.0::DOUBLE AS w0, 27.0::DOUBLE - h * 0.0005::DOUBLE AS s0, 50.0::DOUBLE + w * 0.0005::DOUBLE AS e0, 27.0::DOUBLE AS n0 FROM dims"),
+    f"ar AS (SELECT s, id, round(sum({_ROW}) / 1e6, 6) AS a FROM rg GROUP BY s, id)",
+    "ce AS (SELECT rt.s, id, a, 0.0005::DOUBLE * (ccol + 0.5) + 50.0::DOUBLE AS lon, -0.0005::DOUBLE * (cr + 0.5) + 27.0::DOUBLE AS lat, (w0 + e0) / 2 AS mlon, (s0 + n0) / 2 AS mlat FROM rt JOIN ar USING (s, id) JOIN sb ON sb.s = rt.s)",
+    f"cx AS MATERIALIZED {_plane('ce', ('r_', 'lon', 'lat', 'mlon', 'mlat'))}",
+    "dd AS (SELECT cx.id, cx.r_x AS px, cx.r_y AS py, sc.p_x AS x1, sc.p_y AS y1, sc.q_x AS x2, sc.q_y AS y2 FROM cx JOIN sc ON sc.s = cx.s)",
+    f"dm AS (SELECT id, round(min({_distance('px', 'py')}) / 1000, 6) AS d FROM dd GROUP BY id)",
+) + f"SELECT id AS region_id, a AS area_km2, round(lon, 8) AS centroid_lon, round(lat, 8) AS centroid_lat, d AS distance_to_coast_km, {_ALERT.format(a='a', d='d')} AS severity FROM cx LEFT JOIN dm USING (id)"
+SQL["coast_search"] = "WITH " + _searched(
+    "SELECT CAST(s_suppkey AS VARCHAR) AS s, CAST(30 + s_suppkey % 30 AS DOUBLE) AS w0, round(10 + (s_acctbal + 1000) / 500, 6) - 1 AS s0, CAST(31 + s_suppkey % 30 AS DOUBLE) AS e0, round(10 + (s_acctbal + 1000) / 500, 6) AS n0 FROM supplier"
+) + " SELECT s AS scene_id, max(deg) AS search_deg, count(*) AS n_segments, round(sum(sqrt((q_x - p_x) ** 2 + (q_y - p_y) ** 2)) / 1000, 4) AS length_km FROM sc GROUP BY s"
+SQL["scene_bounds"] = _with(
+    "orders", "i AS (SELECT s, w, h, unnest(range(0, 23)) / 22.0::DOUBLE AS p FROM dims)",
+    "e AS (SELECT s, p * w AS u, 0.0::DOUBLE AS v FROM i UNION ALL SELECT s, p * w, h FROM i UNION ALL SELECT s, 0, p * h FROM i UNION ALL SELECT s, w, p * h FROM i)",
+    f"z AS (SELECT s, u, v, {_N} AS n, 0.9996::DOUBLE * 6378137.0::DOUBLE / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS z, (2900000.0::DOUBLE - 10 * v) / z AS xi, (10 * u - 200000.0::DOUBLE) / z AS eta FROM e)",
+    "k AS (SELECT *, n / 2 - 2 * n ** 2 / 3 + 37 * n ** 3 / 96 AS b1, n ** 2 / 48 + n ** 3 / 15 AS b2, 17 * n ** 3 / 480 AS b3 FROM z)",
+    """g AS (SELECT *, xi - b1 * sin(2 * xi) * cosh(2 * eta) - b2 * sin(4 * xi) * cosh(4 * eta) - b3 * sin(6 * xi) * cosh(6 * eta) AS xi1,
+  eta - b1 * cos(2 * xi) * sinh(2 * eta) - b2 * cos(4 * xi) * sinh(4 * eta) - b3 * cos(6 * xi) * sinh(6 * eta) AS eta1, asin(sin(xi1) / cosh(eta1)) AS chi FROM k)""",
+    """o AS (SELECT s, 51.0::DOUBLE + degrees(atan2(sinh(eta1), cos(xi1))) AS lon,
+  degrees(chi + (2 * n - 2 * n ** 2 / 3 - 2 * n ** 3) * sin(2 * chi) + (7 * n ** 2 / 3 - 8 * n ** 3 / 5) * sin(4 * chi) + 56 * n ** 3 / 15 * sin(6 * chi)) AS lat FROM g)""",
+) + "SELECT s AS scene_id, round(min(lon), 8) AS west, round(min(lat), 8) AS south, round(max(lon), 8) AS east, round(max(lat), 8) AS north FROM o GROUP BY s"

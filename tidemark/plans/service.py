@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import BOUNDARY, CONFIDENCE_ORDER, INVALID, SEVERITY_ORDER, Config
+from ..functions.geodesy import to_degrees
 from ..functions.labels import inside_validated, json_number, rank, region_label
 
 
@@ -45,12 +46,14 @@ def rejection_summary(rejected: DataFrame) -> DataFrame:
 
 
 def scene_summary(regions: DataFrame, scenes: DataFrame) -> DataFrame:
-    """One row a scene: totals, highest labels, nearest coast; place by the middle of the scene's box."""
+    """One row a scene: totals, highest labels, nearest coast; place by the middle of the scene, in degrees where its
+    reference system is geographic or UTM (else it is outside all areas)."""
     sums = regions.groupBy("scene_id").agg(
         F.sum("area_km2").alias("_total"), F.max("area_km2").alias("_largest"), F.min("distance_to_coast_km").alias("nearest_coast_km"), F.count(F.lit(1)).alias("_n"),
         F.max_by("severity", rank(F.col("severity"), SEVERITY_ORDER)).alias("_alert"), F.max_by("confidence", rank(F.col("confidence"), CONFIDENCE_ORDER)).alias("_confidence"),
     )
-    lon, lat = F.col("c") + F.col("a") * F.col("width") / 2, F.col("f") + F.col("e") * F.col("height") / 2
+    x, y = F.col("c") + F.col("a") * F.col("width") / 2 + F.col("b") * F.col("height") / 2, F.col("f") + F.col("e") * F.col("height") / 2 + F.col("d") * F.col("width") / 2
+    lon, lat = to_degrees(F.col("crs"), x, y)
     rows = scenes.join(sums, "scene_id", "left").withColumns({"centre_x": lon, "centre_y": lat})
     label = region_label(F.col("centre_x"), F.col("centre_y"))
     zero = F.lit(0.0)

@@ -35,6 +35,12 @@ def from_cells(cells: DataFrame, height: Column | None = None, width: Column | N
     return Raster(cells.select("scene_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("value").cast("double").alias("value")), scenes)
 
 
+def located(raster: Raster, crs: str, pixel: float, west: float, north: float) -> Raster:
+    """The raster on another north-up grid: reference system, pixel size and upper left corner."""
+    place = {"crs": F.lit(crs), "a": F.lit(pixel), "b": F.lit(0.0), "c": F.lit(west), "d": F.lit(0.0), "e": F.lit(-pixel), "f": F.lit(north)}
+    return Raster(raster.pixels, write_shared(raster.scenes.withColumns(place), "scenes"))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -72,3 +78,19 @@ def supplier_coast(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") * 10.0).alias("x"), F.col("s_acctbal").alias("y"))
     after = s.select((F.col("k") - 1).alias("k"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     return s.join(after, "k").select("k", F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
+
+
+def supplier_coast_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same neighbours in longitude and latitude: rows of fifty points, a tenth of a degree apart, latitude by balance."""
+    s = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (48 + (F.col("s_suppkey") % 50) / 10).alias("x"), F.round(24 + F.col("s_acctbal") / 2000, 6).alias("y"))
+    after = s.select((F.col("k") - 1).alias("k"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    return s.join(after, "k").select("k", F.col("x").alias("x1"), F.col("y").alias("y1"), "x2", "y2")
+
+
+def supplier_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A geographic scene of one degree for each supplier, some of them far from any coast."""
+    s = read_table(spark, sf_dir, "supplier")
+    west, north = (30 + F.col("s_suppkey") % 30).cast("double"), F.round(10 + (F.col("s_acctbal") + 1000) / 500, 6)
+    dims = s.select(F.col("s_suppkey").cast("string").alias("scene_id"), F.lit(100).cast("long").alias("height"), F.lit(100).cast("long").alias("width"), west.alias("_w"), north.alias("_n"))
+    grid = {"nodata": F.lit(None).cast("double"), "crs": F.lit("EPSG:4326"), "a": F.lit(0.01), "b": F.lit(0.0), "c": F.col("_w"), "d": F.lit(0.0), "e": F.lit(-0.01), "f": F.col("_n")}
+    return dims.withColumns(grid).select(*SCENE_COLUMNS)
