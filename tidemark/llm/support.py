@@ -42,6 +42,20 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: A key with more than this share of the rows is hot: there are at most this many of them.
+HOT_SHARE = 256
+
+
+def shared_key_lookup(rows: DataFrame, groups: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``groups`` (written, one row a key, with the number of rows that have it), no matter how many
+    rows share a key. Keys of more than 1 / ``HOT_SHARE`` of all these rows number at most ``HOT_SHARE``, so they are broadcast and
+    their rows stay where they are; the others are shuffled by key."""
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    hot, cold = F.col(count) * HOT_SHARE > total, F.col(count) * HOT_SHARE <= total
+    usual = rows.join(F.broadcast(groups.filter(hot).select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(groups.filter(hot)), keys).unionByName(usual.join(groups.filter(cold), keys))
+
+
 def numbered_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
     """None where every id is set and occurs once. Else ``_doc, _row, _text`` of each row: the row, its number in order of
     id (null ids last) and text, and its text, so that rows can be told apart by number."""
