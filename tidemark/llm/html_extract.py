@@ -39,30 +39,43 @@ IMPLIED = {
     "tfoot": (frozenset(["thead", "tbody", "tfoot"]), frozenset(["table"])),
     "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
 }
-#: Words of class and id values that mark what is not the article, where structure agrees.
-CLUTTER = frozenset(
-    "ad ads adv advert advertisement advertising adsense adslot banner promo promotion sponsor sponsored breadcrumb breadcrumbs cookie cookies consent gdpr notice disclaimer newsletter subscribe subscription signup login popup modal overlay lightbox toolbar menu menubar nav navbar navigation navigations topnav sidebar sidenav rail widget widgets footer foot colophon copyright header masthead comment comments commentlist disqus respond reply replies discussion share sharing social related recommended recommendations recommend pagination pager skip hidden tags tagcloud teaser outbrain taboola".split()
+#: Words of class and id values. A name counts only as a whole: each of its words is of one of these sets. A firm word marks a
+#: container that isn't the article; a loose one marks what is mostly links or a row of signed posts.
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+FIRM = COMMENTS | frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot promo promos promotion promotions sponsor sponsored breadcrumb breadcrumbs cookie cookies consent gdpr notice notices disclaimer copyright newsletter newsletters subscribe subscription signup popup modal overlay lightbox menubar navbar navigation topnav sidebar sidenav footer colophon masthead related recommended recommendations pagination pager outbrain taboola tagcloud".split()
 )
+LOOSE = frozenset("banner login menu toolbar nav rail widget widgets foot header response responses reply discussion share sharing social recommend skip hidden tags teaser teasers".split())
+#: Words that say what part of a page a name means, not what is in it.
+PLAIN = frozenset(
+    "list box area section container wrapper wrap block bar inner outer body item items link links button buttons form top bottom left right main site page global post posts article articles entry blog user reader readers story stories news feed thread slot unit panel message messages text content title primary secondary large small".split()
+)
+_SIGNED = frozenset("author avatar byline date datetime timestamp username commenter posted".split())
+_REPLY = frozenset("reply répondre antworten responder rispondi".split())
+_CONTAINERS = frozenset("div section article aside main center details fieldset table td".split())
 
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: An element so named is clutter below so many letters or from that share of them in links on.
-LITTLE_TEXT, MANY_LINKS = 140, 0.4
+#: Share of its letters in links from which an element is mostly links.
+MANY_LINKS = 0.4
+#: Points from which siblings of the best container stay, and from which text can be an article.
+ARTICLE = 10.0
 
 #: A tag's attributes: a quote opens a value only right after an equals sign; elsewhere it is a character like others.
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+|))*+)>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 _SELF_CLOSED = re.compile(r"""(?:\A|[\s"'])/\Z""")
-_PARTS = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[^\W\d_]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
     """An element. ``letters``, ``linked``, ``commas``: of the text below it that isn't clutter; ``linked``: within links below it."""
 
-    __slots__ = ("children", "clutter", "commas", "letters", "linked", "named", "parent", "score", "tag")
+    __slots__ = ("children", "clutter", "commas", "letters", "linked", "named", "parent", "score", "signed", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, clutter: bool, named: bool = False):
-        self.tag, self.parent, self.clutter, self.named, self.score = tag, parent, clutter, named, 0.0
+    def __init__(self, tag: str, parent: Node | None, clutter: bool, named: str = "", signed: bool = False):
+        self.tag, self.parent, self.clutter, self.named, self.signed, self.score = tag, parent, clutter, named, signed or tag == "time", 0.0
         self.letters = self.linked = self.commas = 0
         self.children: list[Node | str] = []
 
@@ -71,24 +84,39 @@ class Node:
         return (1.0 if self.tag == "a" else self.linked / self.letters) if self.letters else 0.0
 
 
-def _marks(tag: str, attributes: str, by_name: bool) -> tuple[bool, bool]:
-    """Whether an element is clutter by its tag, role or hiding, and whether a class or id names it so."""
+def _name(value: str) -> tuple[str, bool]:
+    """The strongest clutter that the names of a class or id value mean (``comments, firm, loose`` or none), and whether one of
+    them is that of an author or a date."""
+    found, signed = "", False
+    for name in value.split():
+        words = [w.lower() for w in _PARTS.findall(_HUMP.sub("-", name))]
+        signed = signed or not _SIGNED.isdisjoint(words)
+        if all(w in FIRM or w in LOOSE or w in PLAIN for w in words):
+            own = "comments" if not COMMENTS.isdisjoint(words) else "firm" if not FIRM.isdisjoint(words) else "loose" if not LOOSE.isdisjoint(words) else ""
+            found = min(found, own, key=("comments", "firm", "loose", "").index)
+    return found, signed
+
+
+def _marks(tag: str, attributes: str, by_name: bool) -> tuple[bool, str, bool]:
+    """Whether an element is clutter by its tag, role or hiding, what clutter a class or id names, and whether it signs a post."""
     if tag in DROPPED:
-        return True, False
+        return True, "", False
     if not by_name or not attributes or attributes.isspace() or tag in ("html", "body", "main"):
-        return False, False
-    named = False
+        return False, "", False
+    named, signed = "", False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            if tag != "article" and tag not in HEADINGS and not CLUTTER.isdisjoint(_PARTS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower())):
-                named = True
+            meant, author = _name(value)
+            signed = signed or author
+            if meant and tag not in HEADINGS and (tag != "article" or meant == "comments"):
+                named = min(named or "loose", meant, key=("comments", "firm", "loose").index)
         elif name == "role":
             if value.lower() in DROPPED_ROLES:
-                return True, False
+                return True, "", False
         elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-            return True, False
-    return False, named
+            return True, "", False
+    return False, named, signed
 
 
 def parse(page: str, by_name: bool = True) -> Node:
@@ -180,16 +208,54 @@ def _points(n: Node) -> float:
     return (1.0 + n.commas + min(n.letters / 100.0, 3.0)) * (1.0 - n.linked / n.letters) if n.letters else 0.0
 
 
+def _posts(order: list[Node]) -> tuple[set[Node], set[Node]]:
+    """Elements with an author or a date at or below them, and those with a link that says "reply"."""
+    signed, answered = set(), set()
+    for n in reversed(order):
+        below = [c for c in n.children if isinstance(c, Node) and not c.clutter]
+        if n.signed or any(c in signed for c in below):
+            signed.add(n)
+        if any(c in answered for c in below) or n.tag == "a" and n.letters < 20 and " ".join(c.strip() for c in n.children if isinstance(c, str)).lower() in _REPLY:
+            answered.add(n)
+    return signed, answered
+
+
+def _alike(n: Node, of: set[Node]) -> list[Node]:
+    """Children of one tag, two at least, that are all in ``of``."""
+    below = [c for c in n.children if isinstance(c, Node) and not c.clutter and c.tag in ("div", "li", "article", "section", "blockquote", "tr", "dd")]
+    tags = Counter(c.tag for c in below if c in of)
+    return [c for c in below if tags[c.tag] > 1 and c in of]
+
+
+def _is_clutter(n: Node, signed: set[Node]) -> bool:
+    """A named element, by what it is: a container that a firm word names, whatever its length; what is mostly links; a row of signed
+    posts; a list of comments. A single paragraph, heading or list is clutter only where it is mostly links."""
+    if n.density() > MANY_LINKS or n.named != "firm" and _alike(n, signed):
+        return True
+    if n.named in ("firm", "comments") and n.tag in _CONTAINERS:
+        return True
+    return n.named == "comments" and n.tag in ("ul", "ol", "dl") and any(isinstance(x, Node) and x.tag in BLOCK for c in n.children if isinstance(c, Node) for x in c.children)
+
+
 def judge_names(root: Node) -> list[Node]:
-    """Marks named elements with little text or many links as clutter and gives the outermost of the others, which take no
-    part in the search for the article but belong to it where they lie in it.
+    """Marks readers' comments and named elements that ``_is_clutter`` says so of, and gives the outermost of the other named ones,
+    which take no part in the search for the article but belong to it where they lie in it.
 
-    A named element with more points and letters than all that its like would leave of the page loses its mark, unless
-    what is left has text in <article> or <main>."""
+    Comments need no name where two posts or more of one tag each have an author or date and a link to reply. A named element
+    with more points and letters than all that its like would leave of the page loses its mark, unless what is left has
+    text in <article> or <main> or is an article itself (by its points; with a twentieth of the other's at least, if that is
+    no comments). So does a named one within it that has more than half of its letters."""
     order = _in_order(root)
+    weigh(order)
+    signed, answered = _posts(order)
+    if both := signed & answered:
+        for n in order:
+            for post in _alike(n, both):
+                post.clutter = True
+        order = _in_order(root)
+        weigh(order)
     if not any(n.named for n in order):
         return []
-    weigh(order)
     points: dict[Node, float] = {}
     left: dict[Node, tuple[float, int, int]] = {}  # points, letters, letters in <article> or <main>, without named elements below
     for n in reversed(order):
@@ -213,13 +279,18 @@ def judge_names(root: Node) -> list[Node]:
     named, (score, letters, article) = outermost(root), left[root]
     while named and not article:
         top = max(named, key=points.__getitem__)
-        if points[top] <= score or top.letters <= letters:
+        if points[top] <= score or top.letters <= letters or score >= ARTICLE and (top.named == "comments" or points[top] < 20 * score):
             break
-        top.named = False
-        named = [n for n in named if n is not top] + outermost(top)
-        score, letters, article = score + left[top][0], letters + left[top][1], article + left[top][2]
+        named.remove(top)
+        wrappers = [top]
+        while wrappers:
+            n = wrappers.pop()
+            n.named = ""
+            score, letters, article = score + left[n][0], letters + left[n][1], article + left[n][2]
+            for c in outermost(n):
+                (wrappers if 2 * c.letters > n.letters else named).append(c)
     for n in order:
-        if n.named and (n.letters < LITTLE_TEXT or n.density() > MANY_LINKS):
+        if n.named and _is_clutter(n, signed):
             n.clutter = True
     return [n for n in named if not n.clutter]
 
@@ -283,7 +354,7 @@ def best_containers(root: Node) -> list[Node]:
     kept, blocks = [], []
     for k, c in enumerate(around):
         length, links = c.letters, c.density()
-        if c is best or not c.named and (c.score * (1.0 - links) >= max(10.0, 0.2 * top) or c.tag == best.tag == "article" or c.tag == "p" and length > 80 and links < 0.25 or c.tag in ("h1", "h2") and length):
+        if c is best or not c.named and (c.score * (1.0 - links) >= max(ARTICLE, 0.2 * top) or c.tag == best.tag == "article" or c.tag == "p" and length > 80 and links < 0.25 or c.tag in ("h1", "h2") and length):
             kept.append(k)
         elif length and (c.tag in HEADINGS or c.tag in BLOCK and links <= MANY_LINKS):
             blocks.append(k)
@@ -323,8 +394,8 @@ def _blocks(root: Node) -> list[str]:
 def main_text(page: str | None) -> str:
     """Text of the page's article: blocks in page order, white space within a block as one blank, two line feeds between.
 
-    A class or id names clutter only where structure agrees (see ``judge_names``); where names, roles and hiding leave nothing
-    of a page, they are passed over."""
+    A class or id names clutter as a whole name and where structure agrees (see ``judge_names``), alike at every length; where
+    names, roles and hiding leave nothing of a page, they are passed over."""
     if not page:
         return ""
     return "\n\n".join(_blocks(parse(page)) or _blocks(parse(page, by_name=False)))
