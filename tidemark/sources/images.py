@@ -1,15 +1,17 @@
-"""Scenes from and to image files: single-band GeoTIFF in, mask GeoTIFF and PNG layers out.
+"""Scenes from and to image files: single-band GeoTIFF in, GeoTIFF scenes and masks and PNG layers out.
 
-Files are read and written by tasks; bands of rows are encoded in parallel and joined by a writer that streams them in order,
-so no scene has to fit in memory.
+A file is read by as many tasks as it has block ranges and encoded by as many as it has blocks; what is left for one task a file is
+to put encoded blocks behind each other as they stream by. No scene has to fit in memory.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -17,205 +19,334 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from . import geotiff
+from .geotiff import SceneError
 from .rasters import Raster
 
-BAND_ROWS = 256
-# TIFF field types (struct code by number) and sample formats (numpy kind by SampleFormat).
-_TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
-_KINDS = {1: "u", 2: "i", 3: "f"}
+__all__ = ["GeoTiffSource", "SceneError", "read_header", "read_scenes", "read_strips", "scene_headers", "write_layers", "write_masks", "write_scenes"]
 
+SCENES = "scene_id string, height long, width long, nodata double, crs string, a double, b double, c double, d double, e double, f double"
+PIXELS = "scene_id string, row long, col long, value double"
+HEADERS = f"{SCENES}, path string, blocks long, block_height long, block_width long, compression long, predictor long, description string, scope string"
+#: Cells of a strip at most, rows of one at most, and bytes of a file that a task reads.
+STRIP_CELLS, STRIP_ROWS, TASK_BYTES = 1 << 20, 256, 4 << 20
+_ROWS_OUT = 1 << 16
+#: The last part of a path without its ending.
+_STEM = r"([^/]+?)(?:\.[^./]*)?$"
 
-class SceneError(ValueError):
-    """A file that is no single-band scene with a reference system."""
 
+def read_header(data: bytes) -> dict:
+    """Dimensions, nodata, reference system and affine coefficients of a file's bytes."""
+    h = geotiff.header(geotiff.bytes_reader(data))
+    return {"height": h.height, "width": h.width, "nodata": h.nodata, "crs": h.crs, **dict(zip("abcdef", h.affine, strict=True)), "header": h}
 
-def _tags(data: bytes) -> tuple[str, dict[int, tuple]]:
-    order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack_from(order + "H", data, 2)[0] != 42:
-        raise SceneError("not a TIFF file")
-    (at,) = struct.unpack_from(order + "I", data, 4)
-    (count,) = struct.unpack_from(order + "H", data, at)
-    tags = {}
-    for i in range(count):
-        tag, kind, n = struct.unpack_from(order + "HHI", data, at + 2 + 12 * i)
-        if kind not in _TYPES:
-            continue
-        form = f"{order}{n}{_TYPES[kind]}"
-        place = at + 10 + 12 * i
-        if struct.calcsize(form) > 4:
-            (place,) = struct.unpack_from(order + "I", data, place)
-        tags[tag] = struct.unpack_from(form, data, place)
-    return order, tags
 
+def read_strips(data: bytes, header: dict) -> Iterator[tuple[int, np.ndarray]]:
+    """First row and values (single precision) of each strip of a file's bytes, or each tile's."""
+    h, read = header["header"], geotiff.bytes_reader(data)
+    for block, (at, n) in enumerate(geotiff.block_ranges(read, h, 0, h.blocks)):
+        yield h.corner(block)[0], geotiff.block_values(read(at, n), h, block)
 
-def read_header(data: bytes) -> dict:
-    """Dimensions, nodata, reference system and affine coefficients."""
-    order, t = _tags(data)
-    if t.get(277, (1,))[0] != 1:
-        raise SceneError("a scene has exactly one band")
-    keys = t.get(34735, ())
-    codes = {keys[i]: keys[i + 3] for i in range(4, len(keys) - 3, 4)}
-    code = codes.get(3072) or codes.get(2048)
-    if not code:
-        raise SceneError("the file has no reference system")
-    if 34264 in t:
-        m = t[34264]
-        a, b, c, d, e, f = m[0], m[1], m[3], m[4], m[5], m[7]
-    elif 33550 in t and 33922 in t:
-        sx, sy = t[33550][:2]
-        i, j, _, x, y, _ = t[33922][:6]
-        a, b, c, d, e, f = sx, 0.0, x - i * sx, 0.0, -sy, y + j * sy
-    else:
-        raise SceneError("the file has no affine transform")
-    nodata = t.get(42113)
-    return {"order": order, "tags": t, "height": t[257][0], "width": t[256][0], "nodata": float(nodata[0].rstrip(b"\0 ") or b"nan") if nodata else None, "crs": f"EPSG:{code}", **dict(zip("abcdef", (a, b, c, d, e, f), strict=True))}
 
+# --- in --------------------------------------------------------------------------------------------------------------
 
-def read_strips(data: bytes, header: dict) -> Iterator[tuple[int, np.ndarray]]:
-    """First row and values (single precision) of each strip."""
-    t = header["tags"]
-    compression = t.get(259, (1,))[0]
-    if compression not in (1, 8, 32946) or t.get(317, (1,))[0] != 1 or 273 not in t:
-        raise SceneError("only uncompressed and deflated strips without predictor are read")
-    kind = np.dtype(f"{header['order']}{_KINDS[t.get(339, (1,))[0]]}{t.get(258, (1,))[0] // 8}")
-    per, width, height = t.get(278, (header["height"],))[0], header["width"], header["height"]
-    for k, (at, n) in enumerate(zip(t[273], t[279], strict=True)):
-        raw = data[at : at + n]
-        rows = min(per, height - k * per)
-        yield k * per, np.frombuffer(zlib.decompress(raw) if compression != 1 else raw, kind, rows * width).reshape(rows, width).astype(np.float32)
-
-
-def read_scenes(spark: SparkSession, paths: str | list[str] | DataFrame) -> Raster:
-    """A raster of GeoTIFF files (paths or globs), or of a frame ``(path, content)``; the file's name is the scene's id."""
-    files = paths if isinstance(paths, DataFrame) else spark.read.format("binaryFile").load(paths)
-    files = files.select(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("scene_id"), "content")
-
-    def headers(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+class _File:
+    """Byte ranges of a file; ``taken`` counts bytes."""
+
+    def __init__(self, path: str):
+        files, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else path.replace(":", "://", 1))
+        self.file, self.taken = files.open_input_file(inner), 0
+
+    def read(self, at: int, n: int) -> bytes:
+        self.taken += n
+        return self.file.read_at(n, at)
+
+
+def _uri(path: str) -> str:
+    """``file:/a`` and ``hdfs:/a`` as the readers of tasks want them."""
+    scheme, colon, rest = path.partition(":")
+    return f"{scheme}://{rest}" if colon and rest.startswith("/") and not rest.startswith("//") else path
+
+
+def _cells(scene: str, h: geotiff.Header, read: geotiff.Read, first: int, last: int, rows: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """Cells of a range of blocks; blocks beyond the rows asked for are not read."""
+    for k, (at, n) in enumerate(geotiff.block_ranges(read, h, first, last), first):
+        top, left = h.corner(k)
+        if top > rows[1] or min(top + h.block_height, h.height) <= rows[0]:
+            continue
+        values = geotiff.block_values(read(at, n), h, k)
+        step = max(1, _ROWS_OUT // values.shape[1])
+        for i in range(0, len(values), step):
+            part = values[i : i + step]
+            r, c = np.indices(part.shape)
+            yield pa.RecordBatch.from_arrays([pa.repeat(scene, part.size), pa.array(r.ravel() + top + i), pa.array(c.ravel() + left), pa.array(part.ravel().astype(float))], ["scene_id", "row", "col", "value"])
+
+
+def _header_row(scene: str, path: str, h: geotiff.Header) -> tuple:
+    return (scene, h.height, h.width, h.nodata, h.crs, *h.affine, path, h.blocks, h.block_height, h.block_width, h.compression, h.predictor, h.description, h.scope)
+
+
+class _Part(InputPartition):
+    """Some files, and which share of their blocks."""
+
+    def __init__(self, files: list[tuple[str, str]], share: int = 0, shares: int = 1):
+        self.files, self.share, self.shares = files, share, shares
+
+
+class _Reader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.headers = options.get("read", "pixels") == "headers"
+        self.task_bytes = int(options.get("taskBytes", TASK_BYTES))
+        self.files = [tuple(f) for f in json.loads(options["files"])]
+        self.scenes: set[str] | None = None
+        self.rows = (0, 1 << 62)
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802 - Spark's name
+        """Scenes prune files, rows prune blocks. Spark checks every row again."""
+        for f in filters:
+            name = getattr(f, "attribute", ())
+            if name == ("scene_id",) and isinstance(f, EqualTo | In):
+                wanted = set(f.value if isinstance(f, In) else [f.value])
+                self.scenes = wanted if self.scenes is None else self.scenes & wanted
+            elif name == ("row",) and isinstance(f.value, int):
+                low, high = self.rows
+                if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
+                    low = max(low, f.value)
+                if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
+                    high = min(high, f.value)
+                self.rows = low, high
+            yield f
+
+    def partitions(self) -> list[_Part]:
+        """From the listing alone: no file is opened to plan. A file larger than a task's share is parted by its blocks."""
+        known = [(scene, path, size) for scene, path, size in self.files if self.scenes is None or scene in self.scenes]
+        if self.headers:
+            return [_Part([(s, p) for s, p, _ in known[i : i + 64]]) for i in range(0, len(known), 64)]
+        parts = []
+        for scene, path, size in known:
+            n = max(1, -(-size // self.task_bytes))
+            parts += [_Part([(scene, path)], k, n) for k in range(n)]
+        return parts
+
+    def read(self, partition: _Part) -> Iterator[tuple] | Iterator[pa.RecordBatch]:
+        for scene, path in partition.files:
+            read = _File(path).read
+            h = geotiff.header(read)
+            if self.headers:
+                yield _header_row(scene, path, h)
+            else:
+                first, last = (h.blocks * k // partition.shares for k in (partition.share, partition.share + 1))
+                yield from _cells(scene, h, read, first, last, self.rows)
+
+
+class GeoTiffSource(DataSource):
+    """``spark.read.format("tidemark_geotiff")`` over a listing of files: ``read`` is ``pixels`` (the default) or ``headers``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tidemark_geotiff"
+
+    def schema(self) -> str:
+        return HEADERS if self.options.get("read") == "headers" else PIXELS
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return _Reader(dict(self.options))
+
+
+def _listed(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, str, int]]:
+    """Scene, path and size of each file, by Spark's own listing: contents stay unread."""
+    rows = spark.read.format("binaryFile").load(paths).select(F.regexp_extract("path", _STEM, 1), "path", "length").collect()
+    return sorted((s, _uri(p), n) for s, p, n in rows)
+
+
+def _source(spark: SparkSession, files: list[tuple[str, str, int]], kind: str, task_bytes: int) -> DataFrame:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(GeoTiffSource)
+    return spark.read.format(GeoTiffSource.name()).option("files", json.dumps(files)).option("read", kind).option("taskBytes", task_bytes).load()
+
+
+def scene_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """A catalogue of GeoTIFF files from their headers, some hundred bytes of each: the columns of scenes, then path, layout of blocks,
+    description and normalisation scope. The file's name is the scene's id."""
+    return _source(spark, _listed(spark, paths), "headers", TASK_BYTES)
+
+
+def read_scenes(spark: SparkSession, paths: str | list[str] | DataFrame, task_bytes: int = TASK_BYTES) -> Raster:
+    """A raster of GeoTIFF files: strips or tiles, plain, LZW, deflated or packed, with any predictor, classic or big.
+
+    Of paths or globs (which tasks must be able to open), each file is read by a task for every ``task_bytes``; filters on scene
+    and row reach the files. A frame ``(path, content)`` holds the files' bytes already: then a scene is read by one task.
+    """
+    if not isinstance(paths, DataFrame):
+        files = _listed(spark, paths)
+        return Raster(_source(spark, files, "pixels", task_bytes), _source(spark, files, "headers", task_bytes).select(*[f.split()[0] for f in SCENES.split(", ")]))
+    files = paths.select(F.regexp_extract("path", _STEM, 1).alias("scene_id"), "content")
+
+    def headers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in SCENES.split(", ")]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.string(), *[pa.float64()] * 6]
         for batch in batches:
-            rows = [(s, *(h[k] for k in ("height", "width", "nodata", "crs", *"abcdef"))) for s, c in zip(batch["scene_id"], batch["content"], strict=True) for h in [read_header(c)]]
-            yield pd.DataFrame(rows, columns=["scene_id", "height", "width", "nodata", "crs", *"abcdef"])
+            rows = [_header_row(s.as_py(), "", geotiff.header(geotiff.bytes_reader(c.as_py()))) for s, c in zip(batch.column(0), batch.column(1), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
 
-    def pixels(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pixels(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s, content in zip(batch["scene_id"], batch["content"], strict=True):
-                for first, values in read_strips(content, read_header(content)):
-                    r, c = np.indices(values.shape)
-                    yield pd.DataFrame({"scene_id": s, "row": r.ravel() + first, "col": c.ravel(), "value": values.ravel().astype(float)})
+            for s, c in zip(batch.column(0), batch.column(1), strict=True):
+                read = geotiff.bytes_reader(c.as_py())
+                h = geotiff.header(read)
+                yield from _cells(s.as_py(), h, read, 0, h.blocks, (0, 1 << 62))
+
+    return Raster(files.mapInArrow(pixels, PIXELS), files.mapInArrow(headers, SCENES))
+
 
-    scenes = files.mapInPandas(headers, "scene_id string, height long, width long, nodata double, crs string, a double, b double, c double, d double, e double, f double")
-    return Raster(files.mapInPandas(pixels, "scene_id string, row long, col long, value double"), scenes)
+# --- out -------------------------------------------------------------------------------------------------------------
 
 
-def _bands(cells: DataFrame, scenes: DataFrame, channels: list[str]) -> DataFrame:
-    """Raw bytes of bands of rows, cells that are missing 0: ``scene_id, band, rows, width, height, bytes``."""
-    n = len(channels)
+def _encoded(cells: DataFrame, scenes: DataFrame, channels: list[str], tile: int | None, fill: float, kind: str, encode) -> DataFrame:
+    """Encoded blocks, in order: ``scene_id, block, bytes, size, raw_size, sum``. Cells that are missing have the value ``fill``."""
+    per = F.greatest(F.lit(1), F.least(F.lit(STRIP_ROWS), F.floor(F.lit(STRIP_CELLS) / F.col("width")))).cast("long") if tile is None else F.lit(tile).cast("long")
+    grid = scenes.select("scene_id", "height", "width", per.alias("_h"), (F.col("width") if tile is None else F.lit(tile)).cast("long").alias("_w"))
+    grid = grid.withColumn("_across", F.ceil(F.col("width") / F.col("_w"))).withColumn("_blocks", F.col("_across") * F.ceil(F.col("height") / F.col("_h")))
+    every = grid.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
+    at = F.floor(F.col("row") / F.col("_h")) * F.col("_across") + F.floor(F.col("col") / F.col("_w"))
+    placed = cells.select("scene_id", "row", "col", *channels).join(F.broadcast(grid) if grid.limit(100_001).count() <= 100_000 else grid, "scene_id").select("scene_id", at.alias("block"), "row", "col", *channels)
 
-    def encode(block: pd.DataFrame) -> pd.DataFrame:
-        band, width, height = (int(block[k].iloc[0]) for k in ("band", "width", "height"))
-        rows = min(BAND_ROWS, height - band * BAND_ROWS)
-        out = np.zeros((rows, width, n), np.uint8)
-        have = block[block["row"].notna()]
-        out[have["row"].astype(int) - band * BAND_ROWS, have["col"].astype(int)] = have[channels].to_numpy(dtype=np.uint8)
-        return pd.DataFrame({"scene_id": [block["scene_id"].iloc[0]], "band": [band], "rows": [rows], "width": [width], "height": [height], "bytes": [out.tobytes()]})
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        number, height, width, h, w, across = (int(block[k].iloc[0]) for k in ("block", "height", "width", "_h", "_w", "_across"))
+        top, left = number // across * h, number % across * w
+        rows = min(h, height - top) if tile is None else h
+        out = np.full((rows, w, len(channels)), fill, np.dtype(kind))
+        have = block[block["row"].notna() & (block["row"] < height) & (block["col"] < width)]
+        out[have["row"].astype(int) - top, have["col"].astype(int) - left] = have[channels].to_numpy(dtype=np.dtype(kind))
+        data, raw, total = encode(out)
+        return pd.DataFrame({"scene_id": [block["scene_id"].iloc[0]], "block": [number], "bytes": [data], "size": [len(data)], "raw_size": [raw], "sum": [total]})
 
-    every = scenes.select("scene_id", "width", "height", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("height") - 1) / BAND_ROWS))).alias("band"))
-    placed = cells.select("scene_id", "row", "col", *channels).withColumn("band", F.floor(F.col("row") / BAND_ROWS))
-    return every.join(placed, ["scene_id", "band"], "left").groupBy("scene_id", "band").applyInPandas(encode, "scene_id string, band long, rows int, width int, height int, bytes binary")
+    return every.join(placed, ["scene_id", "block"], "left").groupBy("scene_id", "block").applyInPandas(run, "scene_id string, block long, bytes binary, size long, raw_size long, sum long")
 
 
-def _write_files(bands: DataFrame, scenes: DataFrame, out_dir: str, suffix: str, encoder) -> DataFrame:
+def _grid(scenes: DataFrame) -> DataFrame:
+    """Scenes with all coefficients; a grid without rotation may leave them out."""
+    have = set(scenes.columns)
+    zero, null = F.lit(0.0), F.lit(None)
+    missing = {k: zero for k in ("b", "d") if k not in have} | {k: null.cast(t) for k, t in (("nodata", "double"), ("scope", "string")) if k not in have}
+    return scenes.withColumns(missing) if missing else scenes
+
+
+def _assembled(blocks: DataFrame, scenes: DataFrame, out_dir: str, suffix: str, writer) -> DataFrame:
+    """One file a scene of its encoded blocks: ``scene_id, path``. A block's place follows from the sizes before it; the task that writes
+    a file holds one block at a time and the sizes."""
+    sizes = blocks.groupBy("scene_id").agg(F.sort_array(F.collect_list(F.struct("block", "size"))).alias("_sizes"))  # two numbers a block
+    first = scenes.select("scene_id", F.lit(-1).cast("long").alias("block"), F.to_json(F.struct(*[c for c in scenes.columns if c != "scene_id"]), {"ignoreNullFields": "false"}).alias("about"))
+    first = first.join(sizes.select("scene_id", F.transform("_sizes", lambda x: x["size"]).alias("sizes")), "scene_id").select("scene_id", "block", "about", "sizes", F.lit(None).cast("binary").alias("bytes"), F.lit(0).cast("long").alias("raw_size"), F.lit(0).cast("long").alias("sum"))
+    parts = first.unionByName(blocks.select("scene_id", "block", "bytes", "raw_size", "sum"), allowMissingColumns=True)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = fs.FileSystem.from_uri(out_dir)
         files.create_dir(base, recursive=True)
-        scene = out = state = None
+        scene = name = out = state = None
+
+        def finished() -> pa.RecordBatch:
+            out.write(state.tail())
+            out.close()
+            files.move(name, f"{base}/{scene}{suffix}")  # a repeated attempt puts the same file in place
+            return pa.RecordBatch.from_pydict({"scene_id": [scene], "path": [f"{base}/{scene}{suffix}"]})
+
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["scene_id"] != scene:
+            for i in range(batch.num_rows):
+                row = {k: batch.column(k)[i].as_py() for k in ("scene_id", "block", "about", "sizes", "bytes", "raw_size", "sum")}
+                if row["block"] < 0:
                     if out is not None:
-                        yield finish(files, base, scene, out, state)
+                        yield finished()
                     scene, name = row["scene_id"], f"{base}/.{uuid.uuid4().hex}"
-                    out, state = files.open_output_stream(name), encoder(row["width"], row["height"])
-                    state.name, state.scale, state.tie = name, (abs(row["a"]), abs(row["e"]), 0.0), (0.0, 0.0, 0.0, row["c"], row["f"], 0.0)
-                    code = int(row["crs"].removeprefix("EPSG:")) if row["crs"].startswith("EPSG:") else 32767
-                    state.keys = (1, 1, 0, 2, 1024, 0, 1, 2 if code == 4326 else 1, 2048 if code == 4326 else 3072, 0, 1, code)
+                    out, state = files.open_output_stream(name), writer(json.loads(row["about"]), row["sizes"])
                     out.write(state.head())
-                out.write(state.band(row["bytes"], row["rows"]))
+                else:
+                    out.write(state.block(row["bytes"], row["raw_size"], row["sum"]))
         if out is not None:
-            yield finish(files, base, scene, out, state)
-
-    def finish(files, base, scene, out, state) -> pa.RecordBatch:
-        out.write(state.tail())
-        out.close()
-        path = f"{base}/{scene}{suffix}"
-        files.move(state.name, path)  # a repeated attempt puts the same file in place
-        return pa.RecordBatch.from_pydict({"scene_id": [scene], "path": [path]})
+            yield finished()
 
-    bands = bands.join(scenes.select("scene_id", "crs", "a", "c", "e", "f"), "scene_id")
-    return bands.repartition("scene_id").sortWithinPartitions("scene_id", "band").mapInArrow(run, "scene_id string, path string")
+    return parts.repartition("scene_id").sortWithinPartitions("scene_id", "block").mapInArrow(run, "scene_id string, path string")
 
 
 class _Tiff:
-    """Header, deflated strips, directory. Masks compress well: the strips of a scene are held until its file is closed, as
-    the header has to tell where the directory begins."""
+    """A GeoTIFF; a big one where positions would not fit in 32 bits."""
 
-    def __init__(self, width: int, height: int):
-        self.width, self.height, self.strips = width, height, []
+    def __init__(self, about: dict, sizes: list[int], tile: int | None, kind: str, compression: int, predictor: int, description: str, big: bool):
+        per = tile or max(1, min(STRIP_ROWS, STRIP_CELLS // about["width"]))
+        affine = tuple(about[k] for k in "abcdef")
+        big = big or sum(sizes) + 64 * len(sizes) > 4_000_000_000
+        self.before, self.after = geotiff.frame(about["height"], about["width"], per, tile, kind, compression, predictor, about["nodata"], about["crs"], affine, sizes, description, about["scope"], big)
 
     def head(self) -> bytes:
-        return b""
+        return self.before
 
-    def band(self, raw: bytes, rows: int) -> bytes:
-        self.strips.append(zlib.compress(raw, 6))
-        return b""
+    def block(self, data: bytes, raw: int, total: int) -> bytes:
+        return data
 
     def tail(self) -> bytes:
-        starts = [8]
-        for s in self.strips:
-            starts.append(starts[-1] + len(s))
-        body = b"".join(self.strips)
-        if len(body) % 2:
-            body += b"\0"
-        directory = 8 + len(body)
-        tags = (
-            (256, 4, (self.width,)), (257, 4, (self.height,)), (258, 3, (8,)), (259, 3, (8,)), (262, 3, (1,)), (270, 2, b"binary detection mask\0"),
-            (273, 4, tuple(starts[:-1])), (277, 3, (1,)), (278, 4, (BAND_ROWS,)), (279, 4, tuple(map(len, self.strips))), (284, 3, (1,)), (33550, 12, self.scale), (33922, 12, self.tie), (34735, 3, self.keys),
-        )
-        entries, extra, beyond = b"", b"", directory + 2 + 12 * len(tags) + 4
-        for tag, kind, values in tags:
-            packed = values if kind == 2 else struct.pack(f"<{len(values)}{_TYPES[kind]}", *values)
-            if len(packed) > 4:
-                packed, extra = struct.pack("<I", beyond + len(extra)), extra + packed + b"\0" * (len(packed) % 2)
-            entries += struct.pack("<HHI", tag, kind, len(values)) + packed.ljust(4, b"\0")
-        return b"II" + struct.pack("<HI", 42, directory) + body + struct.pack("<H", len(tags)) + entries + struct.pack("<I", 0) + extra
+        return self.after
+
+
+def _added(one: int, other: int, length: int) -> int:
+    """Adler-32 of two strings put together, the second of this length."""
+    prime = 65521
+    low = (one & 0xFFFF) + (other & 0xFFFF) - 1
+    high = (one >> 16) + (other >> 16) + (length % prime) * ((one & 0xFFFF) - 1)
+    return high % prime << 16 | low % prime
 
 
 class _Png:
-    """One compressed stream over all bands, a chunk for each."""
+    """One compressed stream of blocks that tasks deflated each for itself; their checksums add up."""
 
-    def __init__(self, width: int, height: int):
-        self.width, self.height, self.z = width, height, zlib.compressobj(3)
+    def __init__(self, about: dict, sizes: list[int]):
+        self.width, self.height, self.sum, self.begun = about["width"], about["height"], 1, False
 
     @staticmethod
     def _chunk(kind: bytes, data: bytes) -> bytes:
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
     def head(self) -> bytes:
-        return b"\x89PNG\r\n\x1a\n" + self._chunk(b"IHDR", struct.pack(">IIBBBBB", self.width, self.height, 8, 2, 0, 0, 0))
+        return b"\x89PNG\r\n\x1a\n" + self._chunk(b"IHDR", struct.pack(">IIBBBBB", self.width, self.height, 8, 2, 0, 0, 0)) + self._chunk(b"IDAT", b"\x78\x01")
 
-    def band(self, raw: bytes, rows: int) -> bytes:
-        line = 3 * self.width
-        return self._chunk(b"IDAT", self.z.compress(b"".join(b"\0" + raw[i * line : (i + 1) * line] for i in range(rows))))
+    def block(self, data: bytes, raw: int, total: int) -> bytes:
+        self.sum = _added(self.sum, total, raw)
+        return self._chunk(b"IDAT", data)
 
     def tail(self) -> bytes:
-        return self._chunk(b"IDAT", self.z.flush()) + self._chunk(b"IEND", b"")
+        return self._chunk(b"IDAT", b"\x03\x00" + struct.pack(">I", self.sum)) + self._chunk(b"IEND", b"")
+
+
+def _tiff_block(compression: int, predictor: int, values: np.ndarray) -> tuple[bytes, int, int]:
+    return geotiff.block_bytes(values[:, :, 0], compression, predictor), 0, 0
+
+
+def _png_block(values: np.ndarray) -> tuple[bytes, int, int]:
+    raw = b"".join(b"\0" + line.tobytes() for line in values)
+    z = zlib.compressobj(3, zlib.DEFLATED, -15)
+    return z.compress(raw) + z.flush(zlib.Z_FULL_FLUSH), len(raw), zlib.adler32(raw)
 
 
 def write_masks(mask: DataFrame, scenes: DataFrame, out_dir: str) -> DataFrame:
-    """One GeoTIFF a scene, 1 where the mask holds: ``scene_id, path``."""
-    return _write_files(_bands(mask.withColumn("v", F.lit(1)), scenes, ["v"]), scenes, out_dir, ".tif", _Tiff)
+    """One GeoTIFF a scene on the scene's own grid, 1 where the mask holds: ``scene_id, path``. A column ``scope`` of ``scenes`` is kept as
+    the file's normalisation scope."""
+    scenes = _grid(scenes).withColumn("nodata", F.lit(None).cast("double"))
+    blocks = _encoded(mask.withColumn("v", F.lit(1)), scenes, ["v"], None, 0, "u1", partial(_tiff_block, geotiff.DEFLATE, 1))
+    return _assembled(blocks, scenes, out_dir, ".tif", partial(_Tiff, tile=None, kind="u1", compression=geotiff.DEFLATE, predictor=1, description="binary detection mask", big=False))
+
+
+def write_scenes(raster: Raster, out_dir: str, tile: int | None = None, compression: int = geotiff.DEFLATE, predictor: int = 1, big: bool = False) -> DataFrame:
+    """One GeoTIFF a scene of single-precision values, in strips or in square tiles of ``tile`` (a multiple of 16): ``scene_id, path``.
+    Missing cells and nulls are not-a-number."""
+    if tile is not None and tile % 16:
+        raise SceneError("tiles have a multiple of 16 cells a side")
+    blocks = _encoded(raster.pixels.withColumn("v", F.col("value").cast("float")), raster.scenes, ["v"], tile, np.nan, "f4", partial(_tiff_block, compression, predictor))
+    return _assembled(blocks, _grid(raster.scenes), out_dir, ".tif", partial(_Tiff, tile=tile, kind="f4", compression=compression, predictor=predictor, description="scene", big=big))
 
 
 def write_layers(cells: DataFrame, scenes: DataFrame, out_dir: str) -> DataFrame:
     """One PNG a scene from columns red, green and blue; missing cells are black: ``scene_id, path``."""
-    return _write_files(_bands(cells, scenes, ["red", "green", "blue"]), scenes, out_dir, ".png", _Png)
+    return _assembled(_encoded(cells, scenes, ["red", "green", "blue"], None, 0, "u1", _png_block), scenes, out_dir, ".png", _Png)
