@@ -284,12 +284,12 @@ def test_suffix_sort_orders_by_bytes(texts, collide):
 
 def test_runs_do_not_depend_on_what_surrounds_them():
     rng = np.random.default_rng(1)
-    passage = rng.integers(97, 105, 700, dtype=np.uint8)
+    passage = rng.integers(97, 105, 3000, dtype=np.uint8)
     found = []
     for before in (0, 10, 333):
         data = np.concatenate([rng.integers(97, 105, before, dtype=np.uint8), passage, rng.integers(97, 105, 50, dtype=np.uint8)])
         begin, count, anchor, gram, run = suffix.piece_runs(data, np.array([len(data)]), len(data))
-        inner = (begin > before) & (begin + count + 199 < before + 700)
+        inner = (begin > before) & (begin + count + 199 < before + 3000)
         found.append(list(zip((begin[inner] - before).tolist(), count[inner].tolist(), (anchor[inner] - before).tolist(), gram[inner].tolist(), run[inner].tolist(), strict=True)))
     common = set(found[0]) & set(found[1]) & set(found[2])
     assert len(common) >= len(found[0]) - 2 > 2
