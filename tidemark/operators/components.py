@@ -9,19 +9,17 @@ from pyspark.sql import functions as F
 
 from .graph import connected_components
 from .ranks import global_positions
+from .morphology import cells_of, runs_of
 from .shared import write_shared
-from .stats import dense_cells
 
 #: Edge of the square blocks that one task labels at a time.
 BLOCK = 1024
 
 
-def runs(mask: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Runs of neighbouring true cells in a row, cut at block borders: ``scene_id, row, c0, c1``."""
-    part = F.floor(F.col("col") / block)
-    w = Window.partitionBy("scene_id", "row", part).orderBy("col")
-    island = F.col("col") - F.row_number().over(w)
-    return mask.select("scene_id", "row", "col").distinct().withColumn("_i", island).groupBy("scene_id", "row", part.alias("_p"), "_i").agg(F.min("col").alias("c0"), F.max("col").alias("c1")).select("scene_id", "row", "c0", "c1")
+def cut_runs(runs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Runs cut at the block borders that they cross."""
+    pieces = runs.withColumn("_x", F.explode(F.sequence(F.floor(F.col("c0") / block), F.floor(F.col("c1") / block))))
+    return pieces.select("scene_id", "row", F.greatest("c0", F.col("_x") * block).alias("c0"), F.least("c1", F.col("_x") * block + (block - 1)).alias("c1"))
 
 
 def _label_block(reach: int):
@@ -58,10 +56,14 @@ def _label_block(reach: int):
 
 
 def labelled_runs(mask: DataFrame, connectivity: int = 2, block: int = BLOCK) -> DataFrame:
-    """Runs with the component they belong to, named by its first cell in row-major order:
+    return joined_runs(runs_of(mask), connectivity, block)
+
+
+def joined_runs(runs: DataFrame, connectivity: int = 2, block: int = BLOCK) -> DataFrame:
+    """Runs, cut at block borders, with the component they belong to, named by its first cell in row-major order:
     ``scene_id, row, c0, c1, first_row, first_col``. No group is larger than a block."""
     reach = 1 if connectivity == 2 else 0
-    cut = runs(mask, block).withColumns({"_y": F.floor(F.col("row") / block), "_x": F.floor(F.col("c0") / block)})
+    cut = cut_runs(runs, block).withColumns({"_y": F.floor(F.col("row") / block), "_x": F.floor(F.col("c0") / block)})
     schema = "scene_id string, row long, c0 long, c1 long, first_row long, first_col long"
     local = write_shared(cut.groupBy("scene_id", "_y", "_x").applyInPandas(_label_block(reach), schema))
     node = F.struct("scene_id", "first_row", "first_col")
@@ -108,9 +110,25 @@ def label(mask: DataFrame, connectivity: int = 2, min_pixels: int = 1) -> DataFr
     return cells(numbered(at_least(labelled_runs(mask, connectivity), min_pixels))).select("scene_id", "row", "col", "region_id")
 
 
-def holes_filled(mask: DataFrame, scenes: DataFrame) -> DataFrame:
-    """The mask and the 4-connected parts of its background that don't reach the scene's edge."""
-    ground = labelled_runs(dense_cells(scenes).join(mask, ["scene_id", "row", "col"], "left_anti"), connectivity=1)
+def hole_runs(runs: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Runs of the 4-connected parts of the background that don't reach the scene's edge: ``scene_id, row, c0, c1``.
+
+    Only the gaps between two runs of a row can be in a hole, so no more rows are made than there are runs. A gap is open where
+    it lies in the first or last row or reaches beyond the outer runs of the row above or below, and so is all that joins it.
+    """
+    line = Window.partitionBy("scene_id", "row").orderBy("c0")
+    gaps = runs.select("scene_id", "row", (F.col("c1") + 1).alias("c0"), (F.lead("c0").over(line) - 1).alias("c1")).filter("c1 is not null")
+    ground = write_shared(joined_runs(gaps, connectivity=1), "gaps")
+    outer = runs.groupBy("scene_id", "row").agg(F.min("c0").alias("_left"), F.max("c1").alias("_right"))
+    around = outer.withColumn("row", F.explode(F.array(F.col("row") - 1, F.col("row") + 1))).groupBy("scene_id", "row")
+    closed = around.agg(F.count(F.lit(1)).alias("_n"), F.max("_left").alias("_left"), F.min("_right").alias("_right"))  # rows between two that have runs
+    beside = ground.join(scenes.select("scene_id", "height"), "scene_id").join(closed, ["scene_id", "row"], "left")
+    within = (F.col("_n") == 2) & (F.col("c0") >= F.col("_left")) & (F.col("c1") <= F.col("_right")) & F.col("row").between(1, F.col("height") - 2)
     name = ["scene_id", "first_row", "first_col"]
-    open_ = ground.join(scenes.select("scene_id", "height", "width"), "scene_id").filter("row = 0 or row = height - 1 or c0 = 0 or c1 = width - 1").select(name).distinct()
-    return mask.select("scene_id", "row", "col").union(cells(ground.join(open_, name, "left_anti")).select("scene_id", "row", "col"))
+    open_ = beside.filter(~F.coalesce(within, F.lit(False))).select(name).distinct()
+    return ground.join(open_, name, "left_anti").select("scene_id", "row", "c0", "c1")
+
+
+def holes_filled(mask: DataFrame, scenes: DataFrame) -> DataFrame:
+    """The mask and its holes."""
+    return mask.select("scene_id", "row", "col").union(cells_of(hole_runs(runs_of(mask), scenes)))

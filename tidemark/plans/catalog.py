@@ -8,13 +8,17 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEFAULT, SMALL
+from ..config import DEFAULT, SCREENED, SMALL
 from ..functions.geodesy import azimuthal_equidistant, geographic_row_area, inverse_affine, utm_inverse
 from ..functions.labels import alert_level, detection_confidence, inside_validated, operating_status, rank, region_label
 from ..functions.pixels import at_least, below, blended, hex_channels, to_byte
 from ..operators import components, morphology, stats, tiling
+from ..operators.contours import contours as outlines
+from ..operators.contours import visible_parts
 from ..operators.regions import clipped_segments, coast_distances, mask_area_km2, region_moments, region_table, scene_coast, scene_labels
 from ..operators.regions import scene_bounds as bounds_in_degrees
+from ..operators.shared import scratch_path, write_shared
+from ..sources import geotiff, images
 from ..sources.rasters import Raster, embeddings_raster, events_raster, lineitem_raster, located, orders_raster, read_table, supplier_coast, supplier_coast_degrees, supplier_scenes
 from . import detection, service
 
@@ -403,12 +407,17 @@ def undetected_attribution(spark, sf_dir):
 
 @query
 def attribution_invariants(spark, sf_dir):
-    """Counts of cells that break the accounting of dark cells, against all dark and detected cells; all are 0."""
+    """Counts of cells that break the accounting of dark cells; all are 0. The layer is made another way than its parts: from the
+    scene's own scaling and numbered components, with rejections joined tile by tile."""
     r, found = _found(spark, sf_dir)
     cfg = replace(GATED, min_blob=4, opening_radius=1)
-    dark = components.write_shared(detection.undetected_dark(r, found, cfg))
-    undetected = detection.cleaned(_dark(r).join(found.mask, CELL, "left_anti"), r.scenes, cfg)
-    return detection.broken_accounts(undetected.union(found.mask.select(CELL)), found.mask, dark)
+    parts = write_shared(detection.undetected_dark(r, found, cfg))
+    opened = morphology.opened(_dark(r).join(found.mask, CELL, "left_anti"), r.scenes, morphology.disk(1))
+    layer = write_shared(components.label(opened, cfg.connectivity, cfg.min_blob).select(CELL))
+    rejected = found.rejected.filter(F.col("reason") == SCREENED).select(tiling.TILE)
+    held = tiling.on_tiles(layer, r.scenes, cfg).join(rejected, tiling.TILE, "left_semi").select(CELL).distinct()
+    screener = held.join(found.mosaic.filter("prob > 0"), CELL, "left_anti")
+    return detection.broken_parts(layer, screener, found.mask, parts)
 
 
 def _truth(spark, sf_dir) -> DataFrame:
@@ -453,6 +462,46 @@ def mask_boundary(spark, sf_dir):
     return morphology.boundary(_dark(orders_raster(spark, sf_dir)))
 
 
+@query
+def contours(spark, sf_dir):
+    """Every point of the dark cells' outlines, in order along its ring."""
+    return outlines(_dark(orders_raster(spark, sf_dir))).drop("length")
+
+
+@query
+def visible_contours(spark, sf_dir):
+    """The outlines' parts that finished orders don't hide."""
+    r = orders_raster(spark, sf_dir)
+    return visible_parts(outlines(_dark(r)), _truth(spark, sf_dir), r.scenes)
+
+
+def _placed_events(spark, sf_dir) -> Raster:
+    """The events' scenes on geographic grids, each at a place of its own."""
+    r = events_raster(spark, sf_dir)
+    n = F.length("scene_id").cast("double")
+    place = {"crs": F.lit("EPSG:4326"), "a": F.lit(0.01), "b": F.lit(0.0), "c": 6 * n, "d": F.lit(0.0), "e": F.lit(-0.001), "f": 22 + n}
+    return Raster(r.pixels, write_shared(r.scenes.withColumns(place), "scenes"))
+
+
+@query
+def scene_catalog(spark, sf_dir):
+    """The events' scenes as tiled GeoTIFF files, listed again from their headers: places, titles and labels."""
+    out = scratch_path(spark, "files")
+    images.write_scenes(_placed_events(spark, sf_dir), out, tile=16, compression=geotiff.LZW, predictor=3).count()
+    kinds = read_table(spark, sf_dir, "events").select(F.col("event_type").alias("scene_id")).distinct()
+    titles = kinds.filter(F.length("scene_id") % 2 == 0).withColumn("title", F.concat(F.lit("Scene "), "scene_id"))
+    listed = service.scene_list(images.scene_headers(spark, f"{out}/*.tif"), titles)
+    return _rounded(listed.select("scene_id", "title", "height", "width", "crs", "west", "south", "east", "north", "region_label", "inside_validated_bounds"))
+
+
+@query
+def geotiff_pixels(spark, sf_dir):
+    """The same scenes' values, read back block by block: in single precision, as files hold them."""
+    out = scratch_path(spark, "files")
+    images.write_scenes(_placed_events(spark, sf_dir), out, tile=16, compression=geotiff.LZW, predictor=3).count()
+    return stats.valid_pixels(images.read_scenes(spark, f"{out}/*.tif", task_bytes=4096)).select(*CELL, F.round("value", 4).alias("value"))
+
+
 @query
 def content_id(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents")

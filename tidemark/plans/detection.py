@@ -64,17 +64,36 @@ def edges_repeated(cells: DataFrame, scenes: DataFrame, cfg: Config) -> DataFram
     return sized.withColumn("row", along("row", "height")).withColumn("col", along("col", "width")).drop("height", "width")
 
 
-def model_inputs(raster: Raster, tiles: DataFrame, cfg: Config) -> DataFrame:
-    """Cells of the tiles, infilled, with edges repeated where a scene is smaller than a tile, and scaled by the scope's range:
-    ``scene_id, y, x, row, col, norm, valid``."""
-    cells = infilled(raster) if cfg.infill else valid_pixels(raster).withColumn("valid", F.lit(True))
+@dataclass(frozen=True)
+class Prepared:
+    """What all passes over a raster need, computed and written once. ``cells``: scene_id, row, col, valid, and value (tile scope) or
+    norm, infilled where so configured; ``bounds``: each scene's range, in scene scope."""
+
+    cells: DataFrame
+    bounds: DataFrame | None
+
+
+def prepared(raster: Raster, cfg: Config) -> Prepared:
+    cells, bounds = infilled(raster) if cfg.infill else valid_pixels(raster).withColumn("valid", F.lit(True)), None
     if cfg.norm_scope == "fixed_db":
         cells = cells.withColumn("norm", scaled(F.col("value"), F.lit(cfg.fixed_lo), F.lit(cfg.fixed_hi)))
     elif cfg.norm_scope == "scene":
         bounds = components.write_shared(scene_percentiles(raster, cfg), "bounds")
         cells = cells.join(bounds, "scene_id").withColumn("norm", scaled(F.col("value"), F.col("lo"), F.col("hi")))
-    value = "value" if cfg.norm_scope == "tile" else "norm"
-    placed = on_tiles(edges_repeated(cells.select(*CELL, value, "valid"), raster.scenes, cfg), grown(raster.scenes, cfg), cfg)
+    return Prepared(components.write_shared(cells.select(*CELL, "value" if cfg.norm_scope == "tile" else "norm", "valid"), "cells"), bounds)
+
+
+def dark_cells(raster: Raster, cfg: Config, ready: Prepared | None = None) -> DataFrame:
+    """Valid cells that the classical rule calls dark: ``scene_id, row, col``. Tile scope has no scene to compare with."""
+    cells = normalised(raster, cfg) if ready is None or cfg.norm_scope == "tile" else ready.cells.filter("valid")
+    return cells.filter(below(F.col("norm"), cfg.dark)).select(CELL)
+
+
+def model_inputs(raster: Raster, tiles: DataFrame, cfg: Config, ready: Prepared | None = None) -> DataFrame:
+    """Cells of the tiles, infilled, with edges repeated where a scene is smaller than a tile, and scaled by the scope's range:
+    ``scene_id, y, x, row, col, norm, valid``."""
+    cells = (ready or prepared(raster, cfg)).cells
+    placed = on_tiles(edges_repeated(cells, raster.scenes, cfg), grown(raster.scenes, cfg), cfg)
     placed = placed.join(tiles.select(TILE), TILE, "left_semi")
     return scaled_by_tile(placed, cfg) if cfg.norm_scope == "tile" else placed
 
@@ -116,12 +135,13 @@ def tile_scorer(score: Callable[[np.ndarray, np.ndarray], float], what: str = "s
 @dataclass(frozen=True)
 class Detection:
     """``tiles``: the grid with eligibility, scores and gates; ``mosaic``: stitched cells (prob, n_tiles, classical); ``mask``:
-    final true cells; ``rejected``: one row a rejected tile."""
+    final true cells; ``rejected``: one row a rejected tile; ``ready``: what the passes were made of."""
 
     tiles: DataFrame
     mosaic: DataFrame
     mask: DataFrame
     rejected: DataFrame
+    ready: Prepared | None = None
 
 
 def expanded_pass_grid(tiles: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -138,10 +158,10 @@ def expanded_pass_grid(tiles: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return either.join(tiles.filter("eligible").select("scene_id", "gi", "gj"), ["scene_id", "gi", "gj"], "left_semi")
 
 
-def screened(raster: Raster, cfg: Config, screener: Scorer) -> DataFrame:
+def screened(raster: Raster, cfg: Config, screener: Scorer, ready: Prepared | None = None) -> DataFrame:
     """The tile grid with ``p_oil``, ``passed`` (by the threshold) and ``final`` (after expansion)."""
     tiles = components.write_shared(partitioned(raster, cfg))
-    scores = screener(model_inputs(raster, tiles.filter("eligible"), cfg), cfg)
+    scores = screener(model_inputs(raster, tiles.filter("eligible"), cfg, ready), cfg)
     gated = components.write_shared(tiles.join(scores_checked(scores, "p_oil", TILE), TILE, "left").withColumn("passed", F.coalesce(F.col("p_oil") >= cfg.screener_threshold, F.lit(False)) & F.col("eligible")))
     final = expanded_pass_grid(gated, cfg).withColumn("_final", F.lit(True))
     return gated.join(final, ["scene_id", "gi", "gj"], "left").withColumn("final", F.coalesce("_final", F.lit(False))).drop("_final")
@@ -149,20 +169,21 @@ def screened(raster: Raster, cfg: Config, screener: Scorer) -> DataFrame:
 
 def learned(raster: Raster, cfg: Config = DEFAULT, screener: Scorer = dark_fraction, segmenter: Scorer = inverted) -> Detection:
     """Two passes: all eligible tiles are screened, the final set is segmented; the classical rule joins within its footprint."""
-    tiles = components.write_shared(screened(raster, cfg, screener))
-    cells = model_inputs(raster, tiles.filter("final"), cfg)
-    predicted = scores_checked(segmenter(cells, cfg), "prob", [*TILE, "row", "col"])
-    valid = valid_pixels(raster).select(CELL)
-    dark = components.write_shared(normalised(raster, cfg).filter(below(F.col("norm"), cfg.dark)).select(CELL))
-    prob = stitched(predicted).join(valid, CELL, "left_semi")
-    mosaic = components.write_shared(prob.join(dark.withColumn("_dark", F.lit(True)), CELL, "left").withColumn("classical", F.coalesce("_dark", F.lit(False))).drop("_dark"))
+    if cfg.norm_scope == "tile":
+        raise ValueError("tile scope has no dark cells of a scene")
+    ready = prepared(raster, cfg)
+    tiles = components.write_shared(screened(raster, cfg, screener, ready))
+    predicted = scores_checked(segmenter(model_inputs(raster, tiles.filter("final"), cfg, ready), cfg), "prob", [*TILE, "row", "col"])
+    valid = ready.cells.filter("valid").select(*CELL, below(F.col("norm"), cfg.dark).alias("classical"))
+    dark = valid.filter("classical").select(CELL)
+    mosaic = components.write_shared(stitched(predicted).join(valid, CELL))
     raw = mosaic.filter(at_least(F.col("prob"), cfg.mask)).select(CELL)
     if cfg.classical_union:
         raw = raw.union(mosaic.filter("classical").select(CELL) if cfg.restrict_union else dark).distinct()
     if cfg.fill_pixel_holes:
         raw = components.holes_filled(raw, raster.scenes)
     mask = components.write_shared(cleaned(raw, raster.scenes, cfg))
-    return Detection(tiles, mosaic, mask, rejected_tiles(tiles, cfg))
+    return Detection(tiles, mosaic, mask, rejected_tiles(tiles, cfg), ready)
 
 
 def deterministic(raster: Raster, cfg: Config = DEFAULT, segmenter: Scorer = dark_rule) -> Detection:
@@ -190,10 +211,27 @@ def broken_accounts(universe: DataFrame, detected: DataFrame, dark: DataFrame) -
     )
 
 
+def broken_parts(layer: DataFrame, screener: DataFrame, detected: DataFrame, parts: DataFrame) -> DataFrame:
+    """One row of counts that are 0 if ``parts`` (cells with ``rejected_by_screener``) divide ``layer`` (all undetected dark cells): ``overlap``
+    with detected cells, ``missing`` and ``extra`` cells, cells ``repeated`` or in both parts, and cells ``misattributed``, that is not
+    of the screener's part just where ``screener`` has them."""
+    marked = [df.select(*CELL, *[F.lit(int(k == n)).alias(k) for k in "lsdpy"]) for df, n in ((layer, "l"), (screener, "s"), (detected, "d"), (parts, "p"), (parts.filter("rejected_by_screener"), "y"))]
+    both = marked[0]
+    for df in marked[1:]:
+        both = both.union(df)
+    each = both.groupBy(CELL).agg(*[F.sum(k).alias(k) for k in "lsdpy"])
+    return each.agg(
+        F.count_if((F.col("p") > 0) & (F.col("d") > 0)).alias("overlap"), F.count_if((F.col("l") > 0) & (F.col("p") == 0)).alias("missing"), F.count_if((F.col("l") == 0) & (F.col("p") > 0)).alias("extra"),
+        F.count_if(F.col("p") > 1).alias("repeated"), F.count_if((F.col("p") > 0) & ((F.col("s") > 0) != (F.col("y") > 0))).alias("misattributed"),
+    )
+
+
 def cleaned(mask: DataFrame, scenes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Opening, then components of the least size; the order matters for thin shapes."""
-    opened = morphology.opened(mask, scenes, morphology.disk(cfg.opening_radius)) if cfg.opening_radius else mask
-    return components.cells(components.at_least(components.labelled_runs(opened, cfg.connectivity), cfg.min_blob)).select(CELL)
+    runs = morphology.runs_of(mask)
+    if cfg.opening_radius:
+        runs = morphology.opened_runs(runs, scenes, morphology.disk(cfg.opening_radius))
+    return components.cells(components.at_least(components.joined_runs(runs, cfg.connectivity), cfg.min_blob)).select(CELL)
 
 
 def rejected_tiles(tiles: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -211,7 +249,7 @@ def undetected_dark(raster: Raster, found: Detection, cfg: Config = DEFAULT) ->
 
     A cell belongs to the screener's rejections if a tile that it rejected covers it and no probability above 0 does.
     """
-    dark = normalised(raster, cfg).filter(below(F.col("norm"), cfg.dark)).select(CELL).join(found.mask, CELL, "left_anti")
+    dark = dark_cells(raster, cfg, found.ready).join(found.mask, CELL, "left_anti")
     rest = components.write_shared(cleaned(dark, raster.scenes, cfg))
     cover = covered(found.rejected.filter(F.col("reason") == SCREENED).select(TILE), cfg)
     attributed = rest.join(cover, CELL, "left_semi").join(found.mosaic.filter("prob > 0").select(CELL), CELL, "left_anti").withColumn("_by", F.lit(True))

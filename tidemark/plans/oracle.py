@@ -182,9 +182,11 @@ SQL["undetected_dark"] = _with("lineitem", *_UNDETECTED) + f"SELECT {_CELL}, rej
 SQL["undetected_attribution"] = _with("lineitem", *_UNDETECTED) + """SELECT d.s AS scene_id, round(count(ud.r) * 100.0::DOUBLE / 1e6, 6) AS total_area_km2, count(ud.r) AS total_pixels, round(count(*) FILTER (ud.rejected) * 100.0::DOUBLE / 1e6, 6) AS rejected_area_km2,
 count(*) FILTER (ud.rejected) AS rejected_pixels, CASE WHEN count(ud.r) > 0 THEN round(100.0::DOUBLE * count(*) FILTER (ud.rejected) / count(ud.r), 6) ELSE 0.0::DOUBLE END AS percentage FROM dims d LEFT JOIN ud ON ud.s = d.s GROUP BY d.s"""
 _IN = "EXISTS (SELECT 1 FROM {t} WHERE {t}.r = {a}.r AND {t}.c = {a}.c)"
-SQL["attribution_invariants"] = _with("lineitem", *_UNDETECTED, "all_dark AS (SELECT r, c FROM uk UNION SELECT r, c FROM dk)", "told AS (SELECT r, c FROM ud UNION SELECT r, c FROM dk)") + f"""SELECT
-(SELECT count(*) FROM ud JOIN dk USING (r, c)) AS overlap, (SELECT count(*) FROM all_dark a WHERE NOT {_IN.format(t='told', a='a')}) AS missing, (SELECT count(*) FROM told b WHERE NOT {_IN.format(t='all_dark', a='b')}) AS extra,
-(SELECT count(*) FROM (SELECT r, c FROM ud GROUP BY r, c HAVING count(*) > 1 UNION ALL SELECT r, c FROM dk GROUP BY r, c HAVING count(*) > 1)) AS repeated"""
+SQL["attribution_invariants"] = _with(
+    "lineitem", *_UNDETECTED, "er AS (SELECT DISTINCT uk.r, uk.c FROM uk JOIN fi t ON NOT t.final AND t.frac <= 0.2 AND " + _ON.format(a="uk") + ")", "by_tile AS (SELECT r, c FROM er ANTI JOIN (SELECT r, c FROM mo WHERE prob > 0) USING (r, c))",
+) + f"""SELECT
+(SELECT count(*) FROM ud JOIN dk USING (r, c)) AS overlap, (SELECT count(*) FROM uk a WHERE NOT {_IN.format(t='ud', a='a')}) AS missing, (SELECT count(*) FROM ud b WHERE NOT {_IN.format(t='uk', a='b')}) AS extra,
+(SELECT count(*) FROM (SELECT r, c FROM ud GROUP BY r, c HAVING count(*) > 1)) AS repeated, (SELECT count(*) FROM ud WHERE rejected <> {_IN.format(t='by_tile', a='ud')}) AS misattributed"""
 
 # --- components and regions
 _CC = [_STATS, _NORM, _DARK, _components("a", "m")]
@@ -356,3 +358,34 @@ SQL["scene_bounds"] = _with(
     """o AS (SELECT s, 51.0::DOUBLE + degrees(atan2(sinh(eta1), cos(xi1))) AS lon,
   degrees(chi + (2 * n - 2 * n ** 2 / 3 - 2 * n ** 3) * sin(2 * chi) + (7 * n ** 2 / 3 - 8 * n ** 3 / 5) * sin(4 * chi) + 56 * n ** 3 / 15 * sin(6 * chi)) AS lat FROM g)""",
 ) + "SELECT s AS scene_id, round(min(lon), 8) AS west, round(min(lat), 8) AS south, round(max(lon), 8) AS east, round(max(lat), 8) AS north FROM o GROUP BY s"
+
+# --- outlines: squares of four cells by cases, rings by walking
+_EDGE = "CASE {e} WHEN 'T' THEN [2 * i, 2 * j + 1] WHEN 'R' THEN [2 * i + 1, 2 * j + 2] WHEN 'B' THEN [2 * i + 2, 2 * j + 1] ELSE [2 * i + 1, 2 * j] END"
+_OUTLINE = [
+    _STATS, _NORM, _DARK,
+    "sq AS (SELECT s, r - dr AS i, c - dc AS j, sum(bit) AS code FROM m CROSS JOIN (VALUES (0, 0, 1), (0, 1, 2), (1, 1, 4), (1, 0, 8)) AS k(dr, dc, bit) GROUP BY s, r - dr, c - dc)",
+    """cs(code, f, t) AS (VALUES (1, 'T', 'L'), (2, 'R', 'T'), (4, 'B', 'R'), (8, 'L', 'B'), (3, 'R', 'L'), (6, 'B', 'T'), (12, 'L', 'R'), (9, 'T', 'B'), (7, 'B', 'L'), (14, 'L', 'T'), (13, 'T', 'R'), (11, 'R', 'B'),
+  (5, 'T', 'L'), (5, 'B', 'R'), (10, 'R', 'T'), (10, 'L', 'B'))""",
+    f"nx AS MATERIALIZED (SELECT s, {_EDGE.format(e='f')} AS p, {_EDGE.format(e='t')} AS q FROM sq JOIN cs USING (code))",
+    "wk AS (SELECT s, p AS p0, q AS p, 1 AS n FROM nx UNION ALL SELECT w.s, w.p0, nx.q, w.n + 1 FROM wk w JOIN nx ON nx.s = w.s AND nx.p = w.p WHERE w.p > w.p0)",
+    "rn AS (SELECT s, p0, n AS len FROM wk WHERE p = p0)",
+    "pt AS MATERIALIZED (SELECT s, p0[1] / 2.0::DOUBLE AS ring_row, p0[2] / 2.0::DOUBLE AS ring_col, CAST(n % len AS BIGINT) AS pos, p[1] / 2.0::DOUBLE AS y, p[2] / 2.0::DOUBLE AS x, len FROM wk JOIN rn USING (s, p0))",
+]
+SQL["contours"] = _with("orders", *_OUTLINE) + "SELECT s AS scene_id, ring_row, ring_col, pos AS position, y AS row, x AS col FROM pt"
+SQL["visible_contours"] = _with(
+    "orders", *_OUTLINE, "tr AS MATERIALIZED (SELECT DISTINCT o_orderkey // 128 AS r, o_orderkey % 128 AS c FROM orders WHERE o_orderstatus = 'F')",
+    "nr AS (SELECT pt.*, least(greatest(CAST(round_even(y, 0) AS BIGINT), 0), h - 1) AS r, least(greatest(CAST(round_even(x, 0) AS BIGINT), 0), w - 1) AS c FROM pt JOIN dims USING (s))",
+    "hd AS (SELECT nr.*, CAST(tr.r IS NOT NULL AS INT) AS hidden FROM nr LEFT JOIN tr ON tr.r = nr.r AND tr.c = nr.c)",
+    "ct AS (SELECT *, sum(hidden) OVER (PARTITION BY s, ring_row, ring_col ORDER BY pos) AS gone, sum(hidden) OVER (PARTITION BY s, ring_row, ring_col) AS all_gone FROM hd)",
+    "ps AS (SELECT *, CASE WHEN all_gone > 0 AND gone = all_gone THEN 0 ELSE gone END AS part, CASE WHEN all_gone > 0 AND gone = all_gone THEN pos - len ELSE pos END AS place FROM ct WHERE hidden = 0)",
+) + """SELECT s AS scene_id, ring_row, ring_col, CAST(part AS BIGINT) AS part, CAST(place AS BIGINT) AS position, y AS row, x AS col FROM ps
+QUALIFY count(*) OVER (PARTITION BY s, ring_row, ring_col, part) > 1"""
+
+# --- files
+_CENTRE = "(west + east) / 2 BETWEEN {} AND {} AND (south + north) / 2 BETWEEN {} AND {}"
+SQL["scene_catalog"] = _with(
+    "events", "b AS (SELECT s, h, w, round(6.0::DOUBLE * length(s), 6) AS west, round(22.0::DOUBLE + length(s) - 0.001::DOUBLE * h, 6) AS south, round(6.0::DOUBLE * length(s) + 0.01::DOUBLE * w, 6) AS east, 22.0::DOUBLE + length(s) AS north FROM dims)",
+    f"l AS (SELECT *, CASE WHEN {_CENTRE.format(47, 57, 22, 31)} THEN 'Arabian Gulf' WHEN {_CENTRE.format(32, 44, 12, 30)} THEN 'Red Sea' ELSE 'Outside all named areas' END AS region_label FROM b)",
+) + f"""SELECT s AS scene_id, CASE WHEN length(s) % 2 = 0 THEN 'Scene ' || s ELSE replace(s, '_', ' ') END AS title, h AS height, w AS width, 'EPSG:4326' AS crs, west, south, east, north, region_label,
+(region_label = 'Arabian Gulf' AND {_CENTRE.format(48, 55, 24, 30)}) OR (region_label = 'Red Sea' AND {_CENTRE.format(37, 42, 18, 28)}) AS inside_validated_bounds FROM l"""
+SQL["geotiff_pixels"] = _with("events") + f"SELECT {_CELL}, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 4) AS value FROM fx"

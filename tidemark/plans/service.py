@@ -27,6 +27,21 @@ def display_name(file_name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(file_name, r"\.[^.]*$", ""), "_", " ")
 
 
+def scene_list(headers: DataFrame, titles: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """What a list of scenes shows: ``scene_id, title, height, width, crs, path``, bounds in degrees (null where the reference system has
+    none), label of the place and whether that is validated. ``titles`` (scene_id, title) name scenes, the others are named by
+    their files; ``names`` (scene_id) are the scenes to list, those without a file are passed over."""
+    from ..operators.regions import scene_bounds
+
+    if names is not None:
+        headers = headers.join(names.select("scene_id").distinct(), "scene_id", "left_semi")
+    rows = headers.join(scene_bounds(headers), "scene_id", "left")
+    rows = rows.join(titles.select("scene_id", "title"), "scene_id", "left") if titles is not None else rows.withColumn("title", F.lit(None).cast("string"))
+    lon, lat = (F.col("west") + F.col("east")) / 2, (F.col("south") + F.col("north")) / 2
+    label = region_label(lon, lat)
+    return rows.select("scene_id", F.coalesce("title", display_name(F.col("scene_id"))).alias("title"), "height", "width", "crs", "path", "west", "south", "east", "north", label.alias("region_label"), inside_validated(label, lon, lat).alias("inside_validated_bounds"))
+
+
 def newest(entries: DataFrame, key: str, used: str, items: int, size: str | None = None, max_bytes: int | None = None) -> DataFrame:
     """The most recently used entries, at most ``items`` and, by running sum, ``max_bytes``. One row a key is ranked."""
     last = entries.groupBy(key).agg(F.max(used).alias("last_used"), *([F.max_by(size, used).alias("bytes")] if size else []))

@@ -20,7 +20,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from . import geotiff
 from .geotiff import SceneError
@@ -98,28 +98,15 @@ class _Part(InputPartition):
 
 
 class _Reader(DataSourceReader):
+    """Scenes prune files and rows prune blocks by option, not by Spark's filters: a loaded source keeps the filters that were first
+    pushed to it, also for later plans that ask for other rows."""
+
     def __init__(self, options: dict[str, str]):
         self.headers = options.get("read", "pixels") == "headers"
         self.task_bytes = int(options.get("taskBytes", TASK_BYTES))
         self.files = [tuple(f) for f in json.loads(options["files"])]
-        self.scenes: set[str] | None = None
-        self.rows = (0, 1 << 62)
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:  # noqa: N802 - Spark's name
-        """Scenes prune files, rows prune blocks. Spark checks every row again."""
-        for f in filters:
-            name = getattr(f, "attribute", ())
-            if name == ("scene_id",) and isinstance(f, EqualTo | In):
-                wanted = set(f.value if isinstance(f, In) else [f.value])
-                self.scenes = wanted if self.scenes is None else self.scenes & wanted
-            elif name == ("row",) and isinstance(f.value, int):
-                low, high = self.rows
-                if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
-                    low = max(low, f.value)
-                if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
-                    high = min(high, f.value)
-                self.rows = low, high
-            yield f
+        self.scenes = set(json.loads(options["scenes"])) if options.get("scenes") else None
+        self.rows = tuple(json.loads(options["rows"])) if options.get("rows") else (0, 1 << 62)
 
     def partitions(self) -> list[_Part]:
         """From the listing alone: no file is opened to plan. A file larger than a task's share is parted by its blocks."""
@@ -154,7 +141,7 @@ class GeoTiffSource(DataSource):
         return HEADERS if self.options.get("read") == "headers" else PIXELS
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
-        return _Reader(dict(self.options))
+        return _Reader(self.options)
 
 
 def _listed(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, str, int]]:
@@ -163,27 +150,30 @@ def _listed(spark: SparkSession, paths: str | list[str]) -> list[tuple[str, str,
     return sorted((s, _uri(p), n) for s, p, n in rows)
 
 
-def _source(spark: SparkSession, files: list[tuple[str, str, int]], kind: str, task_bytes: int) -> DataFrame:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def _source(spark: SparkSession, files: list[tuple[str, str, int]], **options) -> DataFrame:
     spark.dataSource.register(GeoTiffSource)
-    return spark.read.format(GeoTiffSource.name()).option("files", json.dumps(files)).option("read", kind).option("taskBytes", task_bytes).load()
+    return spark.read.format(GeoTiffSource.name()).options(files=json.dumps(files), **options).load()
 
 
 def scene_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """A catalogue of GeoTIFF files from their headers, some hundred bytes of each: the columns of scenes, then path, layout of blocks,
     description and normalisation scope. The file's name is the scene's id."""
-    return _source(spark, _listed(spark, paths), "headers", TASK_BYTES)
+    return _source(spark, _listed(spark, paths), read="headers")
 
 
-def read_scenes(spark: SparkSession, paths: str | list[str] | DataFrame, task_bytes: int = TASK_BYTES) -> Raster:
+def read_scenes(spark: SparkSession, paths: str | list[str] | DataFrame, task_bytes: int = TASK_BYTES, scenes: list[str] | None = None, rows: tuple[int, int] | None = None) -> Raster:
     """A raster of GeoTIFF files: strips or tiles, plain, LZW, deflated or packed, with any predictor, classic or big.
 
-    Of paths or globs (which tasks must be able to open), each file is read by a task for every ``task_bytes``; filters on scene
-    and row reach the files. A frame ``(path, content)`` holds the files' bytes already: then a scene is read by one task.
+    Of paths or globs (which tasks must be able to open), each file is read by a task for every ``task_bytes``; files of other than the
+    ``scenes`` asked for are left out, and so are blocks without any of the ``rows`` from first to last. A frame ``(path, content)``
+    holds the files' bytes already: then a scene is read by one task.
     """
     if not isinstance(paths, DataFrame):
         files = _listed(spark, paths)
-        return Raster(_source(spark, files, "pixels", task_bytes), _source(spark, files, "headers", task_bytes).select(*[f.split()[0] for f in SCENES.split(", ")]))
+        some = {"scenes": json.dumps(scenes)} if scenes is not None else {}
+        pixels = _source(spark, files, taskBytes=task_bytes, **some, **({"rows": json.dumps(rows)} if rows else {}))
+        wanted = pixels.filter(F.col("row").between(*rows)) if rows else pixels
+        return Raster(wanted, _source(spark, files, read="headers", **some).select(*[f.split()[0] for f in SCENES.split(", ")]))
     files = paths.select(F.regexp_extract("path", _STEM, 1).alias("scene_id"), "content")
 
     def headers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
