@@ -19,7 +19,7 @@ from ..operators.regions import clipped_segments, coast_distances, mask_area_km2
 from ..operators.regions import scene_bounds as bounds_in_degrees
 from ..operators.shared import scratch_path, write_shared
 from ..sources import geotiff, images
-from ..sources.rasters import Raster, embeddings_raster, events_raster, lineitem_raster, located, orders_raster, read_table, supplier_coast, supplier_coast_degrees, supplier_scenes
+from ..sources.rasters import Raster, embeddings_raster, events_raster, lineitem_raster, located, orders_raster, read_table, stored, supplier_coast, supplier_coast_degrees, supplier_scenes
 from . import detection, service
 
 CELL = ["scene_id", "row", "col"]
@@ -348,7 +348,7 @@ def projected_centres(spark, sf_dir):
 
 
 def _found(spark, sf_dir) -> tuple[Raster, detection.Detection]:
-    r = lineitem_raster(spark, sf_dir)
+    r = stored(lineitem_raster(spark, sf_dir))
     return r, detection.learned(r, replace(GATED, min_blob=5, opening_radius=1, mask=0.6))
 
 

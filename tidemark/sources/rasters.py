@@ -35,6 +35,11 @@ def from_cells(cells: DataFrame, height: Column | None = None, width: Column | N
     return Raster(cells.select("scene_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("value").cast("double").alias("value")), scenes)
 
 
+def stored(raster: Raster) -> Raster:
+    """The raster with its pixels written, for plans that read them often and whose source has to compute them."""
+    return Raster(write_shared(raster.pixels, "pixels"), raster.scenes)
+
+
 def located(raster: Raster, crs: str, pixel: float, west: float, north: float) -> Raster:
     """The raster on another north-up grid: reference system, pixel size and upper left corner."""
     place = {"crs": F.lit(crs), "a": F.lit(pixel), "b": F.lit(0.0), "c": F.lit(west), "d": F.lit(0.0), "e": F.lit(-pixel), "f": F.lit(north)}
