@@ -65,10 +65,46 @@ def test_the_prediction_decides(spark, languages):
     assert some == {i for i in range(300) if i % 3 == 0}
 
 
-def test_more_languages_than_are_learned(spark, languages, monkeypatch):
-    docs, _ = languages
-    monkeypatch.setattr(ecoc_langid, "LANGUAGES", 2)
-    assert len(ecoc_langid.fit(docs).languages) == 2 and ecoc_langid.fit(docs.filter("lang = 'cc'")).languages == ["cc"]
+def test_every_language_is_learned(spark):
+    """230 of them, each of a few syllables of its own and shared letters."""
+    rng = random.Random(11)
+    syllables = {f"l{k:03d}": ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 4))) for _ in range(12)] for k in range(230)}
+    text = lambda k, n: " ".join("".join(rng.choices(syllables[k], k=rng.randrange(1, 4))) for _ in range(n))
+    rows = [(i, text(k, 60), k) for i, k in enumerate(list(syllables) * 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = ecoc_langid.fit(docs)
+    assert model.languages == sorted(syllables)
+    got = [(model.decode(*ecoc_langid.ngram_shares(text(k, 60)))[0], k) for k in syllables]
+    assert sum(p == k for p, k in got) == 230
+
+
+def test_mixed_texts_at_every_length(spark):
+    """Planted bilingual texts (half a text in each language) and clean ones of the tables: none of the clean ones is lost, and nearly
+    all bilingual ones are found once there are letters enough to tell."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    model = ecoc_langid.fit(docs)
+    rng = random.Random(12)
+    held = docs.filter("lang is not null and crc32(cast(doc_id as string)) % 3 = 1 and length(text) > 400").select("lang", "text").collect()
+    pools = {}
+    for r in held:
+        pools.setdefault(r["lang"], []).extend(r["text"].split())
+
+    def words(lang, letters):
+        at = rng.randrange(max(1, len(pools[lang]) - letters))
+        out = pools[lang][at : at + letters]
+        return " ".join(out)[:letters]
+
+    clean, found, planted = 0, {}, 0
+    for letters in (20, 60, 120, 250, 500, 1000, 4000, 20_000):
+        for _ in range(60):
+            one, two = rng.sample(sorted(pools), 2)
+            clean += model.decode(*ecoc_langid.ngram_shares(words(one, letters)))[3]
+            mixed = model.decode(*ecoc_langid.ngram_shares(words(one, letters // 2) + " " + words(two, letters // 2)))[3]
+            found[letters] = found.get(letters, 0) + mixed / 60
+            planted += mixed
+    print("recall by length", {k: round(v, 2) for k, v in found.items()}, "precision", planted / max(1, planted + clean))
+    assert clean <= 0.01 * 480 and planted >= 0.97 * (planted + clean) and found[20_000] > 0.85 and found[250] > 0.6
+    assert all(a <= b + 0.35 for a, b in zip(list(found.values()), list(found.values())[1:], strict=False))
 
 
 @pytest.mark.parametrize("table", ["sf0.01", "sf0.1"])

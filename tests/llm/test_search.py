@@ -39,3 +39,28 @@ def test_one_very_common_vector(spark):
     for q in range(0, 3000, 100):
         order = sorted((-int(s), i) for i, s in enumerate(ints @ ints[q]) if i != q)[:10]
         assert [got[q, k + 1] for k in range(10)] == [i for _, i in order]
+
+
+def test_queries_are_told_by_bytes(spark, monkeypatch):
+    """200 blocks from 4 partitions: no lot exceeds its bytes by more than one block, and results don't change."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=8).tolist() if i % 5 else rng.normal(size=3).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    asked = vafile_topk.integer_vectors(df).groupBy("id").agg(F.min("v").alias("v"))
+    blocks = vafile_topk._query_blocks(asked, 4)
+    n, limit = blocks.count(), 2000
+    lots = vafile_topk.query_lots(blocks, limit)
+    sizes = blocks.join(lots, ["part", "number"]).groupBy("lot").agg(F.sum(F.octet_length("queries") + F.octet_length("asking")).alias("bytes")).collect()
+    largest = 8 * 8 * 9  # of blocks of 4 to 8 queries
+    assert n >= 200 and lots.count() == n and max(r["bytes"] for r in sizes) <= limit + largest and len(sizes) > 20
+    told = []
+    plain = vafile_topk.bounded
+    monkeypatch.setattr(vafile_topk, "LOT_BYTES", 4000)
+    monkeypatch.setattr(vafile_topk, "query_lots", lambda b, lot_bytes=4000, make=vafile_topk.query_lots: make(b, lot_bytes))
+    monkeypatch.setattr(vafile_topk, "bounded", lambda file, some, k: (told.append(sum(len(a) + len(q) for _, a, q in some)), plain(file, some, k))[1])
+    got = {(r["query_id"], r["rank"]): r["vec_id"] for r in vafile_topk.top_k(df, F.col("vec_id") % 4 == 0, query_block=4).collect()}
+    assert len(told) > 3 and max(told) <= 4000 + largest
+    for q in range(0, 1200, 4):
+        v = np.floor(1024 * np.array(rows[q][1]))
+        order = sorted((-int(np.floor(1024 * np.array(x)) @ v), i) for i, x in rows if i != q and len(x) == len(v))[:10]
+        assert [got[q, k + 1] for k in range(10)] == [i for _, i in order]

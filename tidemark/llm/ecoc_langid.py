@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,10 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .support import bounded_batches, crc32_mod, materialise, release_memory, shared_dir
+from .support import bounded_batches, broadcast_if_small, crc32_mod, materialise, release_memory, shared_dir
 
-#: Training documents of each language, at most about (chosen by a hash of the id), and languages, at most (the most frequent).
-SAMPLE_PER_LANGUAGE, LANGUAGES = 2000, 200
+#: Training documents of each language, at most about (chosen by a hash of the id). Every language is learned.
+SAMPLE_PER_LANGUAGE = 2000
 BUCKETS = 8192
 #: N-grams that a training document counts for at most, and what each bucket counts besides.
 DOCUMENT_WEIGHT, SMOOTHING = 1000.0, 0.5
@@ -29,9 +29,11 @@ DOCUMENT_WEIGHT, SMOOTHING = 1000.0, 0.5
 WINDOWS = (160, 60, 24)
 #: A lead of the best probability over the second below this is ambiguous.
 AMBIGUOUS_LEAD = 0.2
-#: A text of at least so many letters and word ends, where a usual text of that length has such a lead in probability, is mixed if
-#: it lies less than this share of the way from the middle between two codewords to the nearer one.
-LONG_TEXT, USUAL_LEAD, MIXED_LEAD = 200, 0.9, 0.05
+#: A text is mixed if it lies less than this share of the way from the middle between two codewords to the nearer one, and that is so
+#: many deviations off where texts of its length lie.
+MIXED_LEAD, MIXED_DEVIATIONS = 0.15, 3.0
+#: At so many letters a text's place varies by chance as much as it does at any length; and the middle of squared deviations, in variances.
+SHORT_LETTERS, HALF_OF_SQUARES = 50.0, 0.455
 UNDETERMINED = "und"
 
 _LETTERS: list[np.ndarray] = []
@@ -81,24 +83,32 @@ def codewords(k: int, seed: int = 5) -> np.ndarray:
     rng, best, reach = np.random.default_rng(seed), None, -1
     for _ in range(200):
         code = rng.choice(np.array([-1, 1], np.int8), (k, math.ceil(10 * math.log2(k))))
-        code = code[:, np.abs(code.sum(0)) < k]
-        apart = (code[:, None, :] != code[None, :, :]).sum(2)[np.triu_indices(k, 1)].min()
+        code = code[:, np.abs(code.sum(0, dtype=np.int64)) < k]
+        whole = code.astype(np.float32)
+        alike = whole @ whole.T
+        np.fill_diagonal(alike, -np.inf)
+        apart = int(code.shape[1] - alike.max()) // 2
         if apart > reach:
             best, reach = code, apart
     return best
 
 
-def bit_weights(shares: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """Buckets x bits: log-ratio of the mean n-gram shares (languages x buckets) on either side of each bit."""
-    sides = [(np.log((code > 0).astype(float).T @ shares / (code > 0).sum(0)[:, None])), np.log((code < 0).astype(float).T @ shares / (code < 0).sum(0)[:, None])]
-    return (sides[0] - sides[1]).T
+def bit_weights(shares: Callable[[], Iterator[np.ndarray]], code: np.ndarray) -> np.ndarray:
+    """Buckets x bits: log-ratio of the mean n-gram shares on either side of each bit. ``shares`` gives those of one language after
+    the other, so that sums of bits are held and not all languages."""
+    sides = np.zeros((2, code.shape[1], BUCKETS))
+    for row, share in zip(code, shares(), strict=True):
+        sides[0][row > 0] += share
+        sides[1][row < 0] += share
+    return np.log(sides[0] / (code > 0).sum(0)[:, None]).T - np.log(sides[1] / (code < 0).sum(0)[:, None]).T
 
 
 @dataclass
 class LanguageModel:
     """``code``: languages x bits; ``weights``: buckets x bits; ``middle``, ``gap``: for each bit the point half-way between the
     means of its sides, and how far these are apart; ``spread``: for each bit the variance of a long text and what 1 / length
-    adds to it; ``trust``: weight of each bit for each language, each language's sum 1."""
+    adds to it; ``trust``: weight of each bit for each language, each language's sum 1; ``off``: how far long texts of one language
+    lie off its codeword (mean square, of the share that half of them keep within)."""
 
     languages: list[str]
     code: np.ndarray
@@ -107,6 +117,7 @@ class LanguageModel:
     gap: np.ndarray
     spread: np.ndarray
     trust: np.ndarray
+    off: float
 
     def margins(self, x: np.ndarray, n: int) -> np.ndarray:
         """Log-odds of each bit for a text of n letters and word ends."""
@@ -125,20 +136,25 @@ class LanguageModel:
         return int(best), float(p[best]), float(p[best] - p[second])
 
     def decode(self, x: np.ndarray, n: int) -> tuple[str, float, bool, bool]:
-        """Language, probability, whether it is ambiguous, and whether the text is mixed: long, but between two codewords."""
+        """Language, probability, whether it is ambiguous, and whether the text is mixed: between two codewords, where texts of its
+        length don't lie by chance."""
         if len(self.languages) == 1:
             return self.languages[0], 1.0, False, False
         best, p, lead = self.lead(self.margins(x, n))
-        return self.languages[best], p, lead < AMBIGUOUS_LEAD, n >= LONG_TEXT and self.between(x, best) < MIXED_LEAD and self.usual_lead(best, n) >= USUAL_LEAD
+        return self.languages[best], p, lead < AMBIGUOUS_LEAD, self.mixed(x, n, best)
 
-    def usual_lead(self, best: int, n: int) -> float:
-        return self.lead(self.code[best] * self.gap * self.gap / 2 / (self.spread[0] + self.spread[1] / n))[2]
+    def mixed(self, x: np.ndarray, n: int, best: int) -> bool:
+        """Whether the text lies in the middle between the codeword of ``best`` and another's, farther from its own than texts of its
+        length do by chance."""
+        place = float(places(x @ self.weights, best, self.code, self.middle, self.gap, self.trust)[0])
+        return place < MIXED_LEAD and 1 - place > MIXED_DEVIATIONS * math.sqrt(self.off * (1 + SHORT_LETTERS / n))
 
-    def between(self, x: np.ndarray, best: int) -> float:
-        """Where the text lies between the codeword of ``best`` (1) and the middle to another's (0), for the nearest other."""
-        at = (x @ self.weights - self.middle) / (self.gap / 2)
-        off = self.trust[best] * self.code[best] * (1 - self.code[best] * self.code) / 2  # where the codewords differ
-        return float(np.delete((off @ at) / np.maximum(off @ self.code[best], 1e-9), best).min())
+
+def places(z: np.ndarray, k: int, code: np.ndarray, middle: np.ndarray, gap: np.ndarray, trust: np.ndarray) -> np.ndarray:
+    """Where points lie between the codeword of language k (1) and the middle to another's (0), for the nearest other."""
+    apart = trust[k] * code[k] * (1 - code[k] * code) / 2  # where the codewords differ
+    apart = np.delete(apart / np.maximum(apart @ code[k], 1e-9)[:, None], k, axis=0)
+    return (((np.atleast_2d(z) - middle) / (gap / 2)) @ apart.T).min(1)
 
 
 def views(text: str) -> list[str]:
@@ -164,8 +180,8 @@ def _count(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     release_memory()
 
 
-def scales(held: DataFrame, languages: list[str], shares: np.ndarray, code: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``middle, gap, spread, trust`` of a model, measured on texts (lang, text) that its counts have not seen. A language
+def scales(held: DataFrame, languages: list[str], shares: Callable[[], Iterator[np.ndarray]], code: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``middle, gap, spread, trust, off`` of a model, measured on texts (lang, text) that its counts have not seen. A language
     without such a text gets the means that its own n-grams give, and trust 1."""
     place = {c: i for i, c in enumerate(languages)}
 
@@ -179,9 +195,10 @@ def scales(held: DataFrame, languages: list[str], shares: np.ndarray, code: np.n
         release_memory()
 
     k_languages, bits = code.shape
-    points = materialise(held.mapInPandas(project, "k int, n int, z array<double>"), "langid-points").select("k", "n", F.posexplode("z").alias("b", "z"))
-    means = shares @ weights
-    for r in points.groupBy("k", "b").agg(F.avg("z").alias("m")).collect():  # languages x bits at most
+    projected = materialise(held.mapInPandas(project, "k int, n int, z array<double>"), "langid-points")
+    points = projected.select("k", "n", F.posexplode("z").alias("b", "z"))
+    means = np.stack([share @ weights for share in shares()])
+    for r in points.groupBy("k", "b").agg(F.percentile_approx("z", 0.5, 1000).alias("m")).collect():  # languages x bits; the middle, as some labels may be wrong
         means[r["k"], r["b"]] = r["m"]
     high = (means * (code > 0)).sum(0) / (code > 0).sum(0)
     low = (means * (code < 0)).sum(0) / (code < 0).sum(0)
@@ -195,10 +212,25 @@ def scales(held: DataFrame, languages: list[str], shares: np.ndarray, code: np.n
     for r in sums.collect():
         trust[r["k"], r["b"]] = r["hit"]
         total[r["b"]] += (r["n"], r["u"], r["uu"], r["v"], r["uv"])
-    n, u, uu, v, uv = total.T
-    slope = np.maximum((n * uv - u * v) / np.maximum(n * uu - u * u, 1e-12), 0.0)
-    floor = np.maximum((v - slope * u) / np.maximum(n, 1), 0.0) + (0.1 * gap) ** 2 + (n == 0) * gap**2
-    return middle, gap, np.stack([floor, slope]), trust / np.maximum(trust.sum(1, keepdims=True), 1e-9)
+
+    def line(n, u, uu, v, uv):
+        """Least squares of v on u = 1 / length, neither part below 0."""
+        slope = np.maximum((n * uv - u * v) / np.maximum(n * uu - u * u, 1e-12), 0.0)
+        return np.maximum((v - slope * u) / np.maximum(n, 1), 0.0), slope
+
+    floor, slope = line(*total.T)
+    trust = trust / np.maximum(trust.sum(1, keepdims=True), 1e-9)
+
+    def placed(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            for k, own in batch.groupby("k"):
+                yield pd.DataFrame({"n": own["n"], "off": (1 - places(np.stack(own["z"].to_list()), int(k), code, middle, gap, trust)) ** 2})
+
+    usual = F.percentile_approx(F.col("off") / (1 + SHORT_LETTERS / F.col("n")), 0.5, 1000)  # half the texts may be anything
+    half = projected.mapInPandas(placed, "n int, off double").agg(usual).first()[0]
+    off = 0.01 + (1.0 if half is None else half / HALF_OF_SQUARES)
+    spread = np.stack([floor + (0.1 * gap) ** 2 + (total[:, 0] == 0) * gap**2, slope])
+    return middle, gap, spread, trust, off
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel | None:
@@ -210,29 +242,34 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc32_mod("_id", 3) != 1))
     share = (1_000_003 * F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))).cast("long") + 1
-    known = materialise(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang", share.alias("_share")), "langid-languages")
+    known = materialise(rows.groupBy("lang").count().select("lang", share.alias("_share")), "langid-languages")
     place = F.pmod(F.xxhash64("_id"), F.lit(1_000_003))
     part = F.pmod(F.xxhash64(F.lit(2), "_id"), F.lit(4))
-    sample = materialise(rows.join(F.broadcast(known), "lang").filter(place < F.col("_share")).select("lang", "text", part.alias("part")), "langid-sample")
+    sample = materialise(rows.join(broadcast_if_small(known), "lang").filter(place < F.col("_share")).select("lang", "text", part.alias("part")), "langid-sample")
     counts = sample.filter("part < 3").select("lang", "text").mapInPandas(_count, "lang string, bucket int, total double").groupBy("lang", "bucket").agg(F.sum("total").alias("total"))
-    found = counts.toPandas()  # languages x buckets at most
-    languages = sorted(found["lang"].unique())
+    profiles = materialise(counts.groupBy("lang").agg(F.collect_list("bucket").alias("buckets"), F.collect_list("total").alias("totals")).orderBy("lang"), "langid-profiles")
+    languages = sorted(r["lang"] for r in profiles.select("lang").collect())  # names only
     if not languages:
         return None
-    shares = np.full((len(languages), BUCKETS), SMOOTHING)
-    np.add.at(shares, (np.searchsorted(languages, found["lang"]), found["bucket"].to_numpy()), found["total"].to_numpy())
-    shares /= shares.sum(1, keepdims=True)
+
+    def shares() -> Iterator[np.ndarray]:
+        """N-gram shares of each language, in order, one at a time."""
+        for r in profiles.orderBy("lang").toLocalIterator():
+            out = np.full(BUCKETS, SMOOTHING)
+            out[np.array(r["buckets"], np.int64)] += np.array(r["totals"])
+            yield out / out.sum()
+
     code = codewords(len(languages)).astype(float)
     if len(languages) == 1:
         none = np.zeros(0)
-        return LanguageModel(languages, code, np.zeros((BUCKETS, 0)), none, none, np.zeros((2, 0)), code)
+        return LanguageModel(languages, code, np.zeros((BUCKETS, 0)), none, none, np.zeros((2, 0)), code, 1.0)
     weights = bit_weights(shares, code)
     return LanguageModel(languages, code, weights, *scales(sample.filter("part = 3").select("lang", "text"), languages, shares, code, weights))
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, text_col: str = "text") -> DataFrame:
     """Adds ``prediction`` (lang_pred, score, ambiguous, mixed) to ``docs``: `und` with score 0 for null texts and texts without a
-    letter, and for all texts if nothing could be learned. ``mixed``: long, but between two languages."""
+    letter, and for all texts if nothing could be learned. ``mixed``: between two languages."""
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean, mixed boolean")
@@ -259,8 +296,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", languages: list[str] | None = None) -> DataFrame:
     """``docs`` without rows whose language is undetermined or, if ``languages`` are named, another; columns stay as they are.
 
-    Undetermined: null texts, texts without a letter, and mixed texts: of at least LONG_TEXT letters and word ends, but half-way
-    between two languages where a usual text of that length is clearly in one. Shorter ambiguous texts stay: shortness is no
+    Undetermined: null texts, texts without a letter, and mixed texts, half-way between two languages and many deviations off where
+    texts of their length lie (one rule for every length). Ambiguous texts that chance can put there stay: shortness is no
     reason to lose a clean document. Nor are languages that the model can't tell apart, or a missing model: where nothing could
     be learned, every text with a letter stays.
     """

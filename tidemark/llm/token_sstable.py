@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import itertools
 import json
 import struct
 import uuid
@@ -35,6 +36,8 @@ MAGIC = b"TMSST1\n"
 _FOOTER = struct.Struct("<QQQQQQIIB7s")
 BLOCK_BYTES = 256 * 1024
 SHARD_TOKENS = 16_000_000
+#: Documents of a shard at most (its keys are held while it is written), and documents that are read back at a time.
+SHARD_DOCUMENTS, ROWS_AT_ONCE = 500_000, 4096
 BITS_PER_KEY = 10
 HASHES = 7
 
@@ -181,12 +184,12 @@ _MANIFEST = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("path", pa
 
 
 def write_shards(
-    docs: DataFrame, out_dir: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_tokens: int = SHARD_TOKENS, partitions: int | None = None
+    docs: DataFrame, out_dir: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, shard_tokens: int = SHARD_TOKENS, partitions: int | None = None, shard_documents: int = SHARD_DOCUMENTS
 ) -> DataFrame:
     """Tokenise ``docs`` into shards below ``out_dir`` (a URI that executors can write) and return the manifest.
 
     Rows are dealt out by ranges of the id (and of a hash of the text, so that a repeated id splits too), sorted, encoded and
-    written in their tasks; a shard holds about ``shard_tokens``, at least one document. Null text: the end id alone; null
+    written in their tasks; a shard holds about ``shard_tokens``, at least one document and at most ``shard_documents``. Null text: the end id alone; null
     ids come first; rows that repeat an id are neighbours; other columns are ignored; an empty table has no shards.
     """
 
@@ -207,7 +210,7 @@ def write_shards(
         for some_ids, texts in (lists for batch in batches for lists in small_lists(batch)):
             for doc_id, ids in zip(some_ids, code.encode(texts), strict=True):
                 writer.add(key_of(doc_id), np.concatenate([ids, end]))
-                if writer.tokens >= shard_tokens:
+                if writer.tokens >= shard_tokens or len(writer.keys) >= shard_documents:
                     yield close()
                     number, writer = number + 1, ShardWriter(width)
         if writer.keys:
@@ -243,11 +246,13 @@ def read_digests(manifest: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                for key, ids in Shard(path).scan():
-                    rows.append((id_of(key), start, len(ids), zlib.crc32(ids.astype("<u4"))))
-                    start += len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _READ, strict=True)], schema=_READ)
+                found = Shard(path).scan()
+                while some := list(itertools.islice(found, ROWS_AT_ONCE)):
+                    rows = []
+                    for key, ids in some:
+                        rows.append((id_of(key), start, len(ids), zlib.crc32(ids.astype("<u4"))))
+                        start += len(ids)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _READ, strict=True)], schema=_READ)
 
     shards = with_starts(manifest).select("path", "first_token")
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))

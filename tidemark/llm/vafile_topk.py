@@ -19,8 +19,8 @@ from .support import bounded_batches, broadcast_if_small, materialise
 
 SCALE = 1024
 CELLS = 256
-#: Vectors of a chunk of the file, queries of a block, and blocks that are broadcast at once (16 MB at 64 dimensions).
-CHUNK, QUERY_BLOCK, BLOCKS_AT_ONCE = 4096, 512, 64
+#: Vectors of a chunk of the file, queries of a block, and bytes of blocks that are broadcast at once (besides the last block).
+CHUNK, QUERY_BLOCK, LOT_BYTES = 4096, 512, 16 << 20
 
 
 def integer_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -117,6 +117,17 @@ def _query_blocks(asking: DataFrame, size: int) -> DataFrame:
     return materialise(blocks.mapInArrow(run, "part int, number int, d int, asking binary, queries binary"), "topk-blocks")
 
 
+def query_lots(blocks: DataFrame, lot_bytes: int = LOT_BYTES) -> DataFrame:
+    """``part, number, lot`` of each block: lots from 0, in order of the blocks, of ``lot_bytes`` and one block at most. Sums run over
+    sizes only, one row a block within a part and one row a part."""
+    sizes = blocks.select("part", "number", (F.octet_length("queries") + F.octet_length("asking")).cast("long").alias("bytes"))
+    parts = sizes.groupBy("part").agg(F.sum("bytes").alias("_sum"))
+    before = parts.select("part", F.coalesce(F.sum("_sum").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.coalesce(F.sum("bytes").over(Window.partitionBy("part").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sizes.withColumn("_within", within).join(before, "part")
+    return materialise(placed.select("part", "number", F.floor((F.col("_before") + F.col("_within")) / lot_bytes).alias("lot")), "topk-lots")
+
+
 class _Able:
     """Of one query: the vectors that can still be among the k best, with their bounds."""
 
@@ -134,31 +145,34 @@ class _Able:
         self.ids, self.upper, self.lower = i, u, low
 
 
-def bounded(file: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
-    """``query_id, vec_id, upper, lower`` of the vectors that each task of the scan can't rule out."""
+def bounded(file: DataFrame, blocks: list[tuple[int, bytes, bytes]], k: int) -> DataFrame:
+    """``query_id, vec_id, upper, lower`` of the vectors that each task of the scan can't rule out for the queries of ``blocks`` (dimension,
+    ids, vectors), which every task holds; a chunk of the file passes once."""
+    told = file.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[tuple[int, int], tuple[np.ndarray, list[_Able]]] = {}
+        asked = [(d, np.frombuffer(ids, np.int64), np.frombuffer(queries).reshape(-1, d)) for d, ids, queries in told.value]
+        known = [[_Able() for _ in ids] for _, ids, _ in asked]
         for batch in batches:
             for row in batch.to_pylist():
-                ids, d = np.frombuffer(row["ids"], np.int64), row["d"]
-                asking, queries = np.frombuffer(row["asking"], np.int64), np.frombuffer(row["queries"]).reshape(-1, d)
-                upper, width = bounds(queries, np.frombuffer(row["cells"], np.uint8).reshape(-1, d), np.frombuffer(row["low"]), np.frombuffer(row["step"]))
-                _, able = known.setdefault((row["part"], row["number"]), (asking, [_Able() for _ in asking]))
-                for q, one in enumerate(able):
-                    other = ids != asking[q]
-                    u = upper[q][other]
-                    need = np.partition(u, len(u) - k)[len(u) - k] - width[q] if len(u) > k else -np.inf
-                    near = u >= need
-                    one.add(ids[other][near], u[near], width[q], k)
-        for asking, able in known.values():
+                ids, cells = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["cells"], np.uint8).reshape(-1, row["d"])
+                for (d, asking, queries), able in zip(asked, known, strict=True):
+                    if d != row["d"]:
+                        continue
+                    upper, width = bounds(queries, cells, np.frombuffer(row["low"]), np.frombuffer(row["step"]))
+                    for q, one in enumerate(able):
+                        other = ids != asking[q]
+                        u = upper[q][other]
+                        need = np.partition(u, len(u) - k)[len(u) - k] - width[q] if len(u) > k else -np.inf
+                        near = u >= need
+                        one.add(ids[other][near], u[near], width[q], k)
+        for (_, asking, _), able in zip(asked, known, strict=True):
             counts = [len(x.ids) for x in able]
             if sum(counts):
                 columns = [np.repeat(asking, counts), *(np.concatenate([getattr(x, n) for x in able]) for n in ("ids", "upper", "lower"))]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_BOUNDS)
 
-    pairs = file.join(F.broadcast(blocks), "d").select("part", "number", "d", "ids", "cells", "low", "step", "asking", "queries")
-    return pairs.mapInArrow(run, "query_id long, vec_id long, upper double, lower double")
+    return file.mapInArrow(run, "query_id long, vec_id long, upper double, lower double")
 
 
 def _exact(vectors: np.ndarray, query: np.ndarray, small: bool) -> np.ndarray:
@@ -189,10 +203,12 @@ def survivors(rows: DataFrame, is_query: Column, k: int, id_col: str, vector_col
     asking = materialise(integer_vectors(rows.filter(is_query), id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v")), "topk-queries")
     blocks = _query_blocks(asking, query_block)
     file = approximation_file(vectors, k)
-    last = blocks.agg(F.max("part")).first()[0]
+    lots = query_lots(blocks)
+    last = lots.agg(F.max("lot")).first()[0]
     found = None
-    for first in range(0, (last or 0) + 1, BLOCKS_AT_ONCE):  # so many blocks are broadcast and scanned with at once
-        some = materialise(bounded(file, blocks.filter(F.col("part").between(first, first + BLOCKS_AT_ONCE - 1)), k), "topk-bounds")
+    for lot in range((last or 0) + 1):  # of a bounded number of bytes, so that driver and tasks can hold it
+        held = blocks.join(lots.filter(F.col("lot") == lot), ["part", "number"]).select("d", "asking", "queries").collect()
+        some = materialise(bounded(file, [(r["d"], bytes(r["asking"]), bytes(r["queries"])) for r in held], k), "topk-bounds")
         found = some if found is None else found.union(some)
     lowest = Window.partitionBy("query_id").orderBy(F.desc("lower"))
     kth = found.withColumn("_n", F.row_number().over(lowest)).filter(F.col("_n") <= k).groupBy("query_id").agg(F.min("lower").alias("_kth"), F.count(F.lit(1)).alias("_k"))
