@@ -51,6 +51,7 @@ class Config:
     overlay_alpha: float = 0.42
     rejected_alpha: float = 0.24
     seed: int = 42
+    metric_systems: tuple[str, ...] = ("LOCAL_METRIC",)
 
     def __post_init__(self):
         if not 0 < self.stride <= self.tile:
@@ -66,5 +67,22 @@ class Config:
 
 
 DEFAULT = Config()
+
+#: What learned weights are good for: they were fitted with these values and no others.
+OPERATING = (
+    "seed", "tile", "stride", "screener_threshold", "mask", "dark", "max_invalid", "infill", "exclude_boundary", "closing", "fill_grid_holes", "classical_union", "restrict_union", "fill_pixel_holes", "opening_radius", "min_blob",
+)
+
+
+def operating_guard(cfg: Config, files: tuple[str, ...] = ()) -> None:
+    """Refuses parameters that differ from those of the operating configuration, naming all of them, and weights that aren't there."""
+    from pathlib import Path
+
+    if wrong := {name: (getattr(cfg, name), getattr(DEFAULT, name)) for name in OPERATING if getattr(cfg, name) != getattr(DEFAULT, name)}:
+        raise ValueError(f"not the operating configuration (given, expected): {wrong}")
+    if missing := [f for f in files if not Path(f).exists()]:
+        raise FileNotFoundError(f"no weights at {missing}")
+
+
 #: Tile overlap as in the defaults, for scenes of some hundred pixels.
 SMALL = replace(DEFAULT, tile=16, stride=14, min_blob=20, opening_radius=1)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import CONFIDENCE_ORDER, DEFAULT, SEVERITY_ORDER, Config
 from ..functions.geodesy import affine, geographic_row_area, point_segment_distance, to_degrees, utm_forward, utm_south, utm_zone, with_local_plane
 from ..functions.labels import alert_level, detection_confidence, rank
+from .coastline import near_boxes
 from .shared import write_shared
 
 AFFINE = ("a", "b", "c", "d", "e", "f")
@@ -18,13 +19,14 @@ SEGMENT = ("x1", "y1", "x2", "y2")
 EDGE_POINTS = 22
 
 
-def row_areas(scenes: DataFrame) -> DataFrame:
-    """``scene_id, row, area_m2`` of a pixel of each row: constant on metric grids, by the ellipsoid on geographic ones.
-    A scene without a reference system has no area: the job fails."""
+def row_areas(scenes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """``scene_id, row, area_m2`` of a pixel of each row: constant on metric grids (UTM, and what ``cfg.metric_systems`` names), by the
+    ellipsoid on geographic ones. A scene of no or of another reference system has no area that is known: the job fails."""
     rows = scenes.select("scene_id", "crs", *AFFINE, F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("row"))
     geographic = geographic_row_area(F.col("row"), F.col("e"), F.col("f"), F.col("a"))
-    unknown = F.raise_error(F.concat(F.lit("no reference system, so no areas: scene "), "scene_id")).cast("double")
-    area = F.when(F.coalesce("crs", F.lit("")) == "", unknown).when(F.col("crs") == "EPSG:4326", geographic).otherwise(F.abs(F.col("a") * F.col("e") - F.col("b") * F.col("d")))
+    metric = utm_zone(F.col("crs")).isNotNull() | F.col("crs").isin(*cfg.metric_systems)
+    unknown = F.raise_error(F.concat(F.lit("no areas: scene "), "scene_id", F.lit(" has the reference system "), F.coalesce(F.col("crs"), F.lit("null")))).cast("double")
+    area = F.when(F.col("crs") == "EPSG:4326", geographic).when(metric, F.abs(F.col("a") * F.col("e") - F.col("b") * F.col("d"))).otherwise(unknown)
     return rows.select("scene_id", "row", area.alias("area_m2"))
 
 
@@ -57,7 +59,7 @@ def scene_coast(scenes: DataFrame, coast: DataFrame, cfg: Config = DEFAULT) -> D
 
     ``coast``: segments x1, y1, x2, y2 in degrees. They are cut at the scene's bounds widened by ``coast_buffer_deg``; scenes that
     hold none there take those within ``coast_fallback_deg``, and beyond there is no coast. Segments and scenes meet on cells of one
-    degree, each pair in the first cell that both touch.
+    degree, each pair in the first cell that both touch. Of a coast stored by `store_coast` only row groups near the scenes are read.
     """
     margin = max(cfg.coast_buffer_deg, cfg.coast_fallback_deg)
     bounds = scene_bounds(scenes).filter("west is not null")
@@ -68,7 +70,8 @@ def scene_coast(scenes: DataFrame, coast: DataFrame, cfg: Config = DEFAULT) -> D
 
     widened = boxes.withColumns({"_bx": F.floor(F.col("west") - margin), "_by": F.floor(F.col("south") - margin)})
     places = widened.withColumn("gx", F.explode(reach(F.col("west") - margin, F.col("east") + margin))).withColumn("gy", F.explode(reach(F.col("south") - margin, F.col("north") + margin)))
-    low = coast.select(*SEGMENT).withColumns({"_sx": F.floor(F.least("x1", "x2")), "_sy": F.floor(F.least("y1", "y2"))})
+    wide = boxes.select((F.col("west") - margin).alias("west"), (F.col("south") - margin).alias("south"), (F.col("east") + margin).alias("east"), (F.col("north") + margin).alias("north"))
+    low = near_boxes(coast, wide).select(*SEGMENT).withColumns({"_sx": F.floor(F.least("x1", "x2")), "_sy": F.floor(F.least("y1", "y2"))})
     stretches = low.withColumn("gx", F.explode(reach(F.least("x1", "x2"), F.greatest("x1", "x2")))).withColumn("gy", F.explode(reach(F.least("y1", "y2"), F.greatest("y1", "y2"))))
     met = stretches.join(places, ["gx", "gy"]).filter((F.col("gx") == F.greatest("_sx", "_bx")) & (F.col("gy") == F.greatest("_sy", "_by")))
     near = write_shared(met.select("scene_id", "crs", "west", "south", "east", "north", *SEGMENT), "coast-near")
@@ -95,9 +98,9 @@ def ground_distances(regions: DataFrame, scenes: DataFrame, coast: DataFrame, cf
     return coast_distances(placed, write_shared(scene_coast(scenes, coast, cfg), "scene-coast"))
 
 
-def mask_area_km2(mask: DataFrame, scenes: DataFrame) -> DataFrame:
+def mask_area_km2(mask: DataFrame, scenes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """``scene_id, area_km2, n_pixels``; rows are counted before they meet their areas. Scenes without a true cell: 0."""
-    by_row = mask.groupBy("scene_id", "row").agg(F.count(F.lit(1)).alias("_n")).join(row_areas(scenes), ["scene_id", "row"])
+    by_row = mask.groupBy("scene_id", "row").agg(F.count(F.lit(1)).alias("_n")).join(row_areas(scenes, cfg), ["scene_id", "row"])
     sums = by_row.groupBy("scene_id").agg(F.sum(F.col("_n") * F.col("area_m2")).alias("_a"), F.sum("_n").alias("_n"))
     return scenes.select("scene_id").join(sums, "scene_id", "left").select("scene_id", F.round(F.coalesce("_a", F.lit(0.0)) / 1e6, 6).alias("area_km2"), F.coalesce("_n", F.lit(0)).alias("n_pixels"))
 
@@ -128,7 +131,7 @@ def region_table(labelled: DataFrame, scenes: DataFrame, probabilities: DataFram
     ``centroid_x`` and ``centroid_y`` are in the scene's reference system, ``centroid_lon`` and ``centroid_lat`` in degrees (null
     where that system is neither geographic nor UTM).
     """
-    cells = labelled.join(row_areas(scenes), ["scene_id", "row"])
+    cells = labelled.join(row_areas(scenes, cfg), ["scene_id", "row"])
     cells = cells.join(probabilities.select("scene_id", "row", "col", "prob"), ["scene_id", "row", "col"], "left") if probabilities is not None else cells.withColumn("prob", F.lit(None).cast("float"))
     base = cells.groupBy("scene_id", "region_id").agg(
         F.count(F.lit(1)).alias("n_pixels"), F.round(F.sum("area_m2") / 1e6, 6).alias("area_km2"), F.round(F.avg("row"), 6).alias("centroid_row"), F.round(F.avg("col"), 6).alias("centroid_col"),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,13 +28,30 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+_OPEN: list[list[tuple[SparkSession, str]]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder, deleted when the driver ends."""
+    """A new path below the shared folder, deleted when the `scratch` block ends that it was made in, else when the driver ends."""
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    if _OPEN:
+        _OPEN[-1].append((spark, path))
+    else:
+        atexit.register(_delete, spark, path)
     return path
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes the tables written within the block when it ends. Results that read them have to be written or collected before."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _OPEN.pop():
+            _delete(spark, path)
+
+
 def write_shared(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: short lineage, real sizes for the optimizer."""
     path = scratch_path(df.sparkSession, name)

@@ -12,7 +12,7 @@ from ..config import DEFAULT, SCREENED, SMALL
 from ..functions.geodesy import azimuthal_equidistant, geographic_row_area, inverse_affine, utm_inverse
 from ..functions.labels import alert_level, detection_confidence, inside_validated, operating_status, rank, region_label
 from ..functions.pixels import at_least, below, blended, hex_channels, to_byte
-from ..operators import components, morphology, stats, tiling
+from ..operators import coastline, components, morphology, quality, stats, tiling
 from ..operators.contours import contours as outlines
 from ..operators.contours import visible_parts
 from ..operators.regions import clipped_segments, coast_distances, mask_area_km2, region_moments, region_table, scene_coast, scene_labels
@@ -20,7 +20,7 @@ from ..operators.regions import scene_bounds as bounds_in_degrees
 from ..operators.shared import scratch_path, write_shared
 from ..sources import geotiff, images
 from ..sources.rasters import Raster, embeddings_raster, events_raster, lineitem_raster, located, orders_raster, read_table, stored, supplier_coast, supplier_coast_degrees, supplier_scenes
-from . import detection, service
+from . import detection, layers, service
 
 CELL = ["scene_id", "row", "col"]
 #: Uniform prices have about 0.3 dark cells a tile; this threshold splits the tiles of the grid of line items.
@@ -405,6 +405,22 @@ def undetected_attribution(spark, sf_dir):
     return detection.diagnostic_summary(components.write_shared(detection.undetected_dark(r, found, replace(GATED, min_blob=4, opening_radius=1))), r.scenes)
 
 
+@query
+def dark_categories(spark, sf_dir):
+    """All undetected dark areas and those of rejected tiles, with their components."""
+    r, found = _found(spark, sf_dir)
+    cfg = replace(GATED, min_blob=4, opening_radius=1)
+    return detection.dark_categories(write_shared(detection.undetected_dark(r, found, cfg)), r.scenes, cfg)
+
+
+@query
+def footprint_layer(spark, sf_dir):
+    """Colours of the segmented footprint over the scene, with rejected tiles tinted below."""
+    r, found = _found(spark, sf_dir)
+    cells = layers.layer_cells(r, found, "footprint", GATED, rejected=True)
+    return cells.select(*CELL, *[F.col(c).cast("long").alias(c) for c in ("red", "green", "blue")])
+
+
 @query
 def attribution_invariants(spark, sf_dir):
     """Counts of cells that break the accounting of dark cells; all are 0. The layer is made another way than its parts: from the
@@ -442,6 +458,29 @@ def mask_quality(spark, sf_dir):
     return both.select("scene_id", tp.alias("true_positive"), ratio(tp, F.col("p") + F.col("t") - tp).alias("iou"), ratio(tp, F.col("p")).alias("precision"), ratio(tp, F.col("t")).alias("recall"))
 
 
+@query
+def quality_intervals(spark, sf_dir):
+    """Quality of the dark mask against finished orders, with bootstrap intervals over the rows of the scene."""
+    units = write_shared(quality.confusion(_dark(orders_raster(spark, sf_dir)), _truth(spark, sf_dir), ["row"]))
+    return quality.quality_intervals(units, "row")
+
+
+@query
+def quality_ranks(spark, sf_dir):
+    """Rank correlation, row by row, of how much is dark and how much of that is right."""
+    units = quality.confusion(_dark(orders_raster(spark, sf_dir)), _truth(spark, sf_dir), ["row"])
+    return quality.rank_correlation(units.select((F.col("tp") + F.col("fp")).alias("dark"), F.col("tp")), "dark", "tp")
+
+
+@query
+def coast_box_scan(spark, sf_dir):
+    """The coast stored along a curve, and what a search box reads of it."""
+    path = scratch_path(spark, "coast")
+    coastline.store_coast(supplier_coast_degrees(spark, sf_dir), path)
+    near = coastline.in_box(coastline.stored_coast(spark, path), 49.0, 24.0, 50.5, 27.0)
+    return near.select("k", F.round("x1", 6).alias("x1"), F.round("y1", 6).alias("y1"), F.round("x2", 6).alias("x2"), F.round("y2", 6).alias("y2"))
+
+
 @query
 def display_uint8(spark, sf_dir):
     r = orders_raster(spark, sf_dir)

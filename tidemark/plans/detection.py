@@ -6,11 +6,11 @@ one probability a tile, a segmenter into one probability a cell. Learned models
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -109,29 +109,67 @@ def scores_checked(scores: DataFrame, column: str, keys: list[str]) -> DataFrame
     return scores.groupBy(*keys).agg(once.alias(column))
 
 
-def tile_scorer(score: Callable[[np.ndarray, np.ndarray], float], what: str = "screener") -> Scorer:
-    """A screener from a function of a tile's values and validity (both tile x tile arrays), or, with ``what="segmenter"``, a
-    segmenter from one that gives an array of the same shape. One tile is in memory at a time."""
+def batch_scorer(make: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]], what: str = "screener", batch: int = 64) -> Scorer:
+    """A scorer from a function of tiles x tile x tile arrays of values and of validity: one probability a tile, or, with
+    ``what="segmenter"``, an array of probabilities of the same shape. ``make`` is called once a task and gives that function, so a
+    model is loaded once; tiles come ``batch`` at a time (fewer at a task's end), each with its cells in one row of arrays. Every tile
+    and every cell gets its own result, so results don't depend on ``batch``."""
 
     def adapted(cells: DataFrame, cfg: Config) -> DataFrame:
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            shape, y, x = (cfg.tile, cfg.tile), int(rows["y"].iloc[0]), int(rows["x"].iloc[0])
-            at = rows["row"].to_numpy() - y, rows["col"].to_numpy() - x
-            values, valid = np.zeros(shape, np.float32), np.zeros(shape, bool)
-            values[at], valid[at] = rows["norm"], rows["valid"]
-            out = score(values, valid)
-            if what == "screener":
-                return pd.DataFrame({"scene_id": [rows["scene_id"].iloc[0]], "y": [y], "x": [x], "p_oil": [float(out)]})
-            if np.shape(out) != shape:
-                raise ValueError(f"a segmenter gave the shape {np.shape(out)} for a tile of {shape}")
-            return rows[["scene_id", "y", "x", "row", "col"]].assign(prob=np.asarray(out, np.float32)[at])
-
-        schema = "scene_id string, y long, x long, " + ("p_oil double" if what == "screener" else "row long, col long, prob float")
-        return cells.groupBy(TILE).applyInPandas(run, schema)
+        tile = cfg.tile
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            score, held = make(), []
+
+            def scored() -> pa.RecordBatch:
+                n = len(held)
+                values, valid = np.zeros((n, tile, tile), np.float32), np.zeros((n, tile, tile), bool)
+                for k, (_, _, _, at, norm, good) in enumerate(held):
+                    values[k].reshape(-1)[at], valid[k].reshape(-1)[at] = norm, good
+                out = np.asarray(score(values, valid))
+                if out.shape != ((n,) if what == "screener" else values.shape):
+                    raise ValueError(f"a {what} gave the shape {out.shape} for tiles of the shape {values.shape}")
+                keys = [pa.array([h[i] for h in held]) for i in range(3)]
+                if what == "screener":
+                    return pa.RecordBatch.from_arrays([*keys, pa.array(out.astype(float))], ["scene_id", "y", "x", "p_oil"])
+                sizes = [len(h[3]) for h in held]
+                place, of = np.concatenate([h[3] for h in held]), np.repeat(np.arange(n), sizes)
+                y, x = (np.repeat([h[i] for h in held], sizes) for i in (1, 2))
+                columns = [keys[0].take(pa.array(of)), pa.array(y), pa.array(x), pa.array(y + place // tile), pa.array(x + place % tile), pa.array(out.reshape(n, -1)[of, place].astype(np.float32))]
+                return pa.RecordBatch.from_arrays(columns, ["scene_id", "y", "x", "row", "col", "prob"])
+
+            for rows in batches:
+                for i in range(rows.num_rows):
+                    scene, y, x = (rows.column(k)[i].as_py() for k in range(3))
+                    whole = rows.column(3)[i].values
+                    at, norm, good = (whole.field(whole.type.get_field_index(k)).to_numpy(zero_copy_only=False) for k in ("at", "norm", "valid"))
+                    held.append((scene, y, x, at.astype(np.int64), norm, good))
+                    if len(held) == batch:
+                        yield scored()
+                        held.clear()
+            if held:
+                yield scored()
+
+        place = ((F.col("row") - F.col("y")) * tile + F.col("col") - F.col("x")).cast("int")
+        packed = cells.groupBy(TILE).agg(F.collect_list(F.struct(place.alias("at"), "norm", "valid")).alias("cells"))  # the cells of one tile
+        return packed.mapInArrow(run, "scene_id string, y long, x long, " + ("p_oil double" if what == "screener" else "row long, col long, prob float"))
 
     return adapted
 
 
+def tile_scorer(score: Callable[[np.ndarray, np.ndarray], float], what: str = "screener") -> Scorer:
+    """A scorer from a function of one tile's values and validity (both tile x tile arrays): a probability, or, with
+    ``what="segmenter"``, an array of the same shape."""
+
+    def all_of(values: np.ndarray, valid: np.ndarray) -> np.ndarray:
+        out = [score(v, ok) for v, ok in zip(values, valid, strict=True)]
+        if what == "segmenter" and any(np.shape(o) != values.shape[1:] for o in out):
+            raise ValueError(f"a segmenter gave the shapes {sorted({np.shape(o) for o in out})} for tiles of {values.shape[1:]}")
+        return np.array(out)
+
+    return batch_scorer(lambda: all_of, what)
+
+
 @dataclass(frozen=True)
 class Detection:
     """``tiles``: the grid with eligibility, scores and gates; ``mosaic``: stitched cells (prob, n_tiles, classical); ``mask``:
@@ -162,7 +200,10 @@ def screened(raster: Raster, cfg: Config, screener: Scorer, ready: Prepared | No
     """The tile grid with ``p_oil``, ``passed`` (by the threshold) and ``final`` (after expansion)."""
     tiles = components.write_shared(partitioned(raster, cfg))
     scores = screener(model_inputs(raster, tiles.filter("eligible"), cfg, ready), cfg)
-    gated = components.write_shared(tiles.join(scores_checked(scores, "p_oil", TILE), TILE, "left").withColumn("passed", F.coalesce(F.col("p_oil") >= cfg.screener_threshold, F.lit(False)) & F.col("eligible")))
+    scored = tiles.join(scores_checked(scores, "p_oil", TILE), TILE, "left")
+    left_out = F.raise_error(F.concat(F.lit("the screener left out the tile at "), F.concat_ws(", ", "scene_id", "y", "x"))).cast("double")
+    scored = scored.withColumn("p_oil", F.when(F.col("eligible") & F.col("p_oil").isNull(), left_out).otherwise(F.col("p_oil")))
+    gated = components.write_shared(scored.withColumn("passed", F.coalesce(F.col("p_oil") >= cfg.screener_threshold, F.lit(False)) & F.col("eligible")))
     final = expanded_pass_grid(gated, cfg).withColumn("_final", F.lit(True))
     return gated.join(final, ["scene_id", "gi", "gj"], "left").withColumn("final", F.coalesce("_final", F.lit(False))).drop("_final")
 
@@ -262,6 +303,30 @@ def measure(raster: Raster, mask: DataFrame, mosaic: DataFrame | None = None, co
     return region_table(labelled, raster.scenes, mosaic, coast, cfg, coast_degrees)
 
 
+def dark_categories(dark: DataFrame, scenes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """``scene_id, category, area_km2, n_pixels, percentage, region_count`` of all cells of `undetected_dark` (category ``total``) and of those of
+    the screener's rejections (``rejected_by_screener``), in every scene; components of a category are its own."""
+    kinds = {"total": dark, "rejected_by_screener": dark.filter("rejected_by_screener")}
+    rows = []
+    for name, cells in kinds.items():
+        parts = components.labelled_runs(cells, cfg.connectivity).groupBy("scene_id").agg(F.count_distinct("first_row", "first_col").alias("region_count"))
+        rows.append(mask_area_km2(cells, scenes, cfg).join(parts, "scene_id", "left").withColumn("category", F.lit(name)))
+    both = rows[0].unionByName(rows[1])
+    whole = both.filter("category = 'total'").select("scene_id", F.col("n_pixels").alias("_all"))
+    share = F.when(F.col("_all") > 0, F.round(100.0 * F.col("n_pixels") / F.col("_all"), 6)).otherwise(0.0)
+    return both.join(whole, "scene_id").select("scene_id", "category", "area_km2", "n_pixels", share.alias("percentage"), F.coalesce("region_count", F.lit(0)).alias("region_count"))
+
+
+def dark_record(categories: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """``scene_id, record``: the totals of `dark_categories`, the categories by name, and the constants that say what they mean."""
+    of = F.struct("area_km2", "percentage", "region_count")
+    named = F.map_from_entries(F.collect_list(F.when(F.col("category") != "total", F.struct("category", of))))
+    total = F.max(F.when(F.col("category") == "total", of))
+    rows = categories.groupBy("scene_id").agg(total.alias("t"), named.alias("categories"))
+    constants = [F.lit(cfg.dark).alias("baseline_threshold"), F.lit(cfg.opening_radius).alias("opening_radius"), F.lit(cfg.min_blob).alias("minimum_blob_px")]
+    return rows.select("scene_id", F.struct(F.col("t.area_km2").alias("total_area_km2"), F.col("t.region_count").alias("region_count"), "categories", *constants).alias("record"))
+
+
 def diagnostic_summary(dark: DataFrame, scenes: DataFrame) -> DataFrame:
     """Totals of `undetected_dark`, with the share of the screener's rejections (0 where nothing is dark)."""
     total = mask_area_km2(dark, scenes).withColumnsRenamed({"area_km2": "total_area_km2", "n_pixels": "total_pixels"})

@@ -389,3 +389,31 @@ SQL["scene_catalog"] = _with(
 ) + f"""SELECT s AS scene_id, CASE WHEN length(s) % 2 = 0 THEN 'Scene ' || s ELSE replace(s, '_', ' ') END AS title, h AS height, w AS width, 'EPSG:4326' AS crs, west, south, east, north, region_label,
 (region_label = 'Arabian Gulf' AND {_CENTRE.format(48, 55, 24, 30)}) OR (region_label = 'Red Sea' AND {_CENTRE.format(37, 42, 18, 28)}) AS inside_validated_bounds FROM l"""
 SQL["geotiff_pixels"] = _with("events") + f"SELECT {_CELL}, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 4) AS value FROM fx"
+
+# --- dark categories, layers, intervals, the stored coast
+SQL["dark_categories"] = _with("lineitem", *_UNDETECTED, "rj AS MATERIALIZED (SELECT s, r, c FROM ud WHERE rejected)", _components("ta", "uk"), _components("rb", "rj")) + """, n AS (SELECT (SELECT count(*) FROM uk) AS a, (SELECT count(*) FROM rj) AS b)
+SELECT 'lineitem' AS scene_id, 'total' AS category, round(a * 100.0::DOUBLE / 1e6, 6) AS area_km2, a AS n_pixels, CASE WHEN a > 0 THEN 100.0::DOUBLE ELSE 0.0::DOUBLE END AS percentage, (SELECT count(DISTINCT l) FROM tacc) AS region_count FROM n
+UNION ALL SELECT 'lineitem', 'rejected_by_screener', round(b * 100.0::DOUBLE / 1e6, 6), b, CASE WHEN a > 0 THEN round(100.0::DOUBLE * b / a, 6) ELSE 0.0::DOUBLE END, (SELECT count(DISTINCT l) FROM rbcc) FROM n"""
+_PAINT = "CASE WHEN {on} THEN round_even({v} * (1.0::DOUBLE - {a}::DOUBLE) + {c} * {a}::DOUBLE, 0) ELSE {v} END"
+SQL["footprint_layer"] = _with(
+    "lineitem", *_LEARNED, "px AS (SELECT f.s, f.r, f.c, coalesce(round_even(CAST(nm.norm AS DOUBLE) * 255, 0), 0.0::DOUBLE) AS grey, mo.prob > 0 AND mo.prob IS NOT NULL AS foot, "
+    f"EXISTS (SELECT 1 FROM fi t WHERE NOT t.final AND {_ON.format(a='f')}) AS gone FROM full_grid f LEFT JOIN nm ON nm.r = f.r AND nm.c = f.c LEFT JOIN mo ON mo.r = f.r AND mo.c = f.c)",
+) + f"SELECT {_CELL}, " + ", ".join(
+    f"CAST({_PAINT.format(on='foot', v='(' + _PAINT.format(on='gone', v='grey', a='0.24', c=low) + ')', a='0.3', c=high)} AS BIGINT) AS {n}" for n, low, high in (("red", 229, 39), ("green", 196, 182), ("blue", 83, 165))
+) + " FROM px"
+_UNITS = "un AS (SELECT coalesce(m.r, tr.r) AS r, count(*) FILTER (m.r IS NOT NULL AND tr.r IS NOT NULL) AS tp, count(*) FILTER (tr.r IS NULL) AS fp, count(*) FILTER (m.r IS NULL) AS fn FROM m FULL JOIN tr ON tr.r = m.r AND tr.c = m.c GROUP BY coalesce(m.r, tr.r))"
+_AT_MOST = (0.3678794, 0.7357589, 0.9196986, 0.9810118, 0.9963402, 0.9994058, 0.9999168, 0.9999898)
+SQL["quality_intervals"] = _with(
+    "orders", *_BOTH, _UNITS,
+    "h0 AS (SELECT un.*, rep, (CAST(un.r AS BIGINT) % 2147483647 * 48271 + rep * 69621 + 42) % 2147483647 AS h FROM un, range(1, 201) AS g(rep))", "h1 AS (SELECT * REPLACE ((h * h + 12345 + rep) % 2147483647 AS h) FROM h0)",
+    "h2 AS (SELECT * REPLACE ((h * h + 678901 + rep) % 2147483647 AS h) FROM h1)",
+    "wt AS (SELECT *, CASE " + " ".join(f"WHEN h / 2147483647.0::DOUBLE < {p}::DOUBLE THEN {k}" for k, p in enumerate(_AT_MOST)) + " ELSE 8 END AS w FROM h2)",
+    "rs AS (SELECT sum(w * tp) AS tp, sum(w * fp) AS fp, sum(w * fn) AS fn FROM wt GROUP BY rep)", "al AS (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM un)",
+    "ms(measure) AS (VALUES ('iou'), ('precision'), ('recall'))",
+    "vl AS (SELECT measure, w, CAST(tp AS DOUBLE) / nullif(CASE measure WHEN 'iou' THEN tp + fp + fn WHEN 'precision' THEN tp + fp ELSE tp + fn END, 0) AS v FROM (SELECT *, 1 AS w FROM rs UNION ALL SELECT *, 0 FROM al) CROSS JOIN ms)",
+) + "SELECT measure, round(max(v) FILTER (w = 0), 6) AS value, round(quantile_cont(v, 0.025) FILTER (w = 1), 6) AS low, round(quantile_cont(v, 0.975) FILTER (w = 1), 6) AS high FROM vl GROUP BY measure"
+SQL["quality_ranks"] = _with(
+    "orders", *_BOTH, _UNITS, "v AS (SELECT tp + fp AS x, tp AS y FROM un)", "rk AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0::DOUBLE AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0::DOUBLE AS ry FROM v)",
+) + "SELECT count(*) AS n, round(corr(rx, ry), 6) AS rank_correlation FROM rk"
+SQL["coast_box_scan"] = """WITH p AS (SELECT s_suppkey AS k, 48 + (s_suppkey % 50) / 10.0::DOUBLE AS x, round(24 + s_acctbal / 2000, 6) AS y FROM supplier), g AS (SELECT a.k, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM p a JOIN p b ON b.k = a.k + 1)
+SELECT k, round(x1, 6) AS x1, round(y1, 6) AS y1, round(x2, 6) AS x2, round(y2, 6) AS y2 FROM g WHERE greatest(x1, x2) >= 49 AND least(x1, x2) <= 50.5 AND greatest(y1, y2) >= 24 AND least(y1, y2) <= 27"""

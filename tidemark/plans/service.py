@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import hashlib
 import json
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,9 +15,14 @@ from ..functions.geodesy import to_degrees
 from ..functions.labels import inside_validated, json_number, rank, region_label
 
 
-def config_hash(cfg: Config) -> str:
-    """Of all parameters, so that any that can change a result changes it."""
-    return hashlib.sha256(json.dumps(dataclasses.asdict(cfg), sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+def config_hash(cfg: Config, files: tuple[str, ...] = ()) -> str:
+    """Of all parameters and of the identities (path, size, time of change) of input files such as weights and coast, so that whatever
+    can change a result changes it. A missing file has an identity too."""
+    known = dataclasses.asdict(cfg)
+    if files:
+        stats = [(str(Path(f).resolve()), Path(f).stat() if Path(f).exists() else None) for f in files]
+        known["files"] = [{"path": p, "size": s and s.st_size, "changed": s and s.st_mtime_ns} for p, s in stats]
+    return hashlib.sha256(json.dumps(known, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 
 def content_id(content: Column) -> Column:
