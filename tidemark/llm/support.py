@@ -12,9 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.shared import discard, scratch_path, shared_dir, write_shared
+from ..operators.shared import discard, scratch, scratch_path, shared_dir, write_shared
 
-__all__ = ["discard", "scratch_path", "shared_dir"]
+__all__ = ["discard", "scratch", "scratch_path", "shared_dir"]
 
 #: Rows of one or two machine words that may be broadcast (at most about 64 MB as a hash relation).
 BROADCAST_ROWS = 1_000_000
