@@ -8,7 +8,7 @@ from tidemark.llm.ecoc_langid import keep_identified
 from tidemark.llm.exact_dedup import drop_exact_duplicates
 from tidemark.llm.order_minhash import drop_near_duplicates
 from tidemark.llm.packing import pack
-from tidemark.llm.support import materialise, table, tokenizer_file
+from tidemark.llm.support import discard, scratch, scratch_path, table, tokenizer_file
 from tidemark.llm.toxicity import drop_toxic
 
 
@@ -45,8 +45,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to ``documents``; each result is written and read again as the next stage's input."""
+    """Apply STAGES to ``documents``; each result is written and read again as the next stage's input. What a stage writes on its way,
+    and its input, go when its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = scratch_path(spark, f"pipeline-{name}")
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(path)
+        last, docs = docs, spark.read.schema(docs.schema).parquet(path)
+        docs._scratch = path
+        discard(last)
     return STAGES[-1][1](spark, docs, sf_dir)
