@@ -43,9 +43,9 @@ IMPLIED = {
 #: container that isn't the article; a loose one marks what is mostly links or a row of signed posts.
 COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
 FIRM = COMMENTS | frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot promo promos promotion promotions sponsor sponsored breadcrumb breadcrumbs cookie cookies consent gdpr notice notices disclaimer copyright newsletter newsletters subscribe subscription signup popup modal overlay lightbox menubar navbar navigation topnav sidebar sidenav footer colophon masthead related recommended recommendations pagination pager outbrain taboola tagcloud".split()
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adslot promo promos promotion promotions sponsor sponsored breadcrumb breadcrumbs cookie cookies consent gdpr notice notices disclaimer copyright newsletter newsletters subscribe subscription signup popup modal overlay lightbox menubar navbar navigation topnav sidebar sidenav footer colophon masthead related recommended recommendations pagination pager outbrain taboola tagcloud banner menu toolbar nav share sharing social recommend tags teaser teasers".split()
 )
-LOOSE = frozenset("banner login menu toolbar nav rail widget widgets foot header response responses reply discussion share sharing social recommend skip hidden tags teaser teasers".split())
+LOOSE = frozenset("login rail widget widgets foot header response responses reply discussion skip hidden".split())
 #: Words that say what part of a page a name means, not what is in it.
 PLAIN = frozenset(
     "list box area section container wrapper wrap block bar inner outer body item items link links button buttons form top bottom left right main site page global post posts article articles entry blog user reader readers story stories news feed thread slot unit panel message messages text content title primary secondary large small".split()
