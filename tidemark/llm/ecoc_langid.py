@@ -31,9 +31,9 @@ WINDOWS = (160, 60, 24)
 AMBIGUOUS_LEAD = 0.2
 #: A text is mixed if it lies less than this share of the way from the middle between two codewords to the nearer one, and that is so
 #: many deviations off where texts of its length lie.
-MIXED_LEAD, MIXED_DEVIATIONS = 0.05, 3.5
+MIXED_LEAD, MIXED_DEVIATIONS = 0.05, 3.0
 #: At so many letters a text's place varies by chance as much as it does at any length; and the middle of squared deviations, in variances.
-SHORT_LETTERS, HALF_OF_SQUARES = 50.0, 0.455
+SHORT_LETTERS, HALF_OF_SQUARES = 100.0, 0.455
 UNDETERMINED = "und"
 
 _LETTERS: list[np.ndarray] = []
