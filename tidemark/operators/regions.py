@@ -25,7 +25,8 @@ def row_areas(scenes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     rows = scenes.select("scene_id", "crs", *AFFINE, F.explode(F.sequence(F.lit(0).cast("long"), F.col("height") - 1)).alias("row"))
     geographic = geographic_row_area(F.col("row"), F.col("e"), F.col("f"), F.col("a"))
     metric = utm_zone(F.col("crs")).isNotNull() | F.col("crs").isin(*cfg.metric_systems)
-    unknown = F.raise_error(F.concat(F.lit("no areas: scene "), "scene_id", F.lit(" has the reference system "), F.coalesce(F.col("crs"), F.lit("null")))).cast("double")
+    why = F.when(F.coalesce("crs", F.lit("")) == "", "no reference system, so no areas: scene ").otherwise(F.concat(F.lit("no areas are known in "), "crs", F.lit(", so no areas: scene ")))
+    unknown = F.raise_error(F.concat(why, "scene_id")).cast("double")
     area = F.when(F.col("crs") == "EPSG:4326", geographic).when(metric, F.abs(F.col("a") * F.col("e") - F.col("b") * F.col("d"))).otherwise(unknown)
     return rows.select("scene_id", "row", area.alias("area_m2"))
 
