@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT
 from tidemark.operators import stats
+from tidemark.operators.regions import scene_coast, scene_coast_totals
 from tidemark.sources.rasters import from_cells
 
 
@@ -20,3 +21,17 @@ def test_percentiles_of_large_scenes_are_those_of_all_pixels(spark, height, widt
     want = {"s": [round(float(np.percentile(values, q)), 6) for q in (2, 98)], "t": [2.5, 2.5]}
     for most in (10, DEFAULT.max_samples):
         assert {x["scene_id"]: [x["lo"], x["hi"]] for x in stats.scene_percentiles(r, replace(DEFAULT, max_samples=most)).collect()} == want
+
+
+def test_coast_totals_count_copies_and_broadcast_no_pairs(spark):
+    grid = ["'EPSG:4326' AS crs", "0.01D AS a", "0.0D AS b", "0.0D AS d", "-0.01D AS e", "100L AS height", "100L AS width"]
+    scenes = spark.range(40).selectExpr("cast(id as string) AS scene_id", *grid, "40.0D + id % 10 AS c", "10.0D + id % 4 AS f")
+    line = spark.range(30).selectExpr("44.0D + id % 5 / 10 AS x1", "9.0D + id % 3 AS y1", "44.1D + id % 5 / 10 AS x2", "12.5D - id % 2 AS y2")
+    cut = scene_coast(scenes, line)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert not [p for p in plan.split("\n") if "BroadcastHashJoin [gx" in p or "BroadcastNestedLoop" in p]
+    want = cut.groupBy("scene_id").agg(F.max("search_deg").alias("d"), F.count(F.lit(1)).alias("n"), (F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))) / 1000).alias("l"))
+    have = {r["scene_id"]: r for r in scene_coast_totals(scenes, line).collect()}
+    rows = want.collect()
+    assert len(rows) == len(have) and {r["d"] for r in rows} == {2.0, 5.0}
+    assert all(have[r["scene_id"]]["n_segments"] == r["n"] and have[r["scene_id"]]["search_deg"] == r["d"] and abs(have[r["scene_id"]]["length_km"] - r["l"]) < 1e-3 for r in rows)

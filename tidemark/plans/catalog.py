@@ -15,7 +15,7 @@ from ..functions.pixels import at_least, below, blended, hex_channels, to_byte
 from ..operators import coastline, components, morphology, quality, stats, tiling
 from ..operators.contours import contours as outlines
 from ..operators.contours import visible_parts
-from ..operators.regions import clipped_segments, coast_distances, mask_area_km2, region_moments, region_table, scene_coast, scene_labels
+from ..operators.regions import clipped_segments, coast_distances, mask_area_km2, region_moments, region_table, scene_coast_totals, scene_labels
 from ..operators.regions import scene_bounds as bounds_in_degrees
 from ..operators.shared import scratch_path, write_shared
 from ..sources import geotiff, images
@@ -330,9 +330,7 @@ def scene_bounds(spark, sf_dir):
 @query
 def coast_search(spark, sf_dir):
     """How far each scene had to search for a coast, and what it found; scenes without any are left out."""
-    found = scene_coast(supplier_scenes(spark, sf_dir), supplier_coast_degrees(spark, sf_dir))
-    length = F.sum(F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))) / 1000
-    return found.groupBy("scene_id").agg(F.max("search_deg").alias("search_deg"), F.count(F.lit(1)).alias("n_segments"), F.round(length, 4).alias("length_km"))
+    return scene_coast_totals(supplier_scenes(spark, sf_dir), supplier_coast_degrees(spark, sf_dir))
 
 
 @query
