@@ -1,5 +1,6 @@
 """Scenes, coasts and files that are larger than what one task holds at small sizes."""
 
+import json
 from dataclasses import replace
 
 import numpy as np
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.config import DEFAULT
 from tidemark.operators import regions, stats
 from tidemark.operators.regions import scene_coast, scene_coast_totals
-from tidemark.sources.rasters import from_cells
+from tidemark.sources import geotiff, images
+from tidemark.sources.rasters import Raster, from_cells
 
 
 @pytest.mark.parametrize(("height", "width"), [(3, 7), (130, 128)])
@@ -54,3 +56,19 @@ def test_far_points_are_measured_against_few_segments(spark, monkeypatch):
     monkeypatch.setattr(regions, "MOST_CELLS", 10)
     have = {r["region_id"]: r["distance_to_coast_km"] for r in regions.coast_distances(points, coast).collect()}
     assert set(have) == set(want) and all(abs(have[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_small_shares_are_bounded_and_small_blocks_are_read_together(spark, tmp_path):
+    """Tasks of a read don't grow without end where shares are small; a batch holds many small blocks."""
+    files = json.dumps([["a", "a.tif", 400_000_000], ["b", "b.tif", 5_000_000]])
+    assert len(images._Reader({"files": files, "taskBytes": "4096"}).partitions()) <= images.MOST_SHARES + 2
+    assert len(images._Reader({"files": files, "taskBytes": str(8 << 20)}).partitions()) == 48 + 1
+    cells = spark.range(300 * 40).selectExpr("'a' AS scene_id", "id div 40 AS row", "id % 40 AS col", "IF(id % 7 = 0, NULL, id / 8) AS value")
+    scenes = spark.sql("SELECT 'a' AS scene_id, 300L AS height, 40L AS width, CAST(NULL AS DOUBLE) AS nodata, 'EPSG:4326' AS crs, 0.01D AS a, 0.0D AS b, 6.0D AS c, 0.0D AS d, -0.01D AS e, 22.0D AS f")
+    images.write_scenes(Raster(cells, scenes), f"file://{tmp_path}", tile=16, compression=geotiff.LZW, predictor=3).count()
+    path = f"{tmp_path}/a.tif"
+    read = images._File(path).read
+    batches = list(images._cells("a", (h := geotiff.header(read)), read, 0, h.blocks, (0, 1 << 62)))
+    assert h.blocks == 57 and len(batches) == 1
+    have = {(r, c): v for r, c, v in zip(*(batches[0].column(k).to_pylist() for k in (1, 2, 3)), strict=True)}
+    assert len(have) == 12_000 and all((v != v) if (i := r * 40 + c) % 7 == 0 else v == i / 8 for (r, c), v in have.items())

@@ -536,7 +536,8 @@ def geotiff_pixels(spark, sf_dir):
     """The same scenes' values, read back block by block: in single precision, as files hold them."""
     out = scratch_path(spark, "files")
     images.write_scenes(_placed_events(spark, sf_dir), out, tile=16, compression=geotiff.LZW, predictor=3).count()
-    return stats.valid_pixels(images.read_scenes(spark, f"{out}/*.tif", task_bytes=4096)).select(*CELL, F.round("value", 4).alias("value"))
+    back = images.read_scenes(spark, f"{out}/*.tif", task_bytes=4096)
+    return stats.valid_pixels(Raster(back.pixels, write_shared(back.scenes, "scenes"))).select(*CELL, F.round("value", 4).alias("value"))
 
 
 @query

@@ -14,7 +14,6 @@ from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.shared import write_shared
 from . import geotiff
 from .geotiff import SceneError
 from .rasters import Raster
@@ -34,6 +34,8 @@ HEADERS = f"{SCENES}, path string, blocks long, block_height long, block_width l
 #: Cells of a strip at most, rows of one at most, and bytes of a file that a task reads.
 STRIP_CELLS, STRIP_ROWS, TASK_BYTES = 1 << 20, 256, 4 << 20
 _ROWS_OUT = 1 << 16
+#: Tasks that shares smaller than ``TASK_BYTES`` make at most, about.
+MOST_SHARES = 1000
 #: The last part of a path without its ending.
 _STEM = r"([^/]+?)(?:\.[^./]*)?$"
 
@@ -73,7 +75,15 @@ def _uri(path: str) -> str:
 
 
 def _cells(scene: str, h: geotiff.Header, read: geotiff.Read, first: int, last: int, rows: tuple[int, int]) -> Iterator[pa.RecordBatch]:
-    """Cells of a range of blocks; blocks beyond the rows asked for are not read."""
+    """Cells of a range of blocks, small blocks together; blocks beyond the rows asked for are not read."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def taken() -> pa.RecordBatch:
+        r, c, v = (np.concatenate(part) for part in zip(*held, strict=True))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.repeat(scene, len(v)), pa.array(r), pa.array(c), pa.array(v)], ["scene_id", "row", "col", "value"])
+
+    size = 0
     for k, (at, n) in enumerate(geotiff.block_ranges(read, h, first, last), first):
         top, left = h.corner(k)
         if top > rows[1] or min(top + h.block_height, h.height) <= rows[0]:
@@ -82,8 +92,14 @@ def _cells(scene: str, h: geotiff.Header, read: geotiff.Read, first: int, last:
         step = max(1, _ROWS_OUT // values.shape[1])
         for i in range(0, len(values), step):
             part = values[i : i + step]
+            if held and size + part.size > _ROWS_OUT:
+                yield taken()
+                size = 0
             r, c = np.indices(part.shape)
-            yield pa.RecordBatch.from_arrays([pa.repeat(scene, part.size), pa.array(r.ravel() + top + i), pa.array(c.ravel() + left), pa.array(part.ravel().astype(float))], ["scene_id", "row", "col", "value"])
+            held.append((r.ravel() + top + i, c.ravel() + left, part.ravel().astype(float)))
+            size += part.size
+    if held:
+        yield taken()
 
 
 def _header_row(scene: str, path: str, h: geotiff.Header) -> tuple:
@@ -109,13 +125,15 @@ class _Reader(DataSourceReader):
         self.rows = tuple(json.loads(options["rows"])) if options.get("rows") else (0, 1 << 62)
 
     def partitions(self) -> list[_Part]:
-        """From the listing alone: no file is opened to plan. A file larger than a task's share is parted by its blocks."""
+        """From the listing alone: no file is opened to plan. A file larger than a task's share is parted by its blocks. Shares smaller than
+        ``TASK_BYTES`` grow where they would be more than `MOST_SHARES`."""
         known = [(scene, path, size) for scene, path, size in self.files if self.scenes is None or scene in self.scenes]
+        share = max(self.task_bytes, min(TASK_BYTES, sum(size for *_, size in known) // MOST_SHARES))
         if self.headers:
             return [_Part([(s, p) for s, p, _ in known[i : i + 64]]) for i in range(0, len(known), 64)]
         parts = []
         for scene, path, size in known:
-            n = max(1, -(-size // self.task_bytes))
+            n = max(1, -(-size // share))
             parts += [_Part([(scene, path)], k, n) for k in range(n)]
         return parts
 
@@ -197,25 +215,63 @@ def read_scenes(spark: SparkSession, paths: str | list[str] | DataFrame, task_by
 
 
 def _encoded(cells: DataFrame, scenes: DataFrame, channels: list[str], tile: int | None, fill: float, kind: str, encode) -> DataFrame:
-    """Encoded blocks, in order: ``scene_id, block, bytes, size, raw_size, sum``. Cells that are missing have the value ``fill``."""
+    """Encoded blocks: ``scene_id, block, bytes, size, raw_size, sum``. Cells that are missing have the value ``fill``.
+
+    A row for each block, with its layout, and behind it the block's cells pass a task in order; it holds one block of values.
+    """
     per = F.greatest(F.lit(1), F.least(F.lit(STRIP_ROWS), F.floor(F.lit(STRIP_CELLS) / F.col("width")))).cast("long") if tile is None else F.lit(tile).cast("long")
     grid = scenes.select("scene_id", "height", "width", per.alias("_h"), (F.col("width") if tile is None else F.lit(tile)).cast("long").alias("_w"))
     grid = grid.withColumn("_across", F.ceil(F.col("width") / F.col("_w"))).withColumn("_blocks", F.col("_across") * F.ceil(F.col("height") / F.col("_h")))
-    every = grid.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    at = F.floor(F.col("row") / F.col("_h")) * F.col("_across") + F.floor(F.col("col") / F.col("_w"))
-    placed = cells.select("scene_id", "row", "col", *channels).join(F.broadcast(grid) if grid.limit(100_001).count() <= 100_000 else grid, "scene_id").select("scene_id", at.alias("block"), "row", "col", *channels)
+    number, left = F.col("block"), F.col("block") % F.col("_across") * F.col("_w")
+    top = F.floor(number / F.col("_across")) * F.col("_h")
+    rows = F.least(F.col("_h"), F.col("height") - top) if tile is None else F.col("_h")
+    blank = {c: F.lit(None).cast(cells.schema[c].dataType) for c in channels}
+    every = grid.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).select("scene_id", "block", F.lit(-1).cast("long").alias("_at"), rows.cast("long").alias("_rows"), F.col("_w").alias("_cols"), *[v.alias(c) for c, v in blank.items()])
+    across, down = F.floor(F.col("col") / F.col("_w")), F.floor(F.col("row") / F.col("_h"))
+    inside = F.col("row").between(0, F.col("height") - 1) & F.col("col").between(0, F.col("width") - 1)
+    placed = cells.select("scene_id", "row", "col", *channels).join(F.broadcast(grid) if grid.limit(100_001).count() <= 100_000 else grid, "scene_id").filter(inside)
+    within = (F.col("row") - down * F.col("_h")) * F.col("_w") + F.col("col") - across * F.col("_w")
+    none = F.lit(None).cast("long")
+    placed = placed.select("scene_id", (down * F.col("_across") + across).alias("block"), within.cast("long").alias("_at"), none.alias("_rows"), none.alias("_cols"), *channels)
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        number, height, width, h, w, across = (int(block[k].iloc[0]) for k in ("block", "height", "width", "_h", "_w", "_across"))
-        top, left = number // across * h, number % across * w
-        rows = min(h, height - top) if tile is None else h
-        out = np.full((rows, w, len(channels)), fill, np.dtype(kind))
-        have = block[block["row"].notna() & (block["row"] < height) & (block["col"] < width)]
-        out[have["row"].astype(int) - top, have["col"].astype(int) - left] = have[channels].to_numpy(dtype=np.dtype(kind))
-        data, raw, total = encode(out)
-        return pd.DataFrame({"scene_id": [block["scene_id"].iloc[0]], "block": [number], "bytes": [data], "size": [len(data)], "raw_size": [raw], "sum": [total]})
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = out = None
+        ready: list[tuple] = []
+
+        def finish() -> None:
+            if out is not None:
+                data, raw, total = encode(out)
+                ready.append((*key, data, len(data), raw, total))
 
-    return every.join(placed, ["scene_id", "block"], "left").groupBy("scene_id", "block").applyInPandas(run, "scene_id string, block long, bytes binary, size long, raw_size long, sum long")
+        def taken() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+            made = pa.RecordBatch.from_arrays([pa.array([r[i] for r in ready], k) for i, k in enumerate(kinds)], ["scene_id", "block", "bytes", "size", "raw_size", "sum"])
+            ready.clear()
+            return made
+
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            values = np.stack([batch.column(5 + k).fill_null(fill).to_numpy(zero_copy_only=False).astype(np.dtype(kind)) for k in range(len(channels))], axis=1)
+            heads = np.flatnonzero(at < 0)
+            if out is not None:
+                first = heads[0] if len(heads) else len(at)
+                out.reshape(-1, len(channels))[at[:first]] = values[:first]
+            for n, i in enumerate(heads):
+                finish()
+                key = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                out = np.full((batch.column(3)[i].as_py(), batch.column(4)[i].as_py(), len(channels)), fill, np.dtype(kind))
+                j = heads[n + 1] if n + 1 < len(heads) else len(at)
+                out.reshape(-1, len(channels))[at[i + 1 : j]] = values[i + 1 : j]
+                if len(ready) >= 1024 or ready and ready[-1][3] > 1 << 18:
+                    yield taken()
+            if ready:
+                yield taken()
+        finish()
+        if ready:
+            yield taken()
+
+    n = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return every.union(placed).repartition(n, "scene_id", "block").sortWithinPartitions("scene_id", "block", "_at").mapInArrow(run, "scene_id string, block long, bytes binary, size long, raw_size long, sum long")
 
 
 def _grid(scenes: DataFrame) -> DataFrame:
@@ -228,7 +284,8 @@ def _grid(scenes: DataFrame) -> DataFrame:
 
 def _assembled(blocks: DataFrame, scenes: DataFrame, out_dir: str, suffix: str, writer) -> DataFrame:
     """One file a scene of its encoded blocks: ``scene_id, path``. A block's place follows from the sizes before it; the task that writes
-    a file holds one block at a time and the sizes."""
+    a file holds one block at a time and the sizes. Encoded blocks are written first, as their sizes are asked for on their own."""
+    blocks = write_shared(blocks, "blocks")
     sizes = blocks.groupBy("scene_id").agg(F.sort_array(F.collect_list(F.struct("block", "size"))).alias("_sizes"))  # two numbers a block
     first = scenes.select("scene_id", F.lit(-1).cast("long").alias("block"), F.to_json(F.struct(*[c for c in scenes.columns if c != "scene_id"]), {"ignoreNullFields": "false"}).alias("about"))
     first = first.join(sizes.select("scene_id", F.transform("_sizes", lambda x: x["size"]).alias("sizes")), "scene_id").select("scene_id", "block", "about", "sizes", F.lit(None).cast("binary").alias("bytes"), F.lit(0).cast("long").alias("raw_size"), F.lit(0).cast("long").alias("sum"))
