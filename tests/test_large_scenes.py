@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.config import DEFAULT
+from tidemark.llm import support
 from tidemark.operators import regions, stats
 from tidemark.operators.regions import scene_coast, scene_coast_totals
 from tidemark.sources import geotiff, images
@@ -72,3 +73,13 @@ def test_small_shares_are_bounded_and_small_blocks_are_read_together(spark, tmp_
     assert h.blocks == 57 and len(batches) == 1
     have = {(r, c): v for r, c, v in zip(*(batches[0].column(k).to_pylist() for k in (1, 2, 3)), strict=True)}
     assert len(have) == 12_000 and all((v != v) if (i := r * 40 + c) % 7 == 0 else v == i / 8 for (r, c), v in have.items())
+
+
+def test_first_words_are_encoded_once():
+    encoder = support.byte_level_encoder(support.tokenizer_file("byte_bpe_50k.json"))
+    asked, whole = [], encoder._whole
+    encoder._whole = lambda text: asked.append(text) or whole(text)
+    texts = ["The end", "The", "Then the end", "The  end", "", "The end"] * 3
+    have = [x.tolist() for x in encoder.encode(texts)]
+    assert have == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(set(asked)) == ["The", "The  end", "Then"] and asked.count("The") == 1

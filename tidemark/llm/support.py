@@ -81,6 +81,9 @@ def crc32_mod(column: str, modulus: int) -> Column:
 _CACHE_WORDS = 300_000
 _SLICE_CHARS = 2_000_000
 _WORDS_AT_ONCE = 2_000
+#: First words that an encoder keeps the ids of, and characters of one at most.
+_HEADS, _HEAD_CHARS = 20_000, 64
+_NONE = np.empty(0, np.uint32)
 
 
 class _Uncuttable(Exception):
@@ -120,6 +123,7 @@ class WordEncoder:
 
     def forget(self) -> None:
         self.numbers = _Numbers()
+        self.heads: dict[str, np.ndarray] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)  # of the ids of word k: ends[k] .. ends[k + 1]
         self.uses = np.zeros(0, np.int64)
@@ -140,6 +144,16 @@ class WordEncoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def _head(self, word: str) -> np.ndarray:
+        """Ids of a text's first word; texts begin with few different ones."""
+        if (ids := self.heads.get(word)) is None:
+            ids = self._whole(word)
+            if len(word) <= _HEAD_CHARS:
+                if len(self.heads) >= _HEADS:
+                    self.heads.clear()
+                self.heads[word] = ids
+        return ids
+
     def _learn(self) -> None:
         new, self.numbers.new = self.numbers.new, []
         at = len(self.numbers) - len(new)
@@ -178,9 +192,12 @@ class WordEncoder:
         met[: len(self.uses)] += self.uses
         self.uses = met
         for first, of in zip(firsts, numbers, strict=True):
-            head = self._whole(first) if first else np.empty(0, np.uint32)
-            if of is None or not len(of):
-                yield head
+            if of is None:
+                yield self._whole(first)
+                continue
+            head = self._head(first) if first else _NONE
+            if not len(of):
+                yield head.copy()
                 continue
             begin = self.ends[of]
             counts = self.ends[of + 1] - begin
