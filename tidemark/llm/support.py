@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import json
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,12 +113,14 @@ class WordEncoder:
     character but white space. Then the ids of a text are those of its words put together, and many words can be encoded in
     one call, as the byte lengths of the tokens tell where each word ends. Texts with other white space (or a mark of their
     own) before a blank are encoded whole.
+
+    ``spoken`` gives the texts of lists of ids. Where it is set, each word's ids are decoded once too, for ``round_trip``.
     """
 
-    def __init__(self, tokenizer, token_bytes: np.ndarray, mark: str, whole=None, marks_first: bool = False):
+    def __init__(self, tokenizer, token_bytes: np.ndarray, mark: str, whole=None, marks_first: bool = False, spoken: Callable[[list[list[int]]], list[str]] | None = None):
         self.tokenizer, self.token_bytes, self.mark, self.marks_first = tokenizer, token_bytes, mark, marks_first
         self.top = len(token_bytes) - 1  # greatest id
-        self.whole = whole or tokenizer
+        self.whole, self.spoken = whole or tokenizer, spoken
         self.forget()
 
     def forget(self) -> None:
@@ -127,12 +129,13 @@ class WordEncoder:
         self.ids = np.empty(1 << 16, np.uint32)
         self.ends = np.zeros(1 << 14, np.int64)  # of the ids of word k: ends[k] .. ends[k + 1]
         self.uses = np.zeros(0, np.int64)
+        self.texts: list[str] = []  # of word k, where ``spoken`` is set
 
     def _keep_frequent(self) -> None:
         kept = np.flatnonzero(self.uses[: len(self.numbers)] > 2)
         if len(kept) > _CACHE_WORDS // 2:
             return self.forget()
-        words, begin = list(self.numbers), self.ends[kept]
+        words, begin, texts = list(self.numbers), self.ends[kept], self.texts
         counts = self.ends[kept + 1] - begin
         stops = np.cumsum(counts)
         ids = self.ids[np.arange(stops[-1]) + np.repeat(begin - stops + counts, counts)] if len(kept) else self.ids[:0]
@@ -140,6 +143,8 @@ class WordEncoder:
         self.numbers.update((words[k], i) for i, k in enumerate(kept.tolist()))
         self.ids = np.concatenate([ids, np.empty(1 << 16, np.uint32)])
         self.ends = np.concatenate([[0], stops, np.zeros(1 << 14, np.int64)]).astype(np.int64)
+        if self.spoken:
+            self.texts = [texts[k] for k in kept.tolist()]
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -168,9 +173,13 @@ class WordEncoder:
                 self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
             self.ids[self.ends[at] : ends[-1]] = ids
             self.ends[at + 1 : at + 1 + len(words)] = ends
+            if self.spoken:
+                flat, stops = ids.tolist(), (ends - self.ends[at]).tolist()
+                self.texts += self.spoken([flat[i:j] for i, j in zip([0, *stops], stops)])
             at += len(words)
 
-    def _slice(self, texts: list[str]) -> Iterator[np.ndarray]:
+    def _slice(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+        """Ids of each text, and the numbers of its words after the first one's head, or None where it is encoded whole."""
         if len(self.numbers) > _CACHE_WORDS:
             self._keep_frequent()
         firsts, numbers, get = [], [], self.numbers.__getitem__
@@ -193,19 +202,18 @@ class WordEncoder:
         self.uses = met
         for first, of in zip(firsts, numbers, strict=True):
             if of is None:
-                yield self._whole(first)
+                yield self._whole(first), None
                 continue
             head = self._head(first) if first else _NONE
             if not len(of):
-                yield head.copy()
+                yield head.copy(), of
                 continue
             begin = self.ends[of]
             counts = self.ends[of + 1] - begin
             stops = np.cumsum(counts)
-            yield np.concatenate([head, self.ids[np.arange(stops[-1]) + np.repeat(begin - stops + counts, counts)]])
+            yield np.concatenate([head, self.ids[np.arange(stops[-1]) + np.repeat(begin - stops + counts, counts)]]), of
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-        """Unsigned 32-bit ids of each text, in order; null counts as empty."""
+    def _slices(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
         held: list[str] = []
         size = 0
         for text in texts:
@@ -217,6 +225,16 @@ class WordEncoder:
         if held:
             yield from self._slice(held)
 
+    def encode(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+        """Unsigned 32-bit ids of each text, in order; null counts as empty."""
+        return (ids for ids, _ in self._slices(texts))
+
+    def round_trip(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, str | None]]:
+        """Ids of each text and the text decoded from them, word by word; None where the text was encoded whole. Only for encoders
+        with ``spoken`` and ``marks_first``, whose words' decoded texts have lost the mark that they begin with."""
+        for ids, of in self._slices(texts):
+            yield ids, None if of is None else " ".join(map(self.texts.__getitem__, of.tolist()))
+
 
 class WholeTextEncoder:
     """Ids of whole texts, for tokenizers that nothing is known about."""
