@@ -2,11 +2,13 @@
 
 from dataclasses import replace
 
+import duckdb
 import pytest
 from test_entry import test_query_equals_sql as equals_sql
 
 from tidemark.config import DEFAULT
 from tidemark.operators import stats
+from tidemark.plans import catalog
 
 NAMES = ["blend_layer", "classical_union", "components_four", "connected_components", "contours", "display_uint8", "erode_disk2", "geographic_area", "geographic_regions", "identity_stitch", "mask_area", "visible_contours"]
 
@@ -15,3 +17,11 @@ NAMES = ["blend_layer", "classical_union", "components_four", "connected_compone
 def test_query_of_a_large_scene_equals_sql(spark, sf, name, monkeypatch):
     monkeypatch.setattr(stats.normalised, "__defaults__", (replace(DEFAULT, max_samples=500), None))
     equals_sql(spark, sf, name)
+
+
+def test_halves_of_centroids_are_rounded_as_in_sql(spark):
+    """Centroids of six places times 0.0005 have ten, so many lie halfway between two of eight."""
+    lat = "-0.0005D * (id / 1000000D * 10 + 4128.5D) + 27.0D"
+    have = [r[0] for r in spark.range(3000).selectExpr("id", f"{lat} AS lat").orderBy("id").select(catalog._eight_places("lat")).collect()]
+    want = duckdb.sql("SELECT round(" + lat.replace("000D", "000::DOUBLE").replace("5D", "5::DOUBLE").replace("0D", "0::DOUBLE").replace("id ", "id::DOUBLE ") + ", 8) FROM range(3000) t(id) ORDER BY id").fetchall()
+    assert have == [w[0] for w in want]

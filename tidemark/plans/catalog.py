@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, SCREENED, SMALL
@@ -53,6 +53,11 @@ def _wide_norm(df: DataFrame) -> DataFrame:
     return df.select(*CELL, F.round(F.col("norm").cast("double"), 6).alias("norm"))
 
 
+def _eight_places(degrees: str) -> Column:
+    """Rounded as a multiple of 1e-8: a half stays one in the product, where the degrees' own last bit may lie below it."""
+    return (F.round(F.col(degrees) * 1e8) / 1e8).alias(degrees)
+
+
 @query
 def scene_percentiles(spark, sf_dir):
     return stats.scene_percentiles(orders_raster(spark, sf_dir)).union(stats.scene_percentiles(events_raster(spark, sf_dir)))
@@ -318,7 +323,7 @@ def geographic_regions(spark, sf_dir):
     r = _geographic(spark, sf_dir)
     labelled = components.write_shared(components.label(_dark(r), min_pixels=SMALL.min_blob))
     t = region_table(labelled, r.scenes, coast_degrees=supplier_coast_degrees(spark, sf_dir))
-    return t.select("region_id", "area_km2", F.round("centroid_lon", 8).alias("centroid_lon"), F.round("centroid_lat", 8).alias("centroid_lat"), "distance_to_coast_km", "severity")
+    return t.select("region_id", "area_km2", _eight_places("centroid_lon"), _eight_places("centroid_lat"), "distance_to_coast_km", "severity")
 
 
 @query
