@@ -21,7 +21,7 @@ def test_query_of_a_large_scene_equals_sql(spark, sf, name, monkeypatch):
 
 def test_halves_of_centroids_are_rounded_as_in_sql(spark):
     """Centroids of six places times 0.0005 have ten, so many lie halfway between two of eight."""
-    lat = "-0.0005D * (id / 1000000D * 10 + 4128.5D) + 27.0D"
-    have = [r[0] for r in spark.range(3000).selectExpr("id", f"{lat} AS lat").orderBy("id").select(catalog._eight_places("lat")).collect()]
-    want = duckdb.sql("SELECT round(" + lat.replace("000D", "000::DOUBLE").replace("5D", "5::DOUBLE").replace("0D", "0::DOUBLE").replace("id ", "id::DOUBLE ") + ", 8) FROM range(3000) t(id) ORDER BY id").fetchall()
-    assert have == [w[0] for w in want]
+    d = lambda x: f"CAST({x} AS DOUBLE)"
+    lat = f"{d('-0.0005')} * ({d('id')} / {d('100000')} + {d('4128.5')}) + {d('27')}"
+    have = spark.range(3000).selectExpr("id", f"{lat} AS lat").orderBy("id").select(catalog._eight_places("lat")).collect()
+    assert [r[0] for r in have] == [r[0] for r in duckdb.sql(f"SELECT round({lat}, 8) FROM range(3000) t(id) ORDER BY id").fetchall()]
